@@ -8,7 +8,7 @@ and over the chunk maxima.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,40 +18,49 @@ from ledgerlens.session import materialize
 CHUNK_WIDTH = 1 << 18
 
 
-def running_max(
-    df: DataFrame,
-    group: Sequence[str],
-    order: str,
-    value: str,
-    out: str,
-    *,
-    width: int = CHUNK_WIDTH,
-    levels: int = 2,
-    inclusive: bool = True,
+def running_max(df: DataFrame, group: Sequence[str], order: str, value: str, out: str,
+                **options) -> DataFrame:
+    """Add ``out``: the largest ``value`` seen so far inside ``group``."""
+    return _running(df, list(group), order, value, out, F.max, F.greatest, **options)
+
+
+def running_sum(df: DataFrame, group: Sequence[str], order: str, value: str, out: str,
+                **options) -> DataFrame:
+    """Add ``out``: the sum of ``value`` so far inside ``group``."""
+    def plus(x: Column, y: Column) -> Column:
+        return F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
+
+    return _running(df, list(group), order, value, out, F.sum, plus, **options)
+
+
+def _running(
+    df: DataFrame, group: list[str], order: str, value: str, out: str,
+    reduce_: Callable[[Column], Column], combine: Callable[[Column, Column], Column],
+    *, width: int = CHUNK_WIDTH, levels: int = 2, inclusive: bool = True,
 ) -> DataFrame:
-    """Add ``out``: the largest ``value`` seen so far inside ``group``.
+    """Running aggregate of ``value`` along ``order``, a unique integer per group.
 
-    ``order`` is a unique integer per group, so a chunk of ``width`` order values
-    holds at most ``width`` rows: no task sees more than that of one group, at any
-    level.  The rows are shuffled once, on (group, chunk); the chunk maxima come
-    from a map-side combined aggregate over three narrow columns.
+    A chunk of ``width`` order values holds at most ``width`` rows, so no task sees
+    more than that of one group, at any level.  The rows are shuffled once, on
+    (group, chunk); the chunk totals come from a map-side combined aggregate over
+    three narrow columns.
     """
-    group = list(group)
     end = 0 if inclusive else -1
     if levels <= 1:
         window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumn(out, F.max(value).over(window))
+        return df.withColumn(out, reduce_(F.col(value)).over(window))
 
-    chunk, chunk_max, before = f"__chunk{levels}", f"__max{levels}", f"__before{levels}"
+    chunk, total, before = f"__chunk{levels}", f"__total{levels}", f"__before{levels}"
     chunked = df.withColumn(chunk, F.floor(F.col(order) / F.lit(width)).cast("long"))
-    maxima = chunked.groupBy(*group, chunk).agg(F.max(value).alias(chunk_max))
-    earlier = running_max(
-        maxima, group, chunk, chunk_max, before, width=width, levels=levels - 1, inclusive=False
+    totals = chunked.groupBy(*group, chunk).agg(reduce_(F.col(value)).alias(total))
+    earlier = _running(
+        totals, group, chunk, total, before, reduce_, combine,
+        width=width, levels=levels - 1, inclusive=False,
     ).select(*group, chunk, before)
     window = Window.partitionBy(*group, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     return (
         chunked.join(earlier, [*group, chunk], "left")
-        .withColumn(out, F.greatest(F.max(value).over(window), F.col(before)))
+        .withColumn(out, combine(reduce_(F.col(value)).over(window), F.col(before)))
         .drop(chunk, before)
     )
 
