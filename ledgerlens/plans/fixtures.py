@@ -72,3 +72,121 @@ def transactions(spark: SparkSession, sf_dir: str, time_divisor: int = 1) -> Dat
 def _copy(when, seq, suffix: str = "", extra: int = 0):
     return F.when(when, F.struct(seq.cast("long").alias("seq"), F.lit(suffix).alias("suffix"),
                                  F.lit(extra).alias("extra")))
+
+
+# The rule set of the registered queries: every node type, a nested one included.
+RULES = [
+    ("amount", "HIGH", {"type": "AMOUNT_THRESHOLD", "amountMinor": 30000, "currency": "BRL"}),
+    ("burst", "CRITICAL", {"type": "COUNT_WINDOW", "windowSeconds": 600, "minimumCount": 3}),
+    ("both", "MEDIUM", {"type": "ALL", "children": [
+        {"type": "AMOUNT_THRESHOLD", "amountMinor": 10000, "currency": "BRL"},
+        {"type": "COUNT_WINDOW", "windowSeconds": 300, "minimumCount": 2}]}),
+    ("either", "LOW", {"type": "ANY", "children": [
+        {"type": "COUNT_WINDOW", "windowSeconds": 60, "minimumCount": 2},
+        {"type": "AMOUNT_THRESHOLD", "amountMinor": 40000, "currency": "USD"}]}),
+]
+
+
+def ruleset_document(version: int = 1) -> dict:
+    return {"version": version, "rules": [
+        {"ruleId": rule_id, "ruleVersion": 1, "evaluationOrder": i, "severity": severity, "definition": definition}
+        for i, (rule_id, severity, definition) in enumerate(RULES)]}
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw JSON records, one per event; every thirteenth kind of event id is damaged."""
+    kind = F.col("event_id") % 13
+    body = F.format_string(
+        '{"schemaVersion":%s,"eventId":"%s","transactionId":"txn-%s","customerId":"cus-%s","amountMinor":%s,'
+        '"currency":"%s","occurredAt":"%s","transactionType":"PURCHASE","channel":"APP","merchantCountry":"BR",'
+        '"deviceIdHash":"device","traceId":"trace-%s"%s}',
+        F.when(kind == 1, "2").otherwise("1"),
+        F.when(kind == 2, " ").otherwise(F.concat(F.lit("evt-"), F.col("event_id").cast("string"))),
+        F.col("event_id").cast("string"), F.col("user_id").cast("string"),
+        F.when(kind == 3, "-1").when(kind == 4, '"12"').otherwise(
+            F.round(F.col("value") * 100).cast("long").cast("string")),
+        F.when(kind == 5, "REAL").otherwise("BRL"),
+        F.when(kind == 6, "2024-01-01").otherwise(
+            F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T"), F.date_format("ts", "HH:mm:ss"), F.lit("Z"))),
+        F.col("event_id").cast("string"),
+        F.when(kind == 7, ',"note":"x"').when(kind == 8, ',"merchantCategory":"5411"').otherwise(""),
+    )
+    return table(spark, sf_dir, "events").select(
+        F.when(kind == 9, "other").when(kind == 10, F.lit(None).cast("string")).otherwise(
+            F.concat(F.lit("txn-"), F.col("event_id").cast("string"))).alias("key"),
+        F.when(kind == 11, "not json").when(kind == 12, F.lit(None).cast("string")).otherwise(body).alias("value"),
+        (F.col("event_id") % 12).cast("int").alias("partition"),
+        F.expr("event_id div 12").alias("offset"),
+        F.expr("cast(ts as timestamp)").alias("timestamp"),
+        F.col("event_id").alias("arrival_seq"),
+    )
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order proposes a change to one of three rules of one of 25 rule sets."""
+    key = F.col("o_orderkey")
+    head = (F.col("o_custkey") % 25).cast("string")
+    definition = F.when(key % 17 == 5, '{"type":"SUM_WINDOW"}').otherwise(F.format_string(
+        '{"amountMinor":%s,"currency":"BRL","type":"AMOUNT_THRESHOLD"}',
+        F.round(F.col("o_totalprice") * 100).cast("long").cast("string")))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("head-"), head).alias("head_key"),
+        F.concat(F.lit("rule-"), head, F.lit("-"), (key % 3).cast("string")).alias("rule_id"),
+        F.concat(F.lit("ver-"), key.cast("string")).alias("rule_version_id"),
+        F.when(key % 29 == 7, "DELETE").when(F.col("o_orderstatus") == "F", "RETIRE").otherwise("UPSERT").alias("change_type"),
+        definition.alias("definition"),
+        F.concat(F.lit("user-"), (key % 5).cast("string")).alias("author"),
+        key.alias("proposal_seq"),
+    )
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two decisions per order: one near its proposal, one much later."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    decision = F.when(F.col("o_orderpriority") == "5-LOW", "REJECT").otherwise("APPROVE")
+    version = F.concat(F.lit("ver-"), key.cast("string"))
+
+    def user(n):
+        return F.concat(F.lit("user-"), (n % 5).cast("string"))
+
+    return orders.select(
+        (key * 2).alias("decision_seq"), version.alias("rule_version_id"), decision.alias("decision"),
+        user(F.col("o_custkey")).alias("approver"),
+    ).unionByName(orders.select(
+        (key * 2 + 301).alias("decision_seq"), version.alias("rule_version_id"),
+        F.lit("APPROVE").alias("decision"), user(key + 1).alias("approver")))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier publishes one snapshot; some with a wrong hash, an unknown node or another key."""
+    key = F.col("s_suppkey")
+    node = F.when(key % 11 == 5, '{"type":"SUM_WINDOW"}').otherwise(F.format_string(
+        '{"amountMinor":%s,"currency":"BRL","type":"AMOUNT_THRESHOLD"}', (key * 100).cast("string")))
+    version = (key + (key * 13) % 5 + 1).cast("string")
+    rules = F.format_string(
+        '[{"definition":%s,"evaluationOrder":0,"ruleId":"rule-%s","ruleVersion":1,"severity":"HIGH"}]',
+        node, key.cast("string"))
+    head = F.concat(F.lit('"approvedChangeRuleVersionId":"ver-'), key.cast("string"), F.lit('"'))
+    tail = F.format_string(
+        '"createdAt":"2024-01-01T00:00:00Z","rules":%s,"schemaVersion":1,"snapshotId":"snap-%s","version":%s}',
+        F.when(key % 19 == 3, "[]").otherwise(rules), key.cast("string"), version)
+    digest = F.when(key % 9 == 4, F.lit("0")).otherwise(
+        F.sha2(F.concat(F.lit("{"), head, F.lit(","), tail).cast("binary"), 256))
+    return table(spark, sf_dir, "supplier").select(
+        F.when(key % 23 == 9, "OTHER").otherwise("ACTIVE").alias("key"),
+        F.concat(F.lit("{"), head, F.lit(',"contentHash":"sha256:'), digest, F.lit('",'), tail).alias("payload"),
+        (key * 1000 + 5).alias("arrival_seq"), "s_suppkey",
+    )
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight consecutive events are the delivery log of one request."""
+    eid = F.col("event_id")
+    kind = F.when(F.col("event_type").isin("view", "signup"), "CLAIM").when(
+        F.col("event_type") == "click", "SENT").otherwise("FAILED")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("req-"), F.expr("event_id div 8").cast("string")).alias("notificationRequestId"),
+        eid.alias("at"), kind.alias("kind"),
+        F.when(kind != "CLAIM", F.expr("cast((event_id % 8) div 3 + 1 as int)")).alias("attempt"),
+    )
