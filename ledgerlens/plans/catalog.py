@@ -552,7 +552,7 @@ def _(spark, sf):
     return governance.active_set(decided(spark, sf))
 
 
-_ITEMS = """it AS (SELECT head, ver, vid AS change, dseq, CAST(i - 1 AS INTEGER) AS ord, active[i].v AS vid
+_ITEMS = """it AS MATERIALIZED (SELECT head, ver, vid AS change, dseq, CAST(i - 1 AS INTEGER) AS ord, active[i].v AS vid
   FROM (SELECT *, unnest(range(1, len(active) + 1)) AS i FROM g WHERE ver IS NOT NULL))"""
 
 
@@ -788,7 +788,7 @@ def attempts(spark, sf):
 
 
 @query("ledger_attempts", oracle.with_(oracle.ATTEMPTS, """
-SELECT rid AS request_id, at, kind, result FROM q WHERE pos >= 0"""))
+SELECT rid AS request_id, seq_at AS "at", kind, result FROM q WHERE pos >= 0"""))
 def _(spark, sf):
     return attempts(spark, sf).select(F.col("notificationRequestId").alias("request_id"), "at", "kind", "result")
 

@@ -133,7 +133,7 @@ w(head, rn, active, ver, done, dseq, outcome, reason) AS (
         list_concat(list_filter(w.active, lambda x: x.r <> d.rule_id),
           CASE WHEN d.ct = 'UPSERT' THEN [{{'r': d.rule_id, 'v': d.vid}}] ELSE [] END) AS cand
       FROM w JOIN d ON d.head = w.head AND d.rn = w.rn + 1)))),
-g AS (SELECT d.*, w.outcome, w.reason, w.active, CASE WHEN w.outcome = 'SUCCESS' AND d.decision = 'APPROVE' THEN w.ver END AS ver
+g AS MATERIALIZED (SELECT d.*, w.outcome, w.reason, w.active, CASE WHEN w.outcome = 'SUCCESS' AND d.decision = 'APPROVE' THEN w.ver END AS ver
   FROM w JOIN d USING (head, rn))"""
 
 
@@ -150,16 +150,16 @@ n AS (SELECT *, CASE WHEN key <> 'ACTIVE' THEN 'ignored_key' WHEN reject_reason
 
 # Delivery attempt logs over events, walked in order.
 ATTEMPTS = """
-l AS (SELECT 'req-' || (event_id // 8) AS rid, event_id AS at,
+l AS (SELECT 'req-' || (event_id // 8) AS rid, event_id AS seq_at,
     CASE WHEN event_type IN ('view','signup') THEN 'CLAIM' WHEN event_type = 'click' THEN 'SENT' ELSE 'FAILED' END AS kind,
     (event_id % 8) // 3 + 1 AS attempt, event_id % 8 AS pos FROM events),
-q(rid, pos, status, n, at, kind, result) AS (
+q(rid, pos, status, n, seq_at, kind, result) AS (
   SELECT DISTINCT rid, CAST(-1 AS BIGINT), 'PENDING', CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM l
   UNION ALL
   SELECT l.rid, l.pos,
     CASE WHEN l.kind = 'CLAIM' AND status IN ('PENDING','FAILED') THEN 'SENDING'
          WHEN l.kind <> 'CLAIM' AND status = 'SENDING' AND l.attempt = n THEN l.kind ELSE status END,
-    n + CASE WHEN l.kind = 'CLAIM' AND status IN ('PENDING','FAILED') THEN 1 ELSE 0 END, l.at, l.kind,
+    n + CASE WHEN l.kind = 'CLAIM' AND status IN ('PENDING','FAILED') THEN 1 ELSE 0 END, l.seq_at, l.kind,
     CASE WHEN l.kind = 'CLAIM' THEN CASE status WHEN 'SENT' THEN 'ALREADY_SENT' WHEN 'SENDING' THEN 'IN_PROGRESS' ELSE 'ACQUIRED' END
          WHEN status = 'SENDING' AND l.attempt = n THEN 'APPLIED' ELSE 'DELIVERY_NOT_SENDING' END
   FROM q JOIN l ON l.rid = q.rid AND l.pos = q.pos + 1),
