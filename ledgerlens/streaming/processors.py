@@ -1,0 +1,169 @@
+"""Stateful processors of the online job.
+
+State is keyed by source partition (identity) and by customer bucket (duplicates,
+history), because stream time runs per partition and per bucket in arrival order.
+There is deliberately no watermark: late rows are evaluated, never dropped.  The rows
+of one call are one micro-batch's share of a key, so the trigger limit of the source
+bounds what is sorted in memory.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+
+from pyspark.sql import Row
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ledgerlens.operators.history import RETENTION_MS
+from ledgerlens.operators.identity import EVENT_CONFLICT, HORIZON_MS, TRANSACTION_CONFLICT
+
+# How far stream time moves before expired entries are swept out.
+SWEEP_EVERY_MS = 60 * 60 * 1000
+
+_TEXT = ("eventId", "transactionId", "customerId", "currency", "traceId", "payload_hash", "fingerprint")
+
+# One shape for both stages.  A rule set travels as a row of kind "ruleset".
+ROW_SCHEMA = T.StructType(
+    [T.StructField("kind", T.StringType()), T.StructField("partition", T.IntegerType()),
+     T.StructField("bucket", T.LongType()), T.StructField("arrival_seq", T.LongType()),
+     T.StructField("offset", T.LongType()), T.StructField("received_us", T.LongType()),
+     T.StructField("occurred_us", T.LongType()), T.StructField("occurred_ms", T.LongType()),
+     T.StructField("amountMinor", T.LongType()), T.StructField("valid", T.BooleanType())]
+    + [T.StructField(n, T.StringType()) for n in _TEXT]
+    + [T.StructField("ruleset_version", T.LongType()), T.StructField("windows", T.ArrayType(T.IntegerType())),
+       T.StructField("outcome", T.StringType()), T.StructField("first_seen", T.StringType())]
+)
+OUT_SCHEMA = T.StructType(
+    [f for f in ROW_SCHEMA.fields if f.name not in ("kind", "valid", "windows")]
+    + [T.StructField("stream_time_2", T.LongType()), T.StructField("history_available", T.BooleanType()),
+       T.StructField("late", T.BooleanType()),
+       T.StructField("observed", T.MapType(T.IntegerType(), T.LongType()))]
+)
+
+
+def _fields(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields]
+
+
+class _ArrivalOrdered(StatefulProcessor):
+    """Common parts: arrival order, stream time, and the rule set in force."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # stream time, stream time of the last sweep, rule set version, its windows
+        self._clock = handle.getValueState("clock", "t long, swept long, version long, windows array<int>")
+
+    def _start(self) -> tuple[int | None, int, int | None, list[int]]:
+        stored = self._clock.get()
+        return (None, 0, None, []) if stored is None else (stored[0], stored[1], stored[2], list(stored[3] or []))
+
+    @staticmethod
+    def _ordered(rows: Iterator[Row]) -> list[Row]:
+        return sorted(rows, key=lambda r: r["arrival_seq"])
+
+    def close(self) -> None:
+        pass
+
+
+class IdentityProcessor(_ArrivalOrdered):
+    """First event of every transaction within a day, per source partition."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._seen = handle.getMapState("transactions", "id string", "event string, anchor long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        time, swept, version, windows = self._start()
+        for row in self._ordered(rows):
+            if row["kind"] == "ruleset":
+                if version is None or row["ruleset_version"] > version:
+                    version = row["ruleset_version"]
+                continue
+            time = row["occurred_ms"] if time is None else max(time, row["occurred_ms"])
+            if not row["valid"]:
+                continue
+            out = row.asDict()
+            if version is None:
+                yield Row(**{**out, "outcome": "no_ruleset"})
+                continue
+            entry = (row["transactionId"],)
+            known = self._seen.getValue(entry) if self._seen.containsKey(entry) else None
+            if known is None or time - known[1] >= HORIZON_MS:
+                self._seen.updateValue(entry, (row["eventId"], time))
+            elif known[0] != row["eventId"]:
+                out.update(outcome=TRANSACTION_CONFLICT, first_seen=known[0])
+            yield Row(**out)
+        if time is not None and time - swept >= SWEEP_EVERY_MS:
+            expired = [k for k, v in self._seen.iterator() if time - v[1] >= HORIZON_MS]
+            for k in expired:
+                self._seen.removeKey(k)
+            swept = time
+        self._clock.update((time, swept, version, windows))
+
+
+class CustomerProcessor(_ArrivalOrdered):
+    """Duplicates and history of the customers of one bucket."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._events = handle.getMapState("events", "customer string, event string", "fingerprint string, anchor long")
+        self._history = handle.getMapState("history", "customer string", "times array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        time, swept, version, windows = self._start()
+        times: dict[str, list[int]] = {}
+        names = _fields(OUT_SCHEMA)
+        for row in self._ordered(rows):
+            if row["kind"] == "ruleset":
+                if version is None or row["ruleset_version"] > version:
+                    version, windows = row["ruleset_version"], list(row["windows"] or [])
+                continue
+            out = {n: row[n] for n in names if n in row}
+            out.update(stream_time_2=None, history_available=None, late=None, observed=None)
+            # Conflicts and rows without a rule set only pass through; they move nothing.
+            if row["outcome"] is not None:
+                yield Row(**{n: out[n] for n in names})
+                continue
+            time = row["occurred_ms"] if time is None else max(time, row["occurred_ms"])
+            out["stream_time_2"] = time
+            entry = (row["customerId"], row["eventId"])
+            known = self._events.getValue(entry) if self._events.containsKey(entry) else None
+            if known is not None and time - known[1] < HORIZON_MS:
+                same = known[0] == row["fingerprint"]
+                out.update(outcome="duplicate" if same else EVENT_CONFLICT, first_seen=known[0])
+            else:
+                self._events.updateValue(entry, (row["fingerprint"], time))
+                out.update(outcome="accepted", ruleset_version=version,
+                           **self._evaluate(times, row, time, windows))
+            yield Row(**{n: out[n] for n in names})
+        for customer, kept in times.items():
+            self._history.updateValue((customer,), (kept,))
+        if time is not None and time - swept >= SWEEP_EVERY_MS:
+            self._sweep(time)
+            swept = time
+        self._clock.update((time, swept, version, windows))
+
+    def _evaluate(self, times: dict[str, list[int]], row: Row, time: int, windows: list[int]) -> dict:
+        customer, at = row["customerId"], row["occurred_us"]
+        if customer not in times:
+            entry = (customer,)
+            times[customer] = list(self._history.getValue(entry)[0]) if self._history.containsKey(entry) else []
+        facts = times[customer]
+        floor = (time - RETENTION_MS) * 1000
+        del facts[: bisect_left(facts, floor)]
+        known = row["occurred_ms"] >= time - RETENTION_MS
+        observed = None
+        if known:
+            upto = bisect_right(facts, at)
+            observed = {w: 1 + max(0, upto - bisect_left(facts, at - w * 1_000_000)) for w in windows}
+            insort(facts, at)
+        return {"history_available": known, "late": row["occurred_ms"] < time, "observed": observed}
+
+    def _sweep(self, time: int) -> None:
+        """Entries that no later row can meet: stream time never goes back."""
+        for k in [k for k, v in self._events.iterator() if time - v[1] >= HORIZON_MS]:
+            self._events.removeKey(k)
+        floor = (time - RETENTION_MS) * 1000
+        for k in [k for k, v in self._history.iterator() if not v[0] or v[0][-1] < floor]:
+            self._history.removeKey(k)
