@@ -30,37 +30,38 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     each wanted rank in one cell; only inside that cell are values ordered.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")).withColumn("c", F.floor(F.col("v") / F.lit(cell)).cast("long"))
-    up = Window.partitionBy(*keys).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
+        F.count(F.lit(1)).alias("__n")).withColumn("__c", F.floor(F.col("__v") / F.lit(cell)).cast("long"))
+    up = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)
-    cells = counted.groupBy(*keys, "c").agg(F.sum("n").alias("m")).withColumns({
-        "before": F.coalesce(F.sum("m").over(up), F.lit(0)), "total": F.sum("m").over(everything)})
+    cells = counted.groupBy(*keys, "__c").agg(F.sum("__n").alias("__m")).withColumns({
+        "__before": F.coalesce(F.sum("__m").over(up), F.lit(0)), "__total": F.sum("__m").over(everything)})
 
     def position(q: float) -> Column:
-        return (F.col("total") - 1) * F.lit(q)
+        return (F.col("__total") - 1) * F.lit(q)
 
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), side.alias("side"), rank.cast("long").alias("rank"), position(q).alias("pos"))
+        F.struct(F.lit(name).alias("__name"), side.alias("__side"), rank.cast("long").alias("__rank"),
+                 position(q).alias("__pos"))
         for name, q in quantiles.items()
         for side, rank in ((F.lit("lo"), F.floor(position(q))), (F.lit("hi"), F.ceil(position(q))))
     ])
-    hits = cells.select(*keys, "c", "before", "m", F.inline(wanted)).filter(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))
-    inner = Window.partitionBy(*keys, "c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    needed = hits.select(*keys, "c").distinct()
-    placed = counted.join(needed, [*keys, "c"], "left_semi").withColumn(
-        "below", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-    found = hits.join(placed, [*keys, "c"]).filter(
-        (F.col("rank") - F.col("before") >= F.col("below"))
-        & (F.col("rank") - F.col("before") < F.col("below") + F.col("n")))
+    hits = cells.select(*keys, "__c", "__before", "__m", F.inline(wanted)).withColumn(
+        "__rest", F.col("__rank") - F.col("__before")
+    ).filter((F.col("__rest") >= 0) & (F.col("__rest") < F.col("__m")))
+    inner = Window.partitionBy(*keys, "__c").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    needed = hits.select(*keys, "__c").distinct()
+    placed = counted.join(needed, [*keys, "__c"], "left_semi").withColumn(
+        "__below", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
+    found = hits.join(placed, [*keys, "__c"]).filter(
+        (F.col("__rest") >= F.col("__below")) & (F.col("__rest") < F.col("__below") + F.col("__n")))
 
     def interpolated(name: str) -> Column:
         def pick(side: str, column: str) -> Column:
-            return F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col(column)))
+            return F.max(F.when((F.col("__name") == name) & (F.col("__side") == side), F.col(column)))
 
-        low, high = pick("lo", "v"), pick("hi", "v")
-        return low + (high - low) * (pick("lo", "pos") - pick("lo", "rank"))
+        low, high = pick("lo", "__v"), pick("hi", "__v")
+        return low + (high - low) * (pick("lo", "__pos") - pick("lo", "__rank"))
 
     return found.groupBy(*keys).agg(*[interpolated(n).alias(n) for n in quantiles])
 
