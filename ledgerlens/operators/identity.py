@@ -13,13 +13,13 @@ horizon-wide cell of stream time: every row finds its anchor by an equality join
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import first_at_or_after, follow_chain
-from ledgerlens.session import materialize
+from ledgerlens.session import BROADCAST_ROWS, materialize, sized
 
 # Identity period and reason codes.
 HORIZON_MS = 24 * 60 * 60 * 1000
@@ -33,36 +33,36 @@ FOLD_LIMIT = 10_000
 def repeat_decisions(
     rows: DataFrame,
     key: Sequence[str],
-    value: str,
     time: str,
+    with_value: Callable[[DataFrame], DataFrame],
     *,
     horizon: int = HORIZON_MS,
     fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Decisions for arrivals that are not the anchor of their period.
 
-    ``rows`` has ``arrival_seq``, the key columns, ``value`` and the stream time
-    ``time`` (non-decreasing along ``arrival_seq`` within a key).  Returns
-    arrival_seq, same (value equals the anchor's), anchor_value.  Arrivals that are
-    not returned are accepted.
+    ``rows`` has ``arrival_seq``, the key columns and the stream time ``time``
+    (non-decreasing along ``arrival_seq`` within a key); ``with_value`` adds ``val``,
+    what is compared, to the repeated rows only.  Returns arrival_seq, same (val equals
+    the anchor's), anchor_value.  Arrivals that are not returned are accepted.
     """
     key = list(key)
-    narrow = rows.select(*key, F.col("arrival_seq").alias("at_seq"), F.col(value).alias("val"),
-                         F.col(time).alias("at"))
-    # Written out so that the join below sees its true size: it is broadcast when small,
-    # and otherwise both sides are shuffle stages that skew handling can split.
-    repeated = materialize(
-        narrow.groupBy(*key).agg(
-            F.count(F.lit(1)).alias("n"), F.min("at").alias("t0"), F.max("at").alias("t1")
-        ).filter("n > 1")
-    )
-    repeats = materialize(narrow.join(repeated, key, "inner"))
-    anchors = _anchors(repeats, key, horizon, fold_limit)
+    # Counted before stream time is looked at, and written out, so that the join below
+    # knows its size; a large one is two shuffle stages that skew handling can split.
+    counts = materialize(
+        rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    repeats = materialize(
+        with_value(rows.withColumn("at", F.col(time)).join(sized(counts), key, "inner"))
+        .select(*key, F.col("arrival_seq").alias("at_seq"), "at", "val", "n"))
+    few = repeats.count() <= BROADCAST_ROWS
+    anchors = _anchors(repeats, key, horizon, fold_limit, hot=not counts.filter(F.col("n") > fold_limit).isEmpty())
 
     cell = F.floor(F.col("at") / F.lit(horizon)).cast("long")
     shape = F.struct("at", "at_seq", "val")
     own = anchors.select(*key, cell.alias("cell"), shape.alias("own"))
     earlier = anchors.select(*key, (cell + 1).alias("cell"), shape.alias("earlier"))
+    if few:  # there are at most as many anchors as repeated rows
+        own, earlier = F.broadcast(own), F.broadcast(earlier)
     governing = F.when(F.col("own.at") <= F.col("at"), F.col("own")).otherwise(F.col("earlier"))
     return (
         repeats.withColumn("cell", cell)
@@ -78,24 +78,18 @@ def repeat_decisions(
     )
 
 
-def _anchors(repeats: DataFrame, key: list[str], horizon: int, fold_limit: int) -> DataFrame:
+def _anchors(repeats: DataFrame, key: list[str], horizon: int, fold_limit: int, hot: bool) -> DataFrame:
     """(key, at, at_seq, val) of every anchor of the repeated keys."""
     # Arrivals of a key at one stream time collapse to the earliest: only it can be an anchor.
     candidates = repeats.groupBy(*key, "at").agg(
-        F.min(F.struct("at_seq", "val")).alias("first"),
-        F.first("n").alias("n"), F.first("t0").alias("t0"), F.first("t1").alias("t1"),
-    ).select(*key, "at", "first.at_seq", "first.val", "n", "t0", "t1")
-    spans = F.col("t1") - F.col("t0") >= horizon
-    single = candidates.filter(~spans & (F.col("at") == F.col("t0")))
-    walked = _walk(candidates.filter(spans & (F.col("n") <= fold_limit)), key, horizon)
+        F.min(F.struct("at_seq", "val")).alias("first"), F.first("n").alias("n"),
+    ).select(*key, "at", "first.at_seq", "first.val", "n")
     shape = [*key, "at", "at_seq", "val"]
-    anchors = single.select(*shape).unionByName(walked.select(*shape))
-
-    hot = repeats.filter(spans & (F.col("n") > fold_limit))
-    if hot.isEmpty():
-        return anchors
-    dense = materialize(candidates.filter(spans & (F.col("n") > fold_limit)))
-    return anchors.unionByName(_hop(dense, key, horizon).select(*shape))
+    walked = _walk(candidates.filter(F.col("n") <= fold_limit), key, horizon).select(*shape)
+    if not hot:
+        return walked
+    dense = materialize(candidates.filter(F.col("n") > fold_limit))
+    return walked.unionByName(_hop(dense, key, horizon).select(*shape))
 
 
 def _walk(candidates: DataFrame, key: list[str], horizon: int) -> DataFrame:
@@ -119,7 +113,7 @@ def _hop(candidates: DataFrame, key: list[str], horizon: int) -> DataFrame:
     """Anchors of hot keys: link each candidate to the next possible anchor, follow the links."""
     probes = candidates.select(*key, F.col("at").alias("src"), (F.col("at") + horizon).alias("at"))
     links = first_at_or_after(candidates.select(*key, "at"), probes, key, cell_width=horizon // 24)
-    first = candidates.filter(F.col("at") == F.col("t0")).select(*key, F.col("at").alias("src"))
+    first = candidates.groupBy(*key).agg(F.min("at").alias("src"))
     reached = follow_chain(first, links, key).withColumnRenamed("src", "at")
     return candidates.join(reached, [*key, "at"], "inner")
 
@@ -131,18 +125,22 @@ def transaction_conflicts(events: DataFrame, *, fold_limit: int = FOLD_LIMIT) ->
     per source partition, like its stream time.
     """
     decisions = repeat_decisions(
-        events, ["partition", "transactionId"], "eventId", "stream_time_1", fold_limit=fold_limit
-    )
+        events, ["partition", "transactionId"], "stream_time_1",
+        lambda df: df.withColumn("val", F.col("eventId")), fold_limit=fold_limit)
     return decisions.filter(~F.col("same")).select(
         "arrival_seq", F.lit(TRANSACTION_CONFLICT).alias("outcome"), F.col("anchor_value").alias("first_seen")
     )
 
 
-def event_repeats(survivors: DataFrame, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Arrivals that repeat a (customer, event): silent duplicates and fingerprint conflicts."""
+def event_repeats(
+    survivors: DataFrame, with_value: Callable[[DataFrame], DataFrame], *, fold_limit: int = FOLD_LIMIT
+) -> DataFrame:
+    """Arrivals that repeat a (customer, event): silent duplicates and fingerprint conflicts.
+
+    ``with_value`` adds the fingerprint as ``val``; it is asked for repeated events only.
+    """
     decisions = repeat_decisions(
-        survivors, ["customerId", "eventId"], "fingerprint", "stream_time_2", fold_limit=fold_limit
-    )
+        survivors, ["customerId", "eventId"], "stream_time_2", with_value, fold_limit=fold_limit)
     return decisions.select(
         "arrival_seq",
         F.when(F.col("same"), F.lit("duplicate")).otherwise(F.lit(EVENT_CONFLICT)).alias("outcome"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,9 @@ from ledgerlens.operators.ordering import running_max
 from ledgerlens.operators.rule_checks import definition_reason
 from ledgerlens.operators.rules import compile_ruleset
 from ledgerlens.plans import fixtures, oracle, risk
-from ledgerlens.session import configure, materialize
+from ledgerlens.session import configure, ensure_checkpoint_dir, materialize
 from ledgerlens.sources import ingest, tables
+from ledgerlens.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +46,11 @@ def shared(name: str, build: Callable[[], DataFrame], spark: SparkSession, *key:
     return _SHARED[slot]
 
 
+def forget_shared() -> None:
+    """Make the next query compute its stages again (for timing)."""
+    _SHARED.clear()
+
+
 def resolved(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     events = fixtures.transactions(spark, sf_dir, k).withColumn("active", F.lit(True))
     return shared("resolved", lambda: risk.resolve_identity(events), spark, sf_dir, k)
@@ -108,6 +115,11 @@ def _(spark, sf):
     return rows.select("event_id", ids.event_fingerprint(F.col("us")).alias("fingerprint"))
 
 
+def parsed(spark, sf):
+    """The landed table of parsed records, which is what later stages read."""
+    return shared("parsed", lambda: ingest.parse_events(fixtures.records(spark, sf)), spark, sf)
+
+
 @query("ingest_valid_split", """
 SELECT event_id AS arrival_seq, event_id % 13 IN (0, 8) AS valid, event_id % 13 IN (0, 8, 9, 10) AS schema_valid,
   CASE event_id % 13 WHEN 1 THEN 'schemaVersion:const' WHEN 3 THEN 'amountMinor:minimum' WHEN 4 THEN 'amountMinor:type'
@@ -117,8 +129,7 @@ SELECT event_id AS arrival_seq, event_id % 13 IN (0, 8) AS valid, event_id % 13
   CASE WHEN event_id % 13 NOT IN (4, 11, 12) THEN CASE WHEN event_id % 13 = 3 THEN -1 ELSE CAST(round(value * 100) AS BIGINT) END END AS amount
 FROM events""")
 def _(spark, sf):
-    parsed = ingest.parse_events(fixtures.records(spark, sf))
-    return parsed.select(
+    return parsed(spark, sf).select(
         "arrival_seq", "valid", "schema_valid", F.array_join("violations", ",").alias("reasons"),
         F.when(F.col("schema_valid"), F.col("occurred_ms")).alias("occurred_ms"),
         F.when(~F.col("violations").cast("string").contains("amountMinor:type"), F.col("amountMinor")).alias("amount"))
@@ -143,7 +154,7 @@ SELECT CASE WHEN event_id % 13 = 9 THEN 'other' WHEN event_id % 13 = 10 THEN NUL
   'INVALID_TRANSACTION_EVENT' AS "reasonCode", epoch_us(ts) AS detected_us
 FROM events WHERE event_id % 13 NOT IN (0, 8)""")
 def _(spark, sf):
-    return ingest.invalid_references(ingest.parse_events(fixtures.records(spark, sf)))
+    return ingest.invalid_references(parsed(spark, sf))
 
 
 @query("record_round_trip", """
@@ -337,8 +348,8 @@ SELECT seq AS arrival_seq, assessment_id, eid AS event_id, txn AS transaction_id
   CAST(1 AS BIGINT) AS ruleset_version, late, 'trace-' || event_id AS trace_id, CAST(4 AS INTEGER) AS rules FROM assessed""")
 
 
-def _assess(spark, sf, k):
-    return assessed(spark, sf, k).select(
+def _assess_columns(df):
+    return df.select(
         "arrival_seq", F.col("assessmentId").alias("assessment_id"), F.col("eventId").alias("event_id"),
         F.col("transactionId").alias("transaction_id"), F.col("customerId").alias("customer_id"), "status",
         F.col("finalSeverity").alias("severity"), F.col("rulesetVersion").alias("ruleset_version"), "late",
@@ -347,12 +358,12 @@ def _assess(spark, sf, k):
 
 @query("assessments_24h", _assess_sql(1))
 def _(spark, sf):
-    return _assess(spark, sf, 1)
+    return _assess_columns(assessed(spark, sf, 1))
 
 
 @query("assessments_dense", _assess_sql(60))
 def _(spark, sf):
-    return _assess(spark, sf, 60)
+    return _assess_columns(assessed(spark, sf, 60))
 
 
 @query("risk_batch_outputs", oracle.with_(oracle.results(60), """
@@ -388,7 +399,7 @@ def _(spark, sf):
 
 
 _REQUESTS = f"""rq AS (SELECT {oracle.uuid3('NOTIFICATION-REQUEST', oracle.uuid3('ALERT', 'assessment_id'))} AS request_id,
-  {oracle.uuid3('ALERT', 'assessment_id')} AS alert_id, cus, txn, seq, event_id FROM assessed WHERE status = 'SUSPICIOUS')"""
+  {oracle.uuid3('ALERT', 'assessment_id')} AS alert_id, cus, txn, seq, event_id, severity FROM assessed WHERE status = 'SUSPICIOUS')"""
 
 
 def requests(spark, sf):
@@ -725,38 +736,42 @@ def _(spark, sf):
 
 
 def contacts(spark, sf):
-    key = F.col("c_custkey")
-    return fixtures.table(spark, sf, "customer").filter(key % 3 != 0).select(
-        F.concat(F.lit("cus-"), key.cast("string")).alias("customerId"), F.concat("c_name", F.lit("@example.test")).alias("contact"))
+    return fixtures.table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(
+        F.concat(F.lit("cus-"), F.col("c_custkey").cast("string")).alias("customerId"), F.concat("c_name", F.lit("@example.test")).alias("contact"))
 
 
 @query("notification_contacts", oracle.with_(oracle.results(60) + "," + _REQUESTS, """
 SELECT request_id, c_name || '@example.test' AS contact, CASE WHEN c_name IS NULL THEN 'CONTACT_RESOLUTION_FAILED' END AS contact_failure
-FROM rq LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON rq.cus = 'cus-' || c.c_custkey"""))
+FROM rq LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c ON rq.cus = 'cus-' || c.c_custkey"""))
 def _(spark, sf):
     return notifications.with_contact(requests(spark, sf), contacts(spark, sf)).select(
         F.col("notificationRequestId").alias("request_id"), "contact", "contact_failure")
 
 
 @query("notification_failure_reasons", oracle.with_(oracle.results(60) + "," + _REQUESTS, """
-SELECT request_id, CASE WHEN c.c_custkey IS NULL THEN 'CONTACT_RESOLUTION_FAILED' WHEN event_id % 5 = 0 THEN 'CHANNEL_DELIVERY_FAILED' END AS reason_code
-FROM rq LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON rq.cus = 'cus-' || c.c_custkey"""))
-def _(spark, sf):
-    rows = notifications.with_contact(requests(spark, sf), contacts(spark, sf))
-    reached = F.substring_index("transactionId", "-", -1).cast("long") % 5 != 0
+SELECT request_id, CASE WHEN c.c_custkey IS NULL THEN 'CONTACT_RESOLUTION_FAILED' WHEN ms // 3600000 % 24 = 4 THEN 'CHANNEL_DELIVERY_FAILED' END AS reason_code
+FROM rq JOIN (SELECT seq, ms FROM assessed) USING (seq) LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c ON rq.cus = 'cus-' || c.c_custkey"""))
+def _(spark, sf):
+    # the channel was down for the fourth hour of event time
+    hours = evaluated(spark, sf, 60).select(
+        ids.alert_id(ids.assessment_id(F.col("eventId"))).alias("alertId"), F.expr("(occurred_ms div 3600000) % 24").alias("h"))
+    rows = notifications.with_contact(requests(spark, sf).join(hours, "alertId"), contacts(spark, sf))
+    reached = F.col("h") != 4
     return rows.select(F.col("notificationRequestId").alias("request_id"),
                        notifications.outcome_reason(F.col("contact").isNotNull(), reached).alias("reason_code"))
 
 
-_LEDGER = """ld AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 'SENT' WHEN 1 THEN 'SENDING' ELSE 'FAILED' END AS lstatus,
-  CAST(event_id % 3 + 1 AS INTEGER) AS attempts FROM rq WHERE event_id % 2 = 0 OR event_id % 4 = 1)"""
+# Deliveries so far: by severity of the alert, nothing yet for the lowest.
+_LEDGER = """ld AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 'SENT' WHEN 'HIGH' THEN 'SENDING' ELSE 'FAILED' END AS lstatus,
+  CAST(CASE severity WHEN 'CRITICAL' THEN 1 ELSE 2 END AS INTEGER) AS attempts FROM rq WHERE severity <> 'LOW')"""
 
 
 def stored_ledger(spark, sf):
-    key = F.substring_index("transactionId", "-", -1).cast("long")
-    return requests(spark, sf).filter((key % 2 == 0) | (key % 4 == 1)).select(
-        "notificationRequestId", F.when(key % 4 == 0, "SENT").when(key % 4 == 1, "SENDING").otherwise("FAILED").alias("status"),
-        (key % 3 + 1).cast("int").alias("attempt_count"))
+    alerted = assessment.alerts(assessed(spark, sf, 60)).filter("severity <> 'LOW'")
+    return alerted.select(
+        ids.notification_request_id(F.col("alertId")).alias("notificationRequestId"),
+        F.when(F.col("severity") == "CRITICAL", "SENT").when(F.col("severity") == "HIGH", "SENDING").otherwise("FAILED").alias("status"),
+        F.when(F.col("severity") == "CRITICAL", 1).otherwise(2).alias("attempt_count"))
 
 
 @query("ledger_insert_if_absent", oracle.with_(oracle.results(60) + "," + _REQUESTS + "," + _LEDGER, """
@@ -839,10 +854,12 @@ def _(spark, sf):
     return metrics.throughput(rows, ["event_type"], "sent_us", "seen_us", 0.0008).withColumn("per_second", F.round("per_second", 9))
 
 
+# Six kinds of damage, each in its own hour of event time: lost or repeated inputs and outputs.
 @query("reconcile_counts", oracle.with_(oracle.results(60), """
-, i AS (SELECT DISTINCT eid FROM tx WHERE event_id % 31 <> 3),
-s AS (SELECT eid, status FROM assessed WHERE event_id % 37 <> 5 UNION ALL SELECT eid, status FROM assessed WHERE event_id % 41 = 6),
-a AS (SELECT eid FROM assessed WHERE status = 'SUSPICIOUS' AND event_id % 43 <> 7 UNION ALL SELECT eid FROM assessed WHERE event_id % 47 = 8),
+, hr AS (SELECT *, ms // 3600000 % 24 AS h FROM assessed),
+i AS (SELECT DISTINCT eid FROM tx WHERE ms // 3600000 % 24 <> 1),
+s AS (SELECT eid, status FROM hr WHERE h <> 3 UNION ALL SELECT eid, status FROM hr WHERE h = 5),
+a AS (SELECT eid FROM hr WHERE status = 'SUSPICIOUS' AND h <> 7 UNION ALL SELECT eid FROM hr WHERE h = 9),
 sx AS (SELECT eid, count(*) AS n, bool_or(status = 'SUSPICIOUS') AS susp FROM s GROUP BY eid), ax AS (SELECT eid, count(*) AS n FROM a GROUP BY eid)
 SELECT (SELECT count(*) FROM i) AS inputs, (SELECT count(*) FROM sx) AS assessments, (SELECT count(*) FROM ax) AS alerts,
   (SELECT count(*) FROM i WHERE eid NOT IN (SELECT eid FROM sx)) AS missing_assessments,
@@ -852,10 +869,12 @@ SELECT (SELECT count(*) FROM i) AS inputs, (SELECT count(*) FROM sx) AS assessme
   (SELECT count(*) FROM ax WHERE eid NOT IN (SELECT eid FROM sx WHERE susp)) AS unexpected_alerts,
   (SELECT count(*) FROM ax WHERE n > 1) AS duplicate_alerts""".lstrip()))
 def _(spark, sf):
-    done = assessed(spark, sf, 60).select("eventId", "status", F.substring_index("transactionId", "-", -1).cast("long").alias("k"))
-    sent = fixtures.transactions(spark, sf, 60).filter("event_id % 31 <> 3")
-    seen = done.filter("k % 37 <> 5").unionByName(done.filter("k % 41 = 6"))
-    alerted = done.filter("status = 'SUSPICIOUS' AND k % 43 <> 7").unionByName(done.filter("k % 47 = 8"))
+    hour = F.expr("(occurred_ms div 3600000) % 24")
+    rows = evaluated(spark, sf, 60)
+    done = rows.select("eventId", assessment.overall_status(F.col("ruleResults")).alias("status"), hour.alias("h"))
+    sent = fixtures.transactions(spark, sf, 60).filter(hour != 1)
+    seen = done.filter("h <> 3").unionByName(done.filter("h = 5"))
+    alerted = done.filter("status = 'SUSPICIOUS' AND h <> 7").unionByName(done.filter("h = 9"))
     return metrics.reconcile(sent, seen, alerted)
 
 
@@ -907,3 +926,27 @@ def _(spark, sf):
     kind = F.col("p_partkey") % 3
     text = F.when(kind == 0, '{"type":"X"}').when(kind == 1, '{"severity":"LOW"}').otherwise('{"severity":"CRITICAL"}')
     return fixtures.table(spark, sf, "part").select("p_partkey", governance.severity_of(F.try_parse_json(text)).alias("severity"))
+
+
+# ---------------------------------------------------------------- online
+
+
+@query("online_assessments", _assess_sql(60))
+def _(spark, sf):
+    """The streaming job over the records of the transaction view, fed in two halves of arrival order."""
+    root = f"{ensure_checkpoint_dir(spark)}/online-{uuid.uuid4()}"
+    raw = materialize(fixtures.raw_records(spark, sf, 60))
+    middle = raw.agg(((F.min("arrival_seq") + F.max("arrival_seq")) / 2).cast("long")).first()[0]
+    document = fixtures.ruleset_document()
+    fixtures.published_ruleset(spark, document).write.parquet(f"{root}/rules")
+    rules = spark.readStream.schema("key string, payload string, arrival_seq long").parquet(f"{root}/rules")
+    for half in (raw.filter(F.col("arrival_seq") <= middle), raw.filter(F.col("arrival_seq") > middle)):
+        half.write.mode("append").parquet(f"{root}/records")
+        started = online.start(tables.stream_records(spark, f"{root}/records"), rules, lambda _: {1: compile_ruleset(document)},
+                               f"{root}/out", f"{root}/state", partitions=12, buckets=12,
+                               bucket=F.regexp_extract("customerId", r"(\d+)$", 1).cast("long") % 12)
+        for part in started:
+            part.awaitTermination()
+            if part.exception() is not None:
+                raise part.exception()
+    return _assess_columns(online.read_output(spark, f"{root}/out", "assessment"))

@@ -6,9 +6,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.ids import FINGERPRINT_FIELDS, iso_instant
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -93,6 +98,23 @@ def ruleset_document(version: int = 1) -> dict:
         for i, (rule_id, severity, definition) in enumerate(RULES)]}
 
 
+def published_ruleset(spark: SparkSession, document: dict, arrival_seq: int = -1) -> DataFrame:
+    """``document`` completed to a hashed snapshot record."""
+    full = {"schemaVersion": 1, "snapshotId": "snapshot", "approvedChangeRuleVersionId": "change",
+            "createdAt": "2024-01-01T00:00:00Z", **document}
+    text = json.dumps(full, sort_keys=True, separators=(",", ":"))
+    full["contentHash"] = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    return spark.createDataFrame([("ACTIVE", json.dumps(full), arrival_seq)], "key string, payload string, arrival_seq long")
+
+
+def raw_records(spark: SparkSession, sf_dir: str, time_divisor: int = 1) -> DataFrame:
+    """The transaction view as raw JSON records."""
+    tx = transactions(spark, sf_dir, time_divisor)
+    fields = [iso_instant(F.col("occurred_us")).alias(f) if f == "occurredAt" else F.col(f) for f in FINGERPRINT_FIELDS]
+    return tx.select("key", F.to_json(F.struct(*fields)).alias("value"), "partition", "offset",
+                     F.timestamp_micros("received_us").alias("timestamp"), "arrival_seq")
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw JSON records, one per event; every thirteenth kind of event id is damaged."""
     kind = F.col("event_id") % 13

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that change results or plans.  Everything else (executors, memory,
 # shuffle partitions) belongs to whoever submits the job.
@@ -54,6 +55,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of a narrow materialized table that every executor may hold (about 100 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(materialized: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a materialized narrow table that was counted and is small.
+
+    Spares shuffling the large side; beyond the limit the join is planned as usual.
+    """
+    return F.broadcast(materialized) if materialized.count() <= limit else materialized
+
+
 def share(df: DataFrame) -> DataFrame:
     """Keep ``df`` on executor disk for the branches of one batch; recomputed if lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

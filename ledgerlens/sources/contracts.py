@@ -7,7 +7,7 @@ of reason texts computed on a Variant, so a whole table is validated inside the
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -248,9 +248,11 @@ def _value_checks(field: Field, variant: Column, path: str) -> list[tuple[str, C
     return checks
 
 
-def _field_violation(field: Field, variant: Column, present: Column, path: str, label: str) -> Column:
+def _field_violation(field: Field, variant: Column, path: str, label: str) -> Column:
     """First reason the field breaks its contract, NULL when it does not."""
+    # A missing field is NULL here, an explicit JSON null is a value of type VOID.
     described = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    present = described.isNotNull()
     typed = F.coalesce(_type_ok(field.kind, described), F.lit(False))
     out = F.when(~present, F.lit(f"{label}:required") if field.required else F.lit(None).cast("string"))
     if field.nullable:
@@ -263,8 +265,7 @@ def _field_violation(field: Field, variant: Column, present: Column, path: str,
 
 def _object_violations(fields: tuple[Field, ...], variant: Column, keys: Column, prefix: str) -> list[Column]:
     out = [
-        _field_violation(f, variant, F.coalesce(F.array_contains(keys, f.name), F.lit(False)),
-                         f"$.{f.name}", prefix + f.name)
+        _field_violation(f, variant, f"$.{f.name}", prefix + f.name)
         for f in fields
     ]
     allowed = F.array(*[F.lit(f.name) for f in fields])
@@ -292,6 +293,47 @@ def violations(contract: str, text: Column, variant: Column | None = None) -> Co
     return F.when(is_object, F.array_distinct(F.array_compact(all_found))).otherwise(F.array(F.lit("document")))
 
 
+def flat_struct(contract: str) -> T.StructType:
+    """Typed columns of a contract without nested fields, in declared order."""
+    return T.StructType([T.StructField(f.name, _SPARK_KIND[f.kind]) for f in CONTRACTS[contract]])
+
+
+def same_text(contract: str, typed: Column, text: Column, *, canonical: bool = False) -> Column:
+    """Whether ``typed`` (the text read with ``flat_struct``) is written back as that very text.
+
+    Then every field has its exact JSON type and nothing else is in the document.  Other
+    field orders, spacing or escapes differ, which decides nothing.
+    """
+    names = [f.name for f in CONTRACTS[contract]]
+    ordered = F.struct(*[typed[n].alias(n) for n in (sorted(names) if canonical else names)])
+    return F.coalesce(F.to_json(ordered) == text, F.lit(False))
+
+
+def values_conform(contract: str, typed: Column) -> Column:
+    """Bounds, patterns and required fields of already typed values."""
+    checks = []
+    for field in CONTRACTS[contract]:
+        value = typed[field.name]
+        tests = []
+        if field.const is not None:
+            tests.append(value == field.const)
+        if field.minimum is not None:
+            tests.append(value >= field.minimum)
+        if field.min_length is not None:
+            tests.append(F.char_length(value) >= field.min_length)
+        if field.max_length is not None:
+            tests.append(F.char_length(value) <= field.max_length)
+        if field.pattern is not None:
+            tests.append(value.rlike(field.pattern.replace("$", r"\z")))
+        if field.enum is not None:
+            tests.append(value.isin(*field.enum))
+        if field.required:
+            checks += tests or [value.isNotNull()]
+        else:
+            checks += [value.isNull() | t for t in tests]
+    return F.coalesce(reduce(lambda x, y: x & y, checks), F.lit(False))
+
+
 def _has_wrong_type(kind: str, value: Column) -> Column:
     return ~F.coalesce(_type_ok(kind, F.schema_of_variant(value)), F.lit(False))
 

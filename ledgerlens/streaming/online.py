@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,7 +50,7 @@ def ruleset_rows(snapshots: DataFrame) -> DataFrame:
 
 
 def resolve_stream(events: DataFrame, snapshots: DataFrame, *, partitions: int,
-                   buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   buckets: int = DEFAULT_BUCKETS, bucket: Column | None = None) -> DataFrame:
     """Outcome, history flags and counts per event, as an append-only stream.
 
     ``events`` are parsed records.  Every rule set is sent to each partition and each
@@ -62,7 +62,7 @@ def resolve_stream(events: DataFrame, snapshots: DataFrame, *, partitions: int,
     to_buckets = _rows(control.withColumn(
         "bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))), "ruleset")
     rows = _rows(
-        with_bucket(events, buckets).filter("schema_valid")
+        (with_bucket(events, buckets) if bucket is None else events.withColumn("bucket", bucket)).filter("schema_valid")
         .withColumn("fingerprint", event_fingerprint(F.col("occurred_us"))), "event")
     identified = (
         rows.unionByName(to_partitions).groupBy("partition")
@@ -79,7 +79,7 @@ def batch_outputs(batch: DataFrame, rulesets: Mapping[int, RuleSet]) -> dict[str
     windows = sorted(set().union(*(r.windows() for r in rulesets.values())))
     accepted = batch.filter("outcome = 'accepted'").withColumns({
         observed_column(w): F.try_element_at("observed", F.lit(w)) for w in windows})
-    assessed = assessment.assessments(assessment.evaluate(accepted, rulesets))
+    assessed = share(assessment.assessments(assessment.evaluate(accepted, rulesets)))
     alerted = assessment.alerts(assessed)
     return {
         "disposition": batch.select("arrival_seq", "outcome"),
@@ -99,11 +99,13 @@ def start(
     *,
     partitions: int,
     buckets: int = DEFAULT_BUCKETS,
+    bucket: Column | None = None,
     trigger: dict | None = None,
 ) -> tuple[StreamingQuery, StreamingQuery]:
     """Start the evaluating query and the one that files invalid records.
 
     ``load_rulesets`` is called once per micro-batch, so a new version needs no restart.
+    ``bucket`` replaces the default hash of the customer by another function of it.
     Outputs are overwritten per batch number: with deterministic ids a repeated batch
     leaves the same rows, which makes file outputs exactly-once.
     """
@@ -118,14 +120,16 @@ def start(
         try:
             met = {r[0] for r in kept.filter("outcome = 'accepted'").select("ruleset_version").distinct().collect()}
             known = load_rulesets(session)
-            write_outputs(batch_outputs(kept, {v: known[v] for v in sorted(met)} or known), out, batch_id)
+            outputs = batch_outputs(kept, {v: known[v] for v in sorted(met)} or known)
+            write_outputs(outputs, out, batch_id)
+            outputs["assessment"].unpersist()
         finally:
             kept.unpersist()
 
     def write_invalid(batch: DataFrame, batch_id: int) -> None:
         write_outputs({"invalid": batch}, out, batch_id)
 
-    resolved = resolve_stream(events, snapshots, partitions=partitions, buckets=buckets)
+    resolved = resolve_stream(events, snapshots, partitions=partitions, buckets=buckets, bucket=bucket)
     main = (resolved.writeStream.foreachBatch(write).outputMode("append")
             .option("checkpointLocation", f"{checkpoint}/evaluate").trigger(**trigger).start())
     rejected = (invalid_references(events).writeStream.foreachBatch(write_invalid).outputMode("append")
