@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState
 
 from ledgerlens.operators.history import RETENTION_MS
 from ledgerlens.operators.identity import EVENT_CONFLICT, HORIZON_MS, TRANSACTION_CONFLICT
@@ -47,6 +48,26 @@ def _fields(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields]
 
 
+class _Touched:
+    """Map entries used in one call: each is read once and written once."""
+
+    def __init__(self, state: MapState) -> None:
+        self._state, self._values, self._changed = state, {}, set()
+
+    def get(self, key: tuple) -> tuple | None:
+        if key not in self._values:
+            self._values[key] = self._state.getValue(key)
+        return self._values[key]
+
+    def put(self, key: tuple, value: tuple) -> None:
+        self._values[key] = value
+        self._changed.add(key)
+
+    def store(self) -> None:
+        for key in self._changed:
+            self._state.updateValue(key, self._values[key])
+
+
 class _ArrivalOrdered(StatefulProcessor):
     """Common parts: arrival order, stream time, and the rule set in force."""
 
@@ -75,6 +96,7 @@ class IdentityProcessor(_ArrivalOrdered):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         time, swept, version, windows = self._start()
+        seen = _Touched(self._seen)
         for row in self._ordered(rows):
             if row["kind"] == "ruleset":
                 if version is None or row["ruleset_version"] > version:
@@ -88,12 +110,13 @@ class IdentityProcessor(_ArrivalOrdered):
                 yield Row(**{**out, "outcome": "no_ruleset"})
                 continue
             entry = (row["transactionId"],)
-            known = self._seen.getValue(entry) if self._seen.containsKey(entry) else None
+            known = seen.get(entry)
             if known is None or time - known[1] >= HORIZON_MS:
-                self._seen.updateValue(entry, (row["eventId"], time))
+                seen.put(entry, (row["eventId"], time))
             elif known[0] != row["eventId"]:
                 out.update(outcome=TRANSACTION_CONFLICT, first_seen=known[0])
             yield Row(**out)
+        seen.store()
         if time is not None and time - swept >= SWEEP_EVERY_MS:
             expired = [k for k, v in self._seen.iterator() if time - v[1] >= HORIZON_MS]
             for k in expired:
@@ -113,6 +136,7 @@ class CustomerProcessor(_ArrivalOrdered):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         time, swept, version, windows = self._start()
         times: dict[str, list[int]] = {}
+        events = _Touched(self._events)
         names = _fields(OUT_SCHEMA)
         for row in self._ordered(rows):
             if row["kind"] == "ruleset":
@@ -128,15 +152,16 @@ class CustomerProcessor(_ArrivalOrdered):
             time = row["occurred_ms"] if time is None else max(time, row["occurred_ms"])
             out["stream_time_2"] = time
             entry = (row["customerId"], row["eventId"])
-            known = self._events.getValue(entry) if self._events.containsKey(entry) else None
+            known = events.get(entry)
             if known is not None and time - known[1] < HORIZON_MS:
                 same = known[0] == row["fingerprint"]
                 out.update(outcome="duplicate" if same else EVENT_CONFLICT, first_seen=known[0])
             else:
-                self._events.updateValue(entry, (row["fingerprint"], time))
+                events.put(entry, (row["fingerprint"], time))
                 out.update(outcome="accepted", ruleset_version=version,
                            **self._evaluate(times, row, time, windows))
             yield Row(**{n: out[n] for n in names})
+        events.store()
         for customer, kept in times.items():
             self._history.updateValue((customer,), (kept,))
         if time is not None and time - swept >= SWEEP_EVERY_MS:
@@ -147,8 +172,8 @@ class CustomerProcessor(_ArrivalOrdered):
     def _evaluate(self, times: dict[str, list[int]], row: Row, time: int, windows: list[int]) -> dict:
         customer, at = row["customerId"], row["occurred_us"]
         if customer not in times:
-            entry = (customer,)
-            times[customer] = list(self._history.getValue(entry)[0]) if self._history.containsKey(entry) else []
+            stored = self._history.getValue((customer,))
+            times[customer] = [] if stored is None else list(stored[0])
         facts = times[customer]
         floor = (time - RETENTION_MS) * 1000
         del facts[: bisect_left(facts, floor)]
