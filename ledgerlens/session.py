@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Settings that change results or plans.  Everything else (executors, memory,
@@ -55,16 +55,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Rows of a narrow materialized table that every executor may hold (about 100 MB).
+def materialize_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and, from the same job, ``rows`` and further aggregates of it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
+    return observed.checkpoint(eager=True), seen.get
+
+
+# Rows of a narrow table that every executor may hold (about 100 MB).
 BROADCAST_ROWS = 1_000_000
 
 
-def sized(materialized: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a materialized narrow table that was counted and is small.
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast for a narrow table that was counted and is small.
 
     Spares shuffling the large side; beyond the limit the join is planned as usual.
     """
-    return F.broadcast(materialized) if materialized.count() <= limit else materialized
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def share(df: DataFrame) -> DataFrame:

@@ -111,6 +111,8 @@ def start(
     """
     spark = records.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # Commit what changed in a micro-batch, not a whole snapshot of the state.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     trigger = trigger or {"availableNow": True}
     events = parse_events(records)
 

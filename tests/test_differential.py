@@ -47,7 +47,7 @@ def resolve(spark, rows, fold_limit, width):
     left = df.join(conflicts.select("arrival_seq"), "arrival_seq", "left_anti")
     survivors = materialize(running_max(left, ["bucket"], "arrival_seq", "occurred_ms", "stream_time_2", width=width))
     repeats = materialize(identity.event_repeats(
-        survivors, lambda df: df.withColumn("val", F.col("fingerprint")), fold_limit=fold_limit))
+        survivors, lambda df, _: df.withColumn("val", F.col("fingerprint")), fold_limit=fold_limit))
     accepted = survivors.join(repeats.select("arrival_seq"), "arrival_seq", "left_anti")
     return conflicts.unionByName(repeats), materialize(accepted)
 
