@@ -50,7 +50,7 @@ def stream(spark: SparkSession, path: str, root: str) -> None:
     snapshots.write.mode("overwrite").parquet(f"{root}/rules")
     queries = online.start(
         tables.stream_records(spark, path), spark.readStream.schema(snapshots.schema).parquet(f"{root}/rules"),
-        lambda _: {1: compile_ruleset(AMOUNT_ONLY)}, f"{root}/out", f"{root}/state", partitions=12, buckets=64)
+        lambda *_: {1: compile_ruleset(AMOUNT_ONLY)}, f"{root}/out", f"{root}/state", partitions=12, buckets=64)
     for q in queries:
         q.awaitTermination()
 

@@ -6,10 +6,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.ids import alert_id, assessment_id, notification_request_id
 from ledgerlens.operators.rules import RuleSet
-from ledgerlens.sources.contracts import SEVERITIES
+from ledgerlens.sources.contracts import RULE_RESULT_TYPE, SEVERITIES
 
 # What every notification request says.
 CATEGORY = "SUSPICIOUS_TRANSACTION"
@@ -46,6 +47,8 @@ def final_severity(results: Column) -> Column:
 def evaluate(events: DataFrame, rulesets: Mapping[int, RuleSet]) -> DataFrame:
     """Add ``ruleResults`` under each event's own ``ruleset_version``."""
     versions = sorted(rulesets)
+    if not versions:
+        return events.withColumn("ruleResults", F.lit(None).cast(T.ArrayType(RULE_RESULT_TYPE)))
     if len(versions) <= VERSIONS_PER_PASS:
         return events.withColumn("ruleResults", _results(rulesets, versions))
     # Versions follow each other in arrival order, so every pass is a contiguous range.

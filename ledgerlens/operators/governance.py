@@ -47,16 +47,16 @@ def propose(proposals: DataFrame) -> DataFrame:
     reason = (
         F.when(~F.col("change_type").isin(*CHANGE_TYPES), "INVALID_CHANGE_TYPE")
         .when(F.col("change_type") == "UPSERT",
-              definition_reason(F.try_parse_json(F.col("definition"))))
+              definition_reason(F.col("__v")))
     )
-    marked = proposals.withColumn("reject_reason", reason).withColumn(
+    marked = proposals.withColumn("__v", F.try_parse_json("definition")).withColumn("reject_reason", reason).withColumn(
         "__one", F.when(F.col("reject_reason").isNull(), 1).otherwise(0))
     numbered = running_sum(marked, ["rule_id"], "proposal_seq", "__one", "__n")
     return numbered.withColumn(
         "version_number", F.when(F.col("reject_reason").isNull(), F.col("__n").cast("int"))
     ).withColumn(
         "definition", F.when(F.col("change_type") == "UPSERT", F.col("definition"))
-    ).drop("__one", "__n")
+    ).drop("__one", "__n", "__v")
 
 
 def next_version_number(versions: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,13 +132,15 @@ def with_active_version(events: DataFrame, accepted: DataFrame, span: int = SPAN
     return joined.select("e.*", "ruleset_version").drop("__piece")
 
 
-def load_rulesets(accepted: DataFrame) -> dict[int, RuleSet]:
-    """Compile accepted snapshots, streamed to the driver one at a time.
+def load_rulesets(accepted: DataFrame, versions: Collection[int] | None = None) -> dict[int, RuleSet]:
+    """Compile accepted snapshots (or just the named versions), one document at a time.
 
     Each is at most 1 MiB and 100 rules, by the limits of governance.
     """
+    wanted = accepted if versions is None else accepted.filter(F.col("version").isin(*versions))
+
     def documents() -> Iterator[dict]:
-        for row in accepted.select("payload").toLocalIterator():
+        for row in wanted.select("payload").toLocalIterator():
             yield json.loads(row["payload"])
 
     return {r.version: r for r in map(compile_ruleset, documents())}

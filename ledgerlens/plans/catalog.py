@@ -942,7 +942,7 @@ def _(spark, sf):
     rules = spark.readStream.schema("key string, payload string, arrival_seq long").parquet(f"{root}/rules")
     for half in (raw.filter(F.col("arrival_seq") <= middle), raw.filter(F.col("arrival_seq") > middle)):
         half.write.mode("append").parquet(f"{root}/records")
-        started = online.start(tables.stream_records(spark, f"{root}/records"), rules, lambda _: {1: compile_ruleset(document)},
+        started = online.start(tables.stream_records(spark, f"{root}/records"), rules, lambda *_: {1: compile_ruleset(document)},
                                f"{root}/out", f"{root}/state", partitions=12, buckets=12,
                                bucket=F.regexp_extract("customerId", r"(\d+)$", 1).cast("long") % 12)
         for part in started:

@@ -93,7 +93,7 @@ def batch_outputs(batch: DataFrame, rulesets: Mapping[int, RuleSet]) -> dict[str
 def start(
     records: DataFrame,
     snapshots: DataFrame,
-    load_rulesets: Callable[[SparkSession], Mapping[int, RuleSet]],
+    load_rulesets: Callable[[SparkSession, set[int]], Mapping[int, RuleSet]],
     out: str,
     checkpoint: str,
     *,
@@ -104,7 +104,8 @@ def start(
 ) -> tuple[StreamingQuery, StreamingQuery]:
     """Start the evaluating query and the one that files invalid records.
 
-    ``load_rulesets`` is called once per micro-batch, so a new version needs no restart.
+    ``load_rulesets`` is asked once per micro-batch for the versions its events met, so a
+    new version needs no restart and old ones are not held.
     ``bucket`` replaces the default hash of the customer by another function of it.
     Outputs are overwritten per batch number: with deterministic ids a repeated batch
     leaves the same rows, which makes file outputs exactly-once.
@@ -121,8 +122,8 @@ def start(
         kept = share(batch)
         try:
             met = {r[0] for r in kept.filter("outcome = 'accepted'").select("ruleset_version").distinct().collect()}
-            known = load_rulesets(session)
-            outputs = batch_outputs(kept, {v: known[v] for v in sorted(met)} or known)
+            known = load_rulesets(session, met) if met else {}
+            outputs = batch_outputs(kept, {v: known[v] for v in sorted(met)})
             write_outputs(outputs, out, batch_id)
             outputs["assessment"].unpersist()
         finally:

@@ -55,7 +55,7 @@ def test_stream_equals_batch_over_restart_and_rule_change(spark, tmp_path):
         queries = online.start(
             stream_records(spark, f"{tmp_path}/records", files_per_batch=1),
             spark.readStream.schema(rules_schema).parquet(f"{tmp_path}/rules"),
-            lambda _: sets, f"{tmp_path}/out", f"{tmp_path}/state", partitions=3, buckets=4)
+            lambda *_: sets, f"{tmp_path}/out", f"{tmp_path}/state", partitions=3, buckets=4)
         for q in queries:
             assert q.awaitTermination(300) and q.exception() is None
 
