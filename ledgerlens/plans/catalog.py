@@ -944,6 +944,7 @@ def _(spark, sf):
         half.write.mode("append").parquet(f"{root}/records")
         started = online.start(tables.stream_records(spark, f"{root}/records"), rules, lambda *_: {1: compile_ruleset(document)},
                                f"{root}/out", f"{root}/state", partitions=12, buckets=12,
+                               state_partitions=min(12, spark.sparkContext.defaultParallelism),
                                bucket=F.regexp_extract("customerId", r"(\d+)$", 1).cast("long") % 12)
         for part in started:
             part.awaitTermination()

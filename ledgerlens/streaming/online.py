@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,10 +18,15 @@ from ledgerlens.plans.risk import DEFAULT_BUCKETS, with_bucket
 from ledgerlens.session import share
 from ledgerlens.sources.ingest import TRANSACTION_TOPIC, invalid_references, parse_events
 from ledgerlens.sources.tables import write_outputs
+from ledgerlens.streaming import processors
 from ledgerlens.streaming.processors import OUT_SCHEMA, ROW_SCHEMA, CustomerProcessor, IdentityProcessor
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# The Python worker that prepares a stateful operator on the driver does not see files added
+# to the session, so the processors travel as values.
+cloudpickle.register_pickle_by_value(processors)
+
 
 class NotReady(RuntimeError):
     """No valid rule set is loaded, so the job must not start."""
@@ -100,12 +106,14 @@ def start(
     partitions: int,
     buckets: int = DEFAULT_BUCKETS,
     bucket: Column | None = None,
+    state_partitions: int | None = None,
     trigger: dict | None = None,
 ) -> tuple[StreamingQuery, StreamingQuery]:
     """Start the evaluating query and the one that files invalid records.
 
     ``load_rulesets`` is asked once per micro-batch for the versions its events met, so a
     new version needs no restart and old ones are not held.
+    ``state_partitions`` is the number of state stores, fixed for the life of the checkpoint.
     ``bucket`` replaces the default hash of the customer by another function of it.
     Outputs are overwritten per batch number: with deterministic ids a repeated batch
     leaves the same rows, which makes file outputs exactly-once.
@@ -114,6 +122,9 @@ def start(
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # Commit what changed in a micro-batch, not a whole snapshot of the state.
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions is not None:
+        spark.conf.set("spark.sql.shuffle.partitions", state_partitions)
     trigger = trigger or {"availableNow": True}
     events = parse_events(records)
 
@@ -137,6 +148,8 @@ def start(
             .option("checkpointLocation", f"{checkpoint}/evaluate").trigger(**trigger).start())
     rejected = (invalid_references(events).writeStream.foreachBatch(write_invalid).outputMode("append")
                 .option("checkpointLocation", f"{checkpoint}/invalid").trigger(**trigger).start())
+    # A query keeps the settings it was started with.
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     return main, rejected
 
 
