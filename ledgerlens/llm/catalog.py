@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import url_filters
+from ledgerlens.llm import pii, url_filters
 
 QUERIES = {
+    "op3_pii": pii.op3_pii,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLES = {
+    "op3_pii": pii.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
