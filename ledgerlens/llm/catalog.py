@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import pii, url_filters
+from ledgerlens.llm import chat, pii, url_filters, warc
 
 QUERIES = {
     "op3_pii": pii.op3_pii,
+    "op7_warc": warc.op7_warc,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLES = {
     "op3_pii": pii.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op9_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
