@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat, pii, url_filters, warc
+from ledgerlens.llm import chat, decontaminate, pii, url_filters, warc
 
 QUERIES = {
     "op3_pii": pii.op3_pii,
     "op7_warc": warc.op7_warc,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_url_filters": url_filters.op10_url_filters,
 }
@@ -14,6 +15,7 @@ QUERIES = {
 ORACLES = {
     "op3_pii": pii.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
