@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat, decontaminate, pii, url_filters, warc
+from ledgerlens.llm import chat, decontaminate, pii, simhash, url_filters, warc
 
 QUERIES = {
     "op3_pii": pii.op3_pii,
+    "op5_simhash": simhash.op5_simhash,
     "op7_warc": warc.op7_warc,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_formatting": chat.op9_chat_formatting,
