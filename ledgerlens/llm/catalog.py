@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat, decontaminate, pii, simhash, url_filters, warc
+from ledgerlens.llm import chat, decontaminate, langid, pii, simhash, url_filters, warc
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op3_pii": pii.op3_pii,
     "op5_simhash": simhash.op5_simhash,
     "op7_warc": warc.op7_warc,
