@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat, decontaminate, langid, pii, simhash, url_filters, warc
+from ledgerlens.llm import chat, decontaminate, langid, packing, pii, simhash, url_filters, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_packing": packing.op2_packing,
     "op3_pii": pii.op3_pii,
     "op5_simhash": simhash.op5_simhash,
     "op7_warc": warc.op7_warc,
