@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat, decontaminate, langid, packing, pii, simhash, url_filters, warc
+from ledgerlens.llm import chat, decontaminate, langid, packing, pii, simhash, substrings, url_filters, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_packing": packing.op2_packing,
     "op3_pii": pii.op3_pii,
     "op5_simhash": simhash.op5_simhash,
+    "op6_substrings": substrings.op6_substrings,
     "op7_warc": warc.op7_warc,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_formatting": chat.op9_chat_formatting,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_pii": pii.ORACLE,
+    "op6_substrings": substrings.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
