@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat, decontaminate, langid, packing, pii, simhash, substrings, url_filters, warc
+from ledgerlens.llm import chat, decontaminate, langid, packing, pii, quality, simhash, substrings, url_filters, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_packing": packing.op2_packing,
     "op3_pii": pii.op3_pii,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_simhash": simhash.op5_simhash,
     "op6_substrings": substrings.op6_substrings,
     "op7_warc": warc.op7_warc,
