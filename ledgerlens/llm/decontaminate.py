@@ -180,10 +180,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without those contaminated by ``items``: what is contaminated depends on the text alone, so texts are matched."""
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
-    marked = docs.withColumn("_digest", digest)
-    bad = contamination(marked, items, "_digest", text).where("contaminated").select("_digest").distinct()
-    return marked.join(bad, "_digest", "left_anti").select(*docs.columns)
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"))
+    bad = contamination(marked, items, "digest").where("contaminated").select("digest").distinct()
+    return marked.join(bad, "digest", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

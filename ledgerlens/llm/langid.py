@@ -206,7 +206,7 @@ def _predict(model, langs: list[str], path: str):
         for batch in batches:
             names, best = [], []
             for at in range(0, len(batch), 256):
-                texts = batch.column(1)[at:at + 256].to_pylist()
+                texts = batch.column(0)[at:at + 256].to_pylist()
                 if len(number) > FLUSH_WORDS:
                     number.clear()
                 counted = [Counter(words_of(t)) if t and langs else {} for t in texts]
@@ -221,20 +221,28 @@ def _predict(model, langs: list[str], path: str):
                     i = int(np.argmax(total))
                     names.append(langs[i])
                     best.append(float(1.0 / np.exp((total - total[i]) / np.sqrt(n.sum())).sum()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(2, batch.num_columns)], pa.array(names, type=pa.string()),
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, batch.num_columns)], pa.array(names, type=pa.string()),
                                               pa.array(best, type=pa.float64())],
-                                             names=[*batch.schema.names[2:], "lang_pred", "score"])
+                                             names=[*batch.schema.names[1:], "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray], keep: tuple[str, ...], text: str = "text", path: str | None = None) -> DataFrame:
-    """The columns ``keep`` of every document, with ``lang_pred`` and ``score``; only the text is looked at."""
+    """The columns ``keep`` of every document, then ``lang_pred`` and ``score``; only the text is looked at."""
     langs, model = learned
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.lit(0).alias("_"), F.col(text).alias("_text"), *[F.col(c) for c in keep])
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_predict(shared, langs, path or public_tokenizers.path(VOCABULARY)), f"{kinds}, lang_pred string, score double")
+    rows = docs.select(F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    found = rows.mapInArrow(_predict(shared, langs, path or public_tokenizers.path(VOCABULARY)), f"{kinds}, lang_pred string, score double")
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, learned: tuple[list[str], np.ndarray], least: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` without texts of no language or of a score under ``least``."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    found = identify(packed, learned, ("row",)).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def held_out(key: str = "doc_id") -> Column:

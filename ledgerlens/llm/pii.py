@@ -163,7 +163,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Kind by kind, on what the kinds before have left, by putting pieces and replaced matches together.
     """
-    names, df = docs.columns, docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    df = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for kind in sorted(KINDS, key=lambda k: ("email", "iban", "card", "phone", "ip", "ssn", "local").index(k.name)):
         k = f"_{kind.name}"
         df = with_candidates(df, "_text", kind)
@@ -171,7 +171,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             s.ok & (F.lit(kind.base) | (s.score >= THRESHOLD)), F.lit(f"[{kind.name.upper()}]")).otherwise(m))
         whole = F.array_join(F.zip_with(f"{k}_p", shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
         df = df.withColumn("_text", F.when(F.exists(_kept(kind), lambda s: F.lit(True)), whole).otherwise(F.col("_text")))
-    return df.select(*[F.when(F.col(c).isNotNull(), F.col("_text")).alias(c) if c == text else F.col(c) for c in names])
+    row = F.col("_row")
+    return df.select(*[F.when(row[c].isNotNull(), F.col("_text")).alias(c) if c == text else row[c].alias(c) for c in docs.columns])
 
 
 def joined(found: Column) -> Column:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, staged, table
+from ledgerlens.llm.textio import CACHE_WORDS
 
 BITS, RADIUS = 64, 4
 SHINGLE, SEED = 4, 42
@@ -224,3 +225,103 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linked(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# Near-duplicates by similarity of shingle sets, for the pipeline.
+
+PRINTS = "digest string, id {}, fps array<bigint>"
+SET = "node long, n int, shingles binary"
+
+
+def _word_fingerprints(tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        hashes = np.empty((1 << 12, tables), dtype=np.uint64)
+        for batch in batches:
+            out = np.zeros((len(batch), tables), dtype=np.uint64)
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                words = set((text or b"").lower().split())
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                for w in words.difference(known):
+                    if len(known) == len(hashes):
+                        hashes = np.resize(hashes, (2 * len(hashes), tables))
+                    hashes[len(known)] = [xxhash.xxh3_64_intdigest(w, t) for t in range(tables)]
+                    known[w] = len(known)
+                if words:
+                    out[i] = majority(hashes[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))], len(words))
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * tables), pa.array(out.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["digest", "id", "fps"])
+
+    return run
+
+
+def shingle_set(text: bytes | None, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of lower-cased words; fewer words are one shingle, none is no shingle."""
+    w = (text or b"").lower().split()
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(size)))) if len(w) >= size else [b" ".join(w)] if w else []
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), dtype=np.uint64))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], type=pa.int32()),
+                                          pa.array([x.tobytes() for x in sets], type=pa.binary())], names=["node", "n", "shingles"])
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= least * (len(x) + len(y) - both):
+                    keep.append(i)
+            keep = pa.array(keep, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs, those whose shingle sets are at least ``least`` similar."""
+    sizes = sets.select("node", "n")
+    near = (pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+            .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+            .where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")))
+    laid = (near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
+    return staged(laid.select("a", "b", "sa", "sb").mapInArrow(_similar(least), EDGES))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: int = TABLES, least: float = NEAR) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that with the smallest key; null and empty texts are one group.
+
+    Candidates are linked in two steps: every text with its first candidate, then candidates that still lie in different
+    groups, so that a large group of copies costs a check or a few for each member and not one for each pair.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"),
+                       F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
+    prints = staged(rows.select("digest", "id", "text").mapInArrow(_word_fingerprints(tables), PRINTS.format(kind)))
+    distinct = staged(prints.groupBy("digest").agg(F.min("id").alias("low"), F.first("fps").alias("fps"))
+                      .withColumn("node", F.monotonically_increasing_id()))
+    each = distinct.select(F.posexplode("fps").alias("table", "fp"), "node")
+    edges = staged(close_pairs(each, distinct.count(), 4, False))
+    needed = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(distinct, "node").select("digest", "low", "node")
+    met = rows.select("digest", "id", "text").join(needed, "digest").where(F.col("id").eqNullSafe(F.col("low")))
+    sets = staged(met.select("node", "text").mapInArrow(_sets, SET).dropDuplicates(["node"]))
+    first = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least)
+    group = components(first, "a", "b")
+    rest = (edges.join(group.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left")
+            .join(group.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
+            .where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"))
+    links = first.unionByName(_verified(rest, sets, least))
+    group = components(links, "a", "b")
+    kept = group.join(distinct, "node").groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("null"), "low", "node")).alias("m"))
+    gone = group.join(kept.select(F.col("m.node").alias("node")), "node", "left_anti").select("node")
+    keepers = distinct.join(gone, "node", "left_anti").select("digest", "low")
+    left = rows.select("row", "digest", "id").join(keepers, "digest").where(F.col("id").eqNullSafe(F.col("low")))
+    return left.select("digest", "row").dropDuplicates(["digest"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
