@@ -2,7 +2,7 @@
 
 Writing: payloads are hashed, the largest id of each equal payload is found by a combined maximum over narrow
 rows, and only payloads seen more than once are joined back to the pages.  A record ends with two line
-breaks, so Spark's text writer with that separator produces the archive files, with its commit protocol.
+breaks, so Spark's text writer with that separator produces the archive files, gzipped, with its commit protocol.
 
 Reading: every archive file is parsed by the lengths in its headers, digests are checked, and its captures
 are sorted by URL key and time: one run per file.  Merging: runs are cut at range boundaries of (URL key,
@@ -17,6 +17,7 @@ with the largest id are responses.  Extra columns are ignored.  Bytes that disag
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -85,11 +86,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, file_records: int = 4
     """Archives of ``pages`` (id, url, captured, payload) under ``path``."""
     plain = pages.withColumn("payload", F.coalesce("payload", F.lit("")))
     (with_references(plain, min_bytes).select(record().alias("value"))
-     .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", file_records).text(path))
+     .write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path))
 
 
 CAPTURES = ("url_key string, captured string, id long, record_type string, refers_to long, payload_bytes long, "
-            "payload_digest string, file string, offset long, length long, place long")
+            "payload_digest string, file string, offset long, length long, place long")  # offsets are those before compression
 
 
 def url_key(uri: str) -> str:
@@ -142,7 +143,7 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             run = []
-            for headers, at, length, block in parse(content):
+            for headers, at, length, block in parse(gzip.decompress(content) if path.endswith(".gz") else content):
                 kind, refers, size, digest = capture_of(headers, block)
                 run.append((url_key(headers.get("WARC-Target-URI", "")), headers["WARC-Date"], _page(headers["WARC-Record-ID"]),
                             kind, refers, size, digest, path, at, length))
