@@ -53,35 +53,79 @@ def pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """Forward and backward sums over all segmentations, for many words of one length at once."""
+    """Forward and backward sums over all segmentations, for many words of one length at once.
+
+    Substrings are looked up by a 64-bit polynomial hash, all lengths that end at one letter together.
+    """
+
+    BASE, SLOT_BITS, FILTER_BITS = np.uint64(0x9E3779B97F4A7C15), 22, 18
 
     def __init__(self, vocabulary: list[str]) -> None:
-        self.at = {p: i for i, p in enumerate(vocabulary)}
         self.longest = max(map(len, vocabulary), default=1) or 1
-        self.none = len(vocabulary)  # a row of zero probability
-
-    def ids(self, words: list[str], end: int) -> np.ndarray:
-        """Pieces of each length that end at ``end``: (words, lengths)."""
-        get, none = self.at.get, self.none
-        reach = range(1, min(end, self.longest) + 1)
-        out = np.array([[get(w[end - k:end], none) for k in reach] for w in words], dtype=np.int32)
-        lone = out[:, 0] == none
-        out[lone, 0] = 0  # a letter that is no piece is the unknown piece
-        return out
+        keys = np.array([self._hash(p) for p in vocabulary], dtype=np.uint64)
+        if len(set(keys.tolist())) < len(keys):
+            raise ValueError("two pieces share a hash")
+        self.keys = keys
+        # two tables of slots; a piece whose first slot is taken goes to the second table
+        self.spread = (np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F))
+        self.slots = [np.zeros(1 << self.SLOT_BITS, dtype=np.int32) for _ in self.spread]
+        for piece in range(1, len(vocabulary)):
+            for table_, slot in zip(self.slots, self._slots(keys[piece:piece + 1])):
+                if not table_[slot[0]]:
+                    table_[slot[0]] = piece
+                    break
+            else:
+                raise ValueError("no slot for a piece")
+        self.maybe = np.zeros(1 << self.FILTER_BITS, dtype=bool)  # small enough for a cache: most substrings end here
+        self.maybe[(keys[1:] * self.spread[0]) >> np.uint64(64 - self.FILTER_BITS)] = True
+
+    def _slots(self, keys: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            return [(keys * m) >> np.uint64(64 - self.SLOT_BITS) for m in self.spread]
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + ord(c) + 1) % (1 << 64)
+        return h
+
+    def matches(self, words: list[str]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each end in turn: (length, rows, pieces) of the pieces that end there; the unknown piece where a letter is none."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+        before = np.zeros((0, len(words)), dtype=np.uint64)
+        for end in range(codes.shape[1]):
+            with np.errstate(over="ignore"):
+                longer = before[:self.longest - 1] * self.BASE + codes[:, end]
+            before = np.concatenate((codes[None, :, end], longer))
+            with np.errstate(over="ignore"):
+                k, rows = np.nonzero(self.maybe[(before * self.spread[0]) >> np.uint64(64 - self.FILTER_BITS)])
+            key = before[k, rows]
+            first, second = self._slots(key)
+            piece = self.slots[0][first]
+            wrong = np.nonzero(self.keys[piece] != key)[0]
+            other = self.slots[1][second[wrong]]
+            piece[wrong] = np.where(self.keys[other] == key[wrong], other, 0)
+            good = piece > 0
+            k, rows, piece = k[good], rows[good], piece[good]
+            cuts = np.searchsorted(k, np.arange(len(before) + 1))
+            single = np.zeros(len(words), dtype=np.int32)
+            single[rows[:cuts[1]]] = piece[:cuts[1]]
+            found = [(1, slice(None), single)]
+            found += [(i + 1, rows[a:b], piece[a:b]) for i, (a, b) in enumerate(zip(cuts[1:-1], cuts[2:]), 1) if b > a]
+            yield found
 
     def forward(self, words: list[str], p: np.ndarray, keep: bool = False):
-        """Log probabilities (words, languages) of words of one length; ``p`` has a zero row at its end."""
-        n, length, langs = len(words), len(words[0]), p.shape[1]
-        alpha = [np.ones((n, langs))]
-        scale, ids = np.zeros((n, langs)), []
-        for end in range(1, length + 1):
-            at = self.ids(words, end)
+        """Log probabilities (words, languages) of words of one length."""
+        n, langs = len(words), p.shape[1]
+        alpha, met = [np.ones((n, langs))], []
+        scale = np.zeros((n, langs))
+        for end, found in enumerate(self.matches(words), 1):
             now = np.zeros((n, langs))
-            for k in range(at.shape[1]):
-                now += alpha[-1 - k] * p[at[:, k]]
+            for k, rows, piece in found:
+                now[rows] += alpha[-k][rows] * p[piece]
             alpha.append(now)
             if keep:
-                ids.append(at)
+                met.append(found)
             else:
                 alpha = alpha[-self.longest:]
                 if end % 16 == 0:  # rescale what is still in reach
@@ -89,21 +133,23 @@ class Lattice:
                     alpha = [a / top for a in alpha]
                     scale += np.log(top)
         total = np.log(np.maximum(alpha[-1], 1e-300)) + scale
-        return (total, alpha, ids) if keep else total
+        return (total, alpha, met) if keep else total
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray, into: np.ndarray) -> None:
         """Adds the expected uses of each piece in ``words`` (of one length, ``counts`` per language)."""
-        _, alpha, ids = self.forward(words, p, keep=True)
+        _, alpha, met = self.forward(words, p, keep=True)
         length = len(words[0])
-        beta = [None] * length + [np.ones_like(alpha[0])]
-        weight = np.divide(counts, alpha[-1], out=np.zeros_like(alpha[0]), where=alpha[-1] > 0)
+        beta = [np.zeros_like(alpha[0]) for _ in range(length)] + [np.divide(counts, alpha[-1], out=np.zeros_like(alpha[0]), where=alpha[-1] > 0)]
+        used, uses = [], []
         for end in range(length, 0, -1):
-            at, out = ids[end - 1], beta[end]
-            for k in range(at.shape[1]):
-                begin = end - 1 - k
-                step = p[at[:, k]] * out
-                beta[begin] = step if beta[begin] is None else beta[begin] + step
-                np.add.at(into, at[:, k], alpha[begin] * step * weight)
+            for k, rows, piece in met[end - 1]:
+                step = p[piece] * beta[end][rows]
+                beta[end - k][rows] += step
+                used.append(piece)
+                uses.append(alpha[end - k][rows] * step)
+        used, uses = np.concatenate(used), np.concatenate(uses)
+        for lang in range(p.shape[1]):
+            into[:, lang] += np.bincount(used, weights=uses[:, lang], minlength=len(into))
 
 
 LONG_WORD = 40  # longer ones are not learned from: their products leave the range of a float
@@ -114,24 +160,31 @@ def words_of(text: str) -> list[str]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
+    counts: dict[str, Counter] = {}  # of what stands between blanks; its words are found once for all its occurrences
 
     def rows() -> pa.RecordBatch:
-        lang = [x for x, c in counts.items() for _ in range(len(c))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, type=pa.string()), pa.array([w for c in counts.values() for w in c], type=pa.string()),
-             pa.array([n for c in counts.values() for n in c.values()], type=pa.int64())], names=["lang", "word", "n"])
+        lang, word, n = [], [], []
+        for x, chunks in counts.items():
+            of: Counter = Counter()
+            for chunk, times in chunks.items():
+                for w in LETTERS.findall(chunk):
+                    of[w] += times
+            lang += [x] * len(of)
+            word += of.keys()
+            n += of.values()
+        return pa.RecordBatch.from_arrays([pa.array(lang, type=pa.string()), pa.array(word, type=pa.string()), pa.array(n, type=pa.int64())],
+                                          names=["lang", "word", "n"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(words_of(text))
+            counts.setdefault(lang, Counter()).update(text.lower().split())
             if sum(map(len, counts.values())) > FLUSH_WORDS:
                 yield rows()
                 counts = {}
     yield rows()
 
 
-def by_length(words: list[str], block: int = 4096) -> Iterator[np.ndarray]:
+def by_length(words: list[str], block: int = 2048) -> Iterator[np.ndarray]:
     """Row numbers of words of equal length, in blocks."""
     length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     for n in np.unique(length):
@@ -189,38 +242,42 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
 def _predict(model, langs: list[str], path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, p = Lattice(pieces(path)), model.value
-        number: dict[str, int] = {}
-        scores = np.zeros((1 << 12, max(1, len(langs))))
-
-        def learn(words: list[str]) -> None:
-            nonlocal scores
-            marked = [MARK + w for w in words]
-            while len(number) + len(words) > len(scores):
-                scores = np.resize(scores, (2 * len(scores), scores.shape[1]))
-            base = len(number)
-            for rows in by_length(marked):
-                scores[base + rows] = lattice.forward([marked[i] for i in rows], p)
-            for i, w in enumerate(words):
-                number[w] = base + i
+        number: dict[str, int] = {}  # of what stands between blanks
+        scores, sizes = np.zeros((1 << 12, max(1, len(langs)))), np.zeros(1 << 12)
+
+        def learn(chunks: list[str]) -> None:
+            nonlocal scores, sizes
+            found = [LETTERS.findall(c) for c in chunks]
+            words = list({MARK + w for f in found for w in f})
+            at, score = {w: i for i, w in enumerate(words)}, np.zeros((len(words), scores.shape[1]))
+            for rows in by_length(words):
+                score[rows] = lattice.forward([words[i] for i in rows], p)
+            while len(number) + len(chunks) > len(scores):
+                scores, sizes = np.resize(scores, (2 * len(scores), scores.shape[1])), np.resize(sizes, 2 * len(sizes))
+            for chunk, f in zip(chunks, found):
+                i = number[chunk] = len(number)
+                sizes[i] = len(f)
+                scores[i] = score[at[MARK + f[0]]] if len(f) == 1 else sum((score[at[MARK + w]] for w in f), np.zeros(scores.shape[1]))
 
         for batch in batches:
             names, best = [], []
             for at in range(0, len(batch), 256):
-                texts = batch.column(0)[at:at + 256].to_pylist()
                 if len(number) > FLUSH_WORDS:
                     number.clear()
-                counted = [Counter(words_of(t)) if t and langs else {} for t in texts]
-                learn(list({w for c in counted for w in c if w not in number}))
-                for c in counted:
-                    if not c:
+                counted = [Counter(t.lower().split()) if t and langs else {} for t in batch.column(0)[at:at + 256].to_pylist()]
+                learn(list({c for of in counted for c in of if c not in number}))
+                for of in counted:
+                    rows = np.fromiter(map(number.__getitem__, of), dtype=np.int64, count=len(of))
+                    n = np.fromiter(of.values(), dtype=np.float64, count=len(of))
+                    words = float(n @ sizes[rows])
+                    if not words:
                         names.append(UND)
                         best.append(0.0)
                         continue
-                    n = np.fromiter(c.values(), dtype=np.float64, count=len(c))
-                    total = n @ scores[np.fromiter(map(number.__getitem__, c), dtype=np.int64, count=len(c))]
+                    total = n @ scores[rows]
                     i = int(np.argmax(total))
                     names.append(langs[i])
-                    best.append(float(1.0 / np.exp((total - total[i]) / np.sqrt(n.sum())).sum()))
+                    best.append(float(1.0 / np.exp((total - total[i]) / np.sqrt(words)).sum()))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, batch.num_columns)], pa.array(names, type=pa.string()),
                                               pa.array(best, type=pa.float64())],
                                              names=[*batch.schema.names[1:], "lang_pred", "score"])
