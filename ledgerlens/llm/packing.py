@@ -3,7 +3,7 @@
 Documents are tokenised in the tasks and cut only where they exceed a sequence.  Full pieces are sequences of
 their own, pieces over half a sequence open one each, and all others are placed in rounds over gaps:
 
-1. Documents and gaps are sorted together by size, largest first, over range partitions.
+1. Documents and gaps are sorted together by size, largest first, over range partitions of ``RANGE_ROWS`` rows.
 2. Every partition sweeps its rows once: a document goes to its successor, the smallest gap that holds it, whether
    untouched or already used in this sweep.
 3. Partitions report how many documents and untouched gaps they have left (a few numbers each); a sweep over these,
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -40,36 +41,73 @@ from ledgerlens.llm.common import staged, table
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_TOKEN = 2048, 0
 RANGE_ROWS = 250_000  # documents and gaps swept by one task
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000  # words a task remembers
+
+
+def byte_characters() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+class Memory(dict):
+    """Remembers what ``make`` gives for a key, up to a number of keys."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
 
 
 class WordTokens:
     """Token ids of texts, by remembering those of their words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in order; only the
-    four blanks that every rule of it agrees on separate words here, anything else stays inside a word.
+    four blanks that every rule of it agrees on separate words here, anything else stays inside a word.  Words of Latin
+    letters, perhaps with a few closing marks, go straight to the tokenizer's model: its other steps only lower them,
+    split off the marks and write bytes as characters.
     """
 
     _WORDS = re.compile(r"[^ \t\n\r]+")
+    # Latin letters that are composed already and lower one by one (U+0130 does not)
+    _PLAIN = re.compile("([A-Za-zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.known, self.letters, self.marks = Memory(self._ids), Memory(self._letters), Memory(self._whole)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _letters(self, letters: str) -> bytes:
+        written = letters if letters.isascii() else "".join(map(self.characters.__getitem__, letters.encode()))
+        ids = [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, word: str) -> bytes:
+        plain = self._PLAIN.fullmatch(word)
+        if not plain:
+            return self._whole(word)
+        letters, marks = plain.groups()
+        return self.letters[letters.lower()] + self.marks[marks] if marks else self.letters[letters.lower()]
 
     def __call__(self, text: str) -> bytes:
         """Ids as unsigned little-endian 32-bit numbers."""
-        words = self._WORDS.findall(text)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = list(set(words).difference(self.known))
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at:at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        for memory in (self.known, self.letters, self.marks):
+            memory.trim()
+        return b"".join(map(self.known.__getitem__, self._WORDS.findall(text)))
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -174,51 +212,50 @@ def pack(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROW
     spark = items.sparkSession
     own = items.where(F.col("length") * 2 > capacity).select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("place"), "length")
     done = [own.drop("length")]
-    docs = items.where(F.col("length") * 2 <= capacity).select("id", F.col("length").alias("size"))
-    gaps = own.where(F.col("length") < capacity).select("id", (F.lit(capacity) - F.col("length")).alias("size"))
+    state = (items.where(F.col("length") * 2 <= capacity).select(F.col("length").alias("size"), F.lit(1).alias("kind"), "id")
+             .unionByName(own.where(F.col("length") < capacity).select((F.lit(capacity) - F.col("length")).alias("size"), F.lit(0).alias("kind"), "id")))
     opened, progress = 0, True
     while True:
-        left, free = docs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first(), gaps.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        if not left[0]:
+        held = {r[0]: (r[1], r[2]) for r in state.groupBy("kind").agg(F.count("*"), F.sum("size")).collect()}
+        (docs_left, tokens_left), (gaps_left, room) = held.get(1, (0, 0)), held.get(0, (0, 0))
+        if not docs_left:
             break
-        short = left[1] - free[1] if progress else left[1]
-        if short > 0:
-            fresh = ceil(short / capacity)
-            gaps = gaps.unionByName(spark.range(opened, opened + fresh).select((-1 - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size")))
+        short = tokens_left - room if progress else tokens_left
+        fresh = max(0, ceil(short / capacity))
+        if fresh:
+            state = state.unionByName(spark.range(opened, opened + fresh).select(
+                F.lit(capacity).cast("long").alias("size"), F.lit(0).alias("kind"), (-1 - F.col("id")).alias("id")))
             opened += fresh
-            free = (free[0] + fresh, 0)
-        ranges = max(1, ceil((left[0] + free[0]) / range_rows))
-        laid = (gaps.select("size", F.lit(0).alias("kind"), "id").unionByName(docs.select("size", F.lit(1).alias("kind"), "id"))
-                .repartitionByRange(ranges, F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id"))
-        swept = staged(laid.mapInArrow(_sweep(capacity), SWEPT))
+        ranges = ceil((docs_left + gaps_left + fresh) / range_rows)
+        laid = state.repartition(1) if ranges == 1 else state.repartitionByRange(ranges, F.desc("size"), "kind", "id")
+        swept = staged(laid.sortWithinPartitions(F.desc("size"), "kind", "id").mapInArrow(_sweep(capacity), SWEPT))
         count = {w: F.count(F.when(F.col("what") == w, 1)) for w in (PLACED, DOC, GAP)}
         parts = swept.groupBy("part").agg(count[PLACED], count[DOC], F.max(F.when(F.col("what") == DOC, F.col("size"))), count[GAP],
                                           F.min(F.when(F.col("what") == GAP, F.col("size")))).collect()  # a row per range
         plan = successors([(r[0], r[2], r[3] or 0, r[4], r[5] or 0) for r in parts])
         done.append(swept.where(F.col("what") == PLACED).select("id", "sequence", "place"))
-        progress = bool(plan) or any(r[1] for r in parts)
+        progress = ranges > 1 and (bool(plan) or any(r[1] for r in parts))  # one sweep over everything leaves only what fits nowhere
         docs, gaps = swept.where(F.col("what") == DOC), swept.where(F.col("what") == GAP)
         used = swept.where(F.col("what") == USED).select("id", "size")
         if plan:
             steps = spark.createDataFrame(plan, "part int, first long, stop long, gap_part int, gap_first long, each long, slot long")
-            by_doc = docs.join(steps.select("part", "first", "stop", "each", "slot"), "part", "left").where(
-                "first is null or (rank >= first and rank < stop)")
+            by_doc = docs.join(steps.select("part", "first", "stop", "each", "slot"), "part").where("rank >= first and rank < stop").select(
+                "id", "size", "rank", F.expr("slot + (rank - first) div each").alias("slot"))
             beyond = steps.groupBy("part").agg(F.max("stop").alias("beyond"))
-            by_doc = by_doc.select("id", "size", "rank", F.expr("slot + (rank - first) div each").alias("slot"))
-            rest = docs.join(beyond, "part", "left").where("beyond is null or rank >= beyond").select("id", "size")
             by_gap = gaps.join(steps.select(F.col("gap_part").alias("part"), "gap_first", F.col("slot").alias("slot0"),
-                                            F.expr("gap_first + (stop - first + each - 1) div each").alias("gap_stop")), "part", "left")
+                                            F.expr("gap_first + (stop - first + each - 1) div each").alias("gap_stop")), "part")
             taken = by_gap.where("rank >= gap_first and rank < gap_stop").select(
                 F.col("id").alias("sequence"), F.col("size").alias("gap"), F.expr("slot0 + rank - gap_first").alias("slot"))
-            free_gaps = gaps.join(steps.groupBy(F.col("gap_part").alias("part")).agg(
-                F.max(F.expr("gap_first + (stop - first + each - 1) div each")).alias("beyond")), "part", "left").where(
-                "beyond is null or rank >= beyond").select("id", "size")
-            met = staged(by_doc.where("slot is not null").join(taken, "slot").selectExpr(
+            gap_beyond = steps.groupBy(F.col("gap_part").alias("part")).agg(
+                F.max(F.expr("gap_first + (stop - first + each - 1) div each")).alias("beyond"))
+            met = staged(by_doc.join(taken, "slot").selectExpr(
                 "slot", "id", "size", "sequence", "gap", "sum(size) over (partition by slot order by rank) as filled"))
             done.append(met.selectExpr("id", "sequence", f"{capacity} - gap + filled - size as place"))
             shrunk = met.groupBy("sequence").agg((F.max("gap") - F.max("filled")).alias("size")).select(F.col("sequence").alias("id"), "size")
-            docs, gaps = rest, free_gaps.unionByName(shrunk.where("size > 0"))
-        docs, gaps = staged(docs.select("id", "size")), staged(gaps.select("id", "size").unionByName(used))
+            docs = docs.join(beyond, "part", "left").where("beyond is null or rank >= beyond")
+            gaps = gaps.join(gap_beyond, "part", "left").where("beyond is null or rank >= beyond").select("id", "size").unionByName(shrunk.where("size > 0"))
+        state = staged(docs.select("size", F.lit(1).alias("kind"), "id").unionByName(
+            gaps.select("size", F.lit(0).alias("kind"), "id")).unionByName(used.select("size", F.lit(0).alias("kind"), "id")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
