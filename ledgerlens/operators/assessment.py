@@ -17,17 +17,14 @@ CATEGORY = "SUSPICIOUS_TRANSACTION"
 TEMPLATE = "suspicious-transaction-v1"
 LOCALE = "pt-BR"
 
-# Versions compiled into one expression; more are evaluated range by range.
-VERSIONS_PER_PASS = 8
-
 
 def overall_status(results: Column) -> Column:
-    """SUSPICIOUS if any rule matched, INCONCLUSIVE if any could not be evaluated."""
+    """SUSPICIOUS if any rule matched, INCONCLUSIVE if any could not be evaluated; no results is an error, never a status."""
     def has(status: str) -> Column:
         return F.exists(results, lambda r: r["status"] == status)
 
     return (
-        F.when(F.size(results) == 0, F.raise_error(F.lit("RULE_RESULTS_MUST_NOT_BE_EMPTY")).cast("string"))
+        F.when(results.isNull() | (F.size(results) == 0), F.raise_error(F.lit("RULE_RESULTS_MUST_NOT_BE_EMPTY")).cast("string"))
         .when(has("MATCHED"), "SUSPICIOUS")
         .when(has("NOT_EVALUATED"), "INCONCLUSIVE")
         .otherwise("NOT_SUSPICIOUS")
@@ -45,32 +42,24 @@ def final_severity(results: Column) -> Column:
 
 
 def evaluate(events: DataFrame, rulesets: Mapping[int, RuleSet]) -> DataFrame:
-    """Add ``ruleResults`` under each event's own ``ruleset_version``."""
-    versions = sorted(rulesets)
-    if not versions:
-        return events.withColumn("ruleResults", F.lit(None).cast(T.ArrayType(RULE_RESULT_TYPE)))
-    if len(versions) <= VERSIONS_PER_PASS:
-        return events.withColumn("ruleResults", _results(rulesets, versions))
-    # Versions follow each other in arrival order, so every pass is a contiguous range.
-    passes = [versions[i:i + VERSIONS_PER_PASS] for i in range(0, len(versions), VERSIONS_PER_PASS)]
-    parts = [
-        events.filter(F.col("ruleset_version").between(p[0], p[-1]))
-        .withColumn("ruleResults", _results(rulesets, p))
-        for p in passes
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _results(rulesets: Mapping[int, RuleSet], versions: list[int]) -> Column:
-    if len(versions) == 1:
-        return F.when(F.col("ruleset_version") == versions[0], rulesets[versions[0]].results())
-    chain = F.when(F.col("ruleset_version") == versions[0], rulesets[versions[0]].results())
-    for v in versions[1:]:
-        chain = chain.when(F.col("ruleset_version") == v, rulesets[v].results())
-    return chain
+    """Add ``ruleResults`` under each event's own ``ruleset_version``.
+
+    One projection for any number of versions: every distinct rule of all of them is one expression, evaluated for
+    events of the versions that have it, and a version is the list of its rules' places.  An event whose version is
+    NULL or not loaded stops the job; nobody evaluated it, so it has no status.
+    """
+    pool = {rule: i for i, rule in enumerate(dict.fromkeys(r for v in sorted(rulesets) for r in rulesets[v].rules))}
+    version = F.col("ruleset_version").cast("long")
+    missing = F.raise_error(F.concat(F.lit("RULE_SET_NOT_LOADED: "), F.coalesce(version.cast("string"), F.lit("none"))))
+    if not pool:
+        return events.withColumn("ruleResults", missing.cast(T.ArrayType(RULE_RESULT_TYPE)))
+    users: dict = {rule: [v for v in sorted(rulesets) if rule in rulesets[v].rules] for rule in pool}
+    results = F.array(*[F.when(version.isin(users[rule]), rule.result()) for rule in pool])
+    places = F.create_map(*[x for v in sorted(rulesets) for x in (
+        F.lit(v).cast("long"), F.array(*[F.lit(pool[r]) for r in rulesets[v].rules]))])
+    chosen = F.transform(F.array(results), lambda found: F.transform(
+        F.try_element_at(places, version), lambda place: F.get(found, place)))[0]
+    return events.withColumn("ruleResults", F.coalesce(chosen, missing.cast(T.ArrayType(RULE_RESULT_TYPE))))
 
 
 def assessments(evaluated: DataFrame) -> DataFrame:

@@ -18,12 +18,15 @@ from ledgerlens.functions.ids import content_hash, iso_instant, name_uuid
 from ledgerlens.operators.ordering import running_sum
 from ledgerlens.operators.rule_checks import definition_reason
 from ledgerlens.operators.rulesets import HASHED_FIELDS
+from ledgerlens.session import materialize
 
 # Governance limits, actions and reason codes.
 MAX_RULES = 100
 MAX_SNAPSHOT_BYTES = 1_048_576
 CHANGE_TYPES = ("UPSERT", "RETIRE")
 DEFAULT_SEVERITY = "HIGH"
+UNKNOWN_VERSION = "RULE_VERSION_UNKNOWN"
+UNKNOWN_DECISION = "DECISION_UNKNOWN"
 EMPTY_SET = "ACTIVE_RULESET_MUST_NOT_BE_EMPTY"
 ALREADY_DECIDED = "VERSION_ALREADY_DECIDED"
 TOO_MANY_RULES = "RULESET_SIZE_EXCEEDS_LIMIT"
@@ -85,7 +88,8 @@ def decide(versions: DataFrame, decisions: DataFrame, *, max_rules: int = MAX_RU
     """Outcome of every decision, and the active set after each approval.
 
     Adds author, rule_id, change_type, head_key, outcome (SUCCESS, DENIED, REFUSED),
-    reason, ruleset_version and items (rule_version_id in evaluation order).
+    reason, ruleset_version and items (rule_version_id in evaluation order).  Decisions on
+    unknown versions, and words other than APPROVE and REJECT, are refused and change nothing.
 
     Decisions on one's own proposal never change anything, so they are set aside
     first.  What is left of a head is folded in order, because each approval decides
@@ -96,12 +100,17 @@ def decide(versions: DataFrame, decisions: DataFrame, *, max_rules: int = MAX_RU
         "head_key", "rule_version_id", "rule_id", "change_type", "author",
         # without the one digit of the placeholder order
         (F.octet_length(item_json(F.lit(0))) - 1).alias("__bytes"))
-    log = decisions.join(known, "rule_version_id", "inner").withColumn(
-        "__own", F.col("author") == F.col("approver"))
+    met = materialize(decisions.join(known, "rule_version_id", "left"))
+    unknown, word = F.col("head_key").isNull(), F.coalesce(F.col("decision").isin("APPROVE", "REJECT"), F.lit(False))
+    # What names no version or says neither word settles nothing, so it is answered before the fold.
+    refused = met.filter(unknown | ~word).select(
+        *_FOLD_COLUMNS, F.lit("REFUSED").alias("outcome"), F.when(unknown, UNKNOWN_VERSION).otherwise(UNKNOWN_DECISION).alias("reason"),
+        F.lit(None).cast("long").alias("ruleset_version"), F.lit(None).cast("array<string>").alias("items"))
+    log = met.filter(~unknown & word).withColumn("__own", F.col("author").eqNullSafe(F.col("approver")))
     open_ = log.filter(~F.col("__own"))
     tries = open_.groupBy("rule_version_id").agg((F.count("*") > 1).alias("__again"))
-    folded = _fold_heads(
-        open_.join(tries, "rule_version_id"), max_rules, max_bytes)
+    folded = materialize(_fold_heads(
+        open_.join(tries, "rule_version_id"), max_rules, max_bytes))
     settled = folded.filter(F.col("outcome") == "SUCCESS").groupBy("rule_version_id").agg(
         F.min("decision_seq").alias("__settled"))
     own = log.filter("__own").join(settled, "rule_version_id", "left").withColumn(
@@ -112,7 +121,7 @@ def decide(versions: DataFrame, decisions: DataFrame, *, max_rules: int = MAX_RU
         *_FOLD_COLUMNS, F.lit("DENIED").alias("outcome"), "reason",
         F.lit(None).cast("long").alias("ruleset_version"),
         F.lit(None).cast("array<string>").alias("items"))
-    return folded.unionByName(own)
+    return folded.unionByName(own).unionByName(refused)
 
 
 _FOLD_COLUMNS = ("head_key", "decision_seq", "rule_version_id", "rule_id", "change_type", "decision",
@@ -258,8 +267,9 @@ def audit_events(versions: DataFrame, decided: DataFrame) -> DataFrame:
         F.col("author").alias("actor"), F.lit("RULE_VERSION_CREATED").alias("action"),
         F.lit("SUCCESS").alias("outcome"), F.col("rule_version_id").alias("entity_id"),
         F.col("proposal_seq").alias("at_seq"))
-    # A second decision on a settled version and a refused size leave no trace.
-    silent = F.coalesce(F.col("reason").isin(ALREADY_DECIDED, TOO_MANY_RULES, TOO_MANY_BYTES), F.lit(False))
+    # A second decision on a settled version, a refused size and what names no version or decision leave no trace.
+    silent = F.coalesce(F.col("reason").isin(
+        ALREADY_DECIDED, TOO_MANY_RULES, TOO_MANY_BYTES, UNKNOWN_VERSION, UNKNOWN_DECISION), F.lit(False))
     approved = F.col("decision") == "APPROVE"
     action = F.when(F.col("outcome") == "SUCCESS",
                     F.when(approved, "RULE_VERSION_APPROVED").otherwise("RULE_VERSION_REJECTED")) \

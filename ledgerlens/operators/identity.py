@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import first_at_or_after, follow_chain
-from ledgerlens.session import materialize, materialize_counted, sized
+from ledgerlens.session import materialize
 
 # Identity period and reason codes.
 HORIZON_MS = 24 * 60 * 60 * 1000
 TRANSACTION_CONFLICT = "TRANSACTION_IDENTITY_CONFLICT"
 EVENT_CONFLICT = "EVENT_IDENTITY_CONFLICT"
 
-# (repeated rows, their number) -> the rows with ``val``
-WithValue = Callable[[DataFrame, int], DataFrame]
+# repeated rows -> the rows with ``val``
+WithValue = Callable[[DataFrame], DataFrame]
 
 # Largest number of candidates of one key that is walked inside a single row.
 FOLD_LIMIT = 10_000
@@ -46,27 +46,22 @@ def repeat_decisions(
 
     ``rows`` has ``arrival_seq``, the key columns and the stream time ``time``
     (non-decreasing along ``arrival_seq`` within a key); ``with_value`` adds ``val``,
-    what is compared, to the repeated rows only, and is told their number.  Returns arrival_seq, same (val equals
+    what is compared, to the repeated rows only.  Returns arrival_seq, same (val equals
     the anchor's), anchor_value.  Arrivals that are not returned are accepted.
     """
     key = list(key)
     # Counted before stream time is looked at, and written out, so that the join below
     # knows its size; a large one is two shuffle stages that skew handling can split.
-    counts, known = materialize_counted(
-        rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"),
-        repeated=F.sum("n"), longest=F.max("n"))
-    repeated = known["repeated"] or 0
-    again = rows.withColumn("at", F.col(time)).join(sized(counts, known["rows"]), key, "inner")
+    counts = materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    again = rows.withColumn("at", F.col(time)).join(counts, key, "inner")
     repeats = materialize(
-        with_value(again, repeated).select(*key, F.col("arrival_seq").alias("at_seq"), "at", "val", "n"))
-    anchors = _anchors(repeats, key, horizon, fold_limit, hot=(known["longest"] or 0) > fold_limit)
+        with_value(again).select(*key, F.col("arrival_seq").alias("at_seq"), "at", "val", "n"))
+    anchors = _anchors(repeats, key, horizon, fold_limit)
 
     cell = F.floor(F.col("at") / F.lit(horizon)).cast("long")
     shape = F.struct("at", "at_seq", "val")
     own = anchors.select(*key, cell.alias("cell"), shape.alias("own"))
     earlier = anchors.select(*key, (cell + 1).alias("cell"), shape.alias("earlier"))
-    # there are at most as many anchors as repeated rows
-    own, earlier = sized(own, repeated), sized(earlier, repeated)
     governing = F.when(F.col("own.at") <= F.col("at"), F.col("own")).otherwise(F.col("earlier"))
     return (
         repeats.withColumn("cell", cell)
@@ -82,7 +77,7 @@ def repeat_decisions(
     )
 
 
-def _anchors(repeats: DataFrame, key: list[str], horizon: int, fold_limit: int, hot: bool) -> DataFrame:
+def _anchors(repeats: DataFrame, key: list[str], horizon: int, fold_limit: int) -> DataFrame:
     """(key, at, at_seq, val) of every anchor of the repeated keys."""
     # Arrivals of a key at one stream time collapse to the earliest: only it can be an anchor.
     candidates = repeats.groupBy(*key, "at").agg(
@@ -90,9 +85,10 @@ def _anchors(repeats: DataFrame, key: list[str], horizon: int, fold_limit: int,
     ).select(*key, "at", "first.at_seq", "first.val", "n")
     shape = [*key, "at", "at_seq", "val"]
     walked = _walk(candidates.filter(F.col("n") <= fold_limit), key, horizon).select(*shape)
-    if not hot:
-        return walked
+    # the rows themselves say whether there are hot keys
     dense = materialize(candidates.filter(F.col("n") > fold_limit))
+    if dense.isEmpty():
+        return walked
     return walked.unionByName(_hop(dense, key, horizon).select(*shape))
 
 
@@ -130,7 +126,7 @@ def transaction_conflicts(events: DataFrame, *, fold_limit: int = FOLD_LIMIT) ->
     """
     decisions = repeat_decisions(
         events, ["partition", "transactionId"], "stream_time_1",
-        lambda df, _rows: df.withColumn("val", F.col("eventId")), fold_limit=fold_limit)
+        lambda df: df.withColumn("val", F.col("eventId")), fold_limit=fold_limit)
     return decisions.filter(~F.col("same")).select(
         "arrival_seq", F.lit(TRANSACTION_CONFLICT).alias("outcome"), F.col("anchor_value").alias("first_seen")
     )

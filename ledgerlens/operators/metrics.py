@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the latency objective in milliseconds.
 OBJECTIVE_MS = 500
+OBJECTIVE_SHARE = 0.999
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -83,6 +84,14 @@ def throughput(df: DataFrame, keys: Sequence[str], sent_us: str, seen_us: str, t
     ).withColumn("target_met", F.col("per_second") >= target)
 
 
+def latency_target(df: DataFrame, keys: Sequence[str], assessment_ms: str, alert_ms: str, share: float = OBJECTIVE_SHARE) -> DataFrame:
+    """Whether assessments and alerts are each within the objective as often as the target asks (NULL latencies: no such output)."""
+    def within(column: str) -> Column:
+        return F.coalesce(F.try_divide(F.count_if(F.col(column) <= OBJECTIVE_MS), F.count(column)) >= share, F.lit(True))
+
+    return df.groupBy(*keys).agg((within(assessment_ms) & within(alert_ms)).alias("latency_target_met"))
+
+
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

@@ -51,8 +51,15 @@ def with_contact(requests: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def new_requests(requests: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Requests not yet in the ledger, once each (insert if absent)."""
-    once = requests.dropDuplicates(["notificationRequestId"])
+    """Requests not yet in the ledger, once each: the first to arrive is inserted.
+
+    Arrival is ``arrival_seq`` where there is one, else ``requestedAt``, else the least row.
+    """
+    rid = "notificationRequestId"
+    order = next((c for c in ("arrival_seq", "requestedAt") if c in requests.columns), None)
+    row = F.struct(*requests.columns)
+    once = requests.groupBy(F.col(rid).alias("__rid")).agg(
+        (F.min_by(row, order) if order else F.min(row)).alias("first")).select("first.*")
     return once.join(ledger.select("notificationRequestId"), "notificationRequestId", "left_anti")
 
 

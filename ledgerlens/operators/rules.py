@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,27 +92,28 @@ class Composite:
     children: tuple
 
     def outcome(self) -> Column:
-        outcomes = [c.outcome() for c in self.children]
-        if self.kind == "ANY":
-            return reduce(lambda x, y: x | y, outcomes)
-        return reduce(lambda x, y: x & y, outcomes)
+        return self._of(self.outcomes())
 
-    def evidence(self) -> Column:
-        result = self.outcome()
+    def outcomes(self) -> Column:
+        return F.array(*[c.outcome() for c in self.children])
+
+    def _of(self, outcomes: Column) -> Column:
+        # both follow SQL's OR and AND where an outcome is NULL
+        return F.exists(outcomes, lambda x: x) if self.kind == "ANY" else F.forall(outcomes, lambda x: x)
+
+    def evidence(self, outcomes: Column) -> Column:
+        result = self._of(outcomes)
         return (
             F.when(result, f"{self.kind}_MATCHED")
             .when(~result, f"{self.kind}_NO_MATCH")
             .otherwise(f"{self.kind}_NOT_EVALUATED")
         )
 
-    def values(self) -> Column:
+    def values(self, outcomes: Column) -> Column:
         # Evaluation stops at the first child that settles the outcome.
+        settled = F.array_position(outcomes, F.lit(self.kind == "ANY"))
         total = len(self.children)
-        looked_at = F.lit(total)
-        for i in range(total - 1, -1, -1):
-            outcome = self.children[i].outcome()
-            settles = outcome if self.kind == "ANY" else ~outcome
-            looked_at = F.when(settles, F.lit(i + 1)).otherwise(looked_at)
+        looked_at = F.when(settled > 0, settled).otherwise(F.lit(total)).cast("int")
         return _text_map({"evaluatedChildren": looked_at, "totalChildren": F.lit(total)})
 
     def windows(self) -> set[int]:
@@ -135,14 +135,21 @@ class Rule:
     condition: Condition
 
     def result(self) -> Column:
-        outcome = self.condition.outcome()
+        condition = self.condition
+        if isinstance(condition, Composite):
+            # The children's outcomes are named once, so a tree is as long an expression as it has leaves.
+            return F.transform(F.array(condition.outcomes()), lambda found: self._result(
+                condition._of(found), condition.evidence(found), condition.values(found)))[0]
+        return self._result(condition.outcome(), condition.evidence(), condition.values())
+
+    def _result(self, outcome: Column, evidence: Column, values: Column) -> Column:
         return F.struct(
             F.lit(self.rule_id).alias("ruleId"),
             F.lit(self.version).alias("ruleVersion"),
             F.lit(self.severity).alias("severity"),
             status_text(outcome).alias("status"),
-            F.array(self.condition.evidence()).alias("evidenceCodes"),
-            self.condition.values().alias("evaluatedValues"),
+            F.array(evidence).alias("evidenceCodes"),
+            values.alias("evaluatedValues"),
         )
 
 

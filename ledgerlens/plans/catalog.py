@@ -220,6 +220,18 @@ def _(spark, sf):
     return resolved(spark, sf, 60).select("arrival_seq", "outcome")
 
 
+@query("identity_24h_hopped", _dispositions(1))
+def _(spark, sf):
+    events = fixtures.transactions(spark, sf, 1).withColumn("active", F.lit(True))
+    return risk.resolve_identity(events, fold_limit=0).select("arrival_seq", "outcome")
+
+
+@query("identity_dense_hopped", _dispositions(60))
+def _(spark, sf):
+    events = fixtures.transactions(spark, sf, 60).withColumn("active", F.lit(True))
+    return risk.resolve_identity(events, fold_limit=0).select("arrival_seq", "outcome")
+
+
 @query("identity_outcomes", oracle.with_(oracle.identity(1), """
 SELECT outcome, count(*) AS n FROM outc GROUP BY outcome"""))
 def _(spark, sf):
@@ -468,7 +480,7 @@ FROM tx ASOF LEFT JOIN (SELECT seq, version FROM n WHERE disposition = 'accepted
 def _(spark, sf):
     events = fixtures.transactions(spark, sf, 60).select("arrival_seq")
     accepted = accepted_snapshots(spark, sf).filter("disposition = 'accepted'")
-    return rulesets.with_active_version(events, accepted, span=1 << 14)
+    return rulesets.with_active_version(events, accepted)
 
 
 @query("ruleset_canonical_hash", """
@@ -509,6 +521,23 @@ def _(spark, sf):
     return done.select("arrival_seq", "ruleset_version", assessment.overall_status(F.col("ruleResults")).alias("status"))
 
 
+# Twelve versions with gaps between their numbers; one event in thirteen met none.
+@query("ruleset_gapped_versions", oracle.with_(oracle.tx(60), """
+SELECT seq AS arrival_seq, CASE WHEN seq // 10 % 13 < 12 THEN seq // 10 % 13 * 7 + 3 END AS ruleset_version,
+  CASE WHEN seq // 10 % 13 = 12 THEN 'NOT_EVALUATED' WHEN cur = 'BRL' AND amt >= (seq // 10 % 13) * 4000 THEN 'SUSPICIOUS'
+       ELSE 'NOT_SUSPICIOUS' END AS status FROM tx"""))
+def _(spark, sf):
+    slot = F.expr("(arrival_seq div 10) % 13")
+    events = fixtures.transactions(spark, sf, 60).withColumn("ruleset_version", F.when(slot < 12, slot * 7 + 3))
+    sets = {i * 7 + 3: compile_ruleset({"version": i * 7 + 3, "rules": [
+        {"ruleId": "r", "ruleVersion": i + 1, "evaluationOrder": 0, "severity": "HIGH",
+         "definition": {"type": "AMOUNT_THRESHOLD", "amountMinor": i * 4000, "currency": "BRL"}}]}) for i in range(12)}
+    done = assessment.evaluate(events.filter(F.col("ruleset_version").isNotNull()), sets)
+    met = done.select("arrival_seq", "ruleset_version", assessment.overall_status(F.col("ruleResults")).alias("status"))
+    return met.unionByName(events.filter(F.col("ruleset_version").isNull()).select(
+        "arrival_seq", "ruleset_version", F.lit("NOT_EVALUATED").alias("status")))
+
+
 # ---------------------------------------------------------------- governance
 
 
@@ -537,7 +566,8 @@ def _(spark, sf):
 def _decisions_sql(max_rules: int) -> str:
     return oracle.with_(oracle.decided(max_rules), """
 SELECT dseq AS decision_seq, vid AS rule_version_id, outcome, reason, ver AS ruleset_version,
-  CASE WHEN ver IS NOT NULL THEN array_to_string(list_transform(active, lambda x: x.v), ',') END AS items FROM g""")
+  CASE WHEN ver IS NOT NULL THEN array_to_string(list_transform(active, lambda x: x.v), ',') END AS items FROM g
+UNION ALL SELECT dseq, vid, 'REFUSED', 'RULE_VERSION_UNKNOWN', NULL, NULL FROM d0 WHERE vid NOT IN (SELECT vid FROM v)""")
 
 
 def _decisions(df):

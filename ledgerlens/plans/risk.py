@@ -12,7 +12,7 @@ from ledgerlens.functions.ids import FINGERPRINT_FIELDS, event_fingerprint
 from ledgerlens.operators import assessment, history, identity
 from ledgerlens.operators.ordering import CHUNK_WIDTH, running_max
 from ledgerlens.operators.rules import RuleSet
-from ledgerlens.session import materialize, materialize_counted, sized
+from ledgerlens.session import materialize
 from ledgerlens.sources.ingest import TRANSACTION_TOPIC, invalid_references, parse_events
 
 # Customer buckets stand for the partitions of a topic keyed by customer.
@@ -67,26 +67,24 @@ def resolve_identity(
             "partition", "arrival_seq", "occurred_ms", "transactionId", "eventId", "valid", "active"),
         ["partition"], "arrival_seq", "occurred_ms", "stream_time_1", width=width,
     )
-    conflicts, n_conflicts = materialize_counted(identity.transaction_conflicts(
+    conflicts = materialize(identity.transaction_conflicts(
         timed.filter(F.col("valid") & F.col("active")), fold_limit=fold_limit))
 
     usable = events.filter(F.col("valid") & F.col("active"))
     # Stage two, per customer bucket: survivors move it, later duplicates included.
     survivors = materialize(running_max(
         usable.select("bucket", "arrival_seq", "occurred_ms", "customerId", "eventId")
-        .join(sized(conflicts.select("arrival_seq"), n_conflicts["rows"]), "arrival_seq", "left_anti"),
+        .join(conflicts.select("arrival_seq"), "arrival_seq", "left_anti"),
         ["bucket"], "arrival_seq", "occurred_ms", "stream_time_2", width=width,
     ).select("arrival_seq", "customerId", "eventId", "stream_time_2"))
     fingerprint = event_fingerprint(F.col("occurred_us"))
 
-    def with_fingerprint(repeated: DataFrame, rows: int) -> DataFrame:
+    def with_fingerprint(repeated: DataFrame) -> DataFrame:
         # Serializing and hashing an event is only paid for events seen more than once.
         full = usable.select("arrival_seq", *FINGERPRINT_FIELDS_HELD, "occurred_us")
-        return full.join(sized(repeated.select("arrival_seq", "at", "n"), rows), "arrival_seq").withColumn("val", fingerprint)
+        return full.join(repeated.select("arrival_seq", "at", "n"), "arrival_seq").withColumn("val", fingerprint)
 
-    repeats, n_repeats = materialize_counted(identity.event_repeats(survivors, with_fingerprint, fold_limit=fold_limit))
-
-    decided = sized(conflicts.unionByName(repeats), n_conflicts["rows"] + n_repeats["rows"])
+    decided = conflicts.unionByName(materialize(identity.event_repeats(survivors, with_fingerprint, fold_limit=fold_limit)))
     return (
         usable.join(survivors.select("arrival_seq", "stream_time_2"), "arrival_seq", "left")
         .join(decided, "arrival_seq", "left")

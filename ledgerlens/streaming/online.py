@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlens.functions.ids import event_fingerprint
 from ledgerlens.operators import assessment, identity
 from ledgerlens.operators.history import observed_column
-from ledgerlens.operators.rules import RuleSet
+from ledgerlens.operators.rules import MAX_DEPTH, RuleSet
 from ledgerlens.operators.rulesets import ACTIVE_KEY, validate_snapshots
 from ledgerlens.plans.risk import DEFAULT_BUCKETS, with_bucket
 from ledgerlens.session import share
@@ -46,13 +46,27 @@ def _rows(df: DataFrame, kind: str) -> DataFrame:
     ])
 
 
+def _node_type(depth: int) -> str:
+    children = f",children:array<{_node_type(depth - 1)}>" if depth > 1 else ""
+    return f"struct<windowSeconds:string{children}>"
+
+
+def windows_of(payload: Column) -> Column:
+    """The windows a sound snapshot's rules look at, from its parsed definitions, read as the compiler reads numbers."""
+    rules = F.from_json(payload, f"rules array<struct<definition:{_node_type(MAX_DEPTH)}>>")["rules"]
+    nodes, found = F.transform(rules, lambda r: r["definition"]), []
+    for depth in range(MAX_DEPTH, 0, -1):
+        found.append(F.transform(nodes, lambda n: n["windowSeconds"].try_cast("double").cast("int")))
+        if depth > 1:
+            nodes = F.flatten(F.transform(F.filter(nodes, lambda n: n["children"].isNotNull()), lambda n: n["children"]))
+    return F.array_distinct(F.filter(F.concat(*found), lambda s: s.isNotNull()))
+
+
 def ruleset_rows(snapshots: DataFrame) -> DataFrame:
     """Sound snapshots as control rows: version and the windows its rules look at."""
     sound = validate_snapshots(snapshots.filter(F.col("key") == ACTIVE_KEY)).filter("reject_reason IS NULL")
-    seconds = F.regexp_extract_all("payload", F.lit(r'"windowSeconds"\s*:\s*"?(\d+)'), 1)
     return sound.select(
-        "arrival_seq", F.col("version").alias("ruleset_version"),
-        F.array_distinct(F.transform(seconds, lambda s: s.cast("int"))).alias("windows"))
+        "arrival_seq", F.col("version").alias("ruleset_version"), windows_of(F.col("payload")).alias("windows"))
 
 
 def resolve_stream(events: DataFrame, snapshots: DataFrame, *, partitions: int,

@@ -98,3 +98,10 @@ def test_publication_queue(spark):
 def test_constraint_report(spark, rows, expected):
     df = spark.createDataFrame(rows, "rule_version_id string, rule_id string, version_number int, status string, approver string")
     assert [r.violation for r in governance.constraint_violations(df.withColumn("author", F.lit("ann"))).collect()] == [expected]
+
+
+def test_unknown_versions_and_words_are_refused_and_settle_nothing(spark):
+    v = propose(spark, [("v1", "a", "UPSERT", "ann")])
+    got = outcomes(decide(spark, v, [("v9", "APPROVE", "bob"), ("v1", "MAYBE", "bob"), ("v1", None, "bob"), ("v1", "APPROVE", "bob"), ("v1", "MAYBE", "bob")]))
+    assert got == [("REFUSED", "RULE_VERSION_UNKNOWN", None), ("REFUSED", "DECISION_UNKNOWN", None), ("REFUSED", "DECISION_UNKNOWN", None),
+                   ("SUCCESS", None, ["v1"]), ("REFUSED", "DECISION_UNKNOWN", None)]

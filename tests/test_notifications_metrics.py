@@ -116,3 +116,15 @@ def test_throughput_rollout_and_tables(spark, tmp_path):
     assert tables.compact(v, ["head_key"], "version").first().version == 5
     aged = spark.createDataFrame([(0,), (6 * 86_400_000_000,)], "us long")
     assert tables.within_retention(aged, "us", F.lit(8 * 86_400_000_000), 7).count() == 1
+
+
+def test_latency_target_needs_both_outputs(spark):
+    rows = [("a", 100, 100)] * 999 + [("a", 900, 100)] + [("b", 100, 100)] * 998 + [("b", 100, 900)] * 2 + [("c", 100, None)]
+    df = spark.createDataFrame(rows, "k string, assessment long, alert long")
+    assert {r.k: r.latency_target_met for r in metrics.latency_target(df, ["k"], "assessment", "alert").collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_the_first_request_to_arrive_is_inserted(spark):
+    df = spark.createDataFrame([("r", 5, "late"), ("r", 2, "first"), ("r", 9, "later"), ("s", 1, "known")], "notificationRequestId string, arrival_seq long, alertId string")
+    ledger = spark.createDataFrame([("s",)], "notificationRequestId string")
+    assert [tuple(r) for r in notifications.new_requests(df, ledger).collect()] == [("r", 2, "first")]

@@ -117,3 +117,23 @@ def test_rules_run_in_evaluation_order_and_many_versions(spark):
     df = spark.range(1, 21).select(F.col("id").alias("ruleset_version"), F.lit(105).alias("amountMinor"), F.lit("BRL").alias("currency"))
     out = assessment.evaluate(df, sets).select("ruleset_version", F.col("ruleResults")[0]["status"].alias("s"))
     assert {r.ruleset_version: r.s for r in out.collect()} == {v: "MATCHED" if v <= 10 else "NO_MATCH" for v in range(1, 21)}
+
+
+def test_versions_with_gaps_and_errors(spark):
+    sets = {v: ruleset(amount(v * 10), amount(5), version=v) for v in range(3, 60, 5)}
+    df = spark.createDataFrame([(v, 105, "BRL") for v in sets], "ruleset_version long, amountMinor long, currency string")
+    out = assessment.evaluate(df, sets).select("ruleset_version", F.transform("ruleResults", lambda r: r["status"]).alias("s"))
+    assert {r.ruleset_version: r.s for r in out.collect()} == {v: ["MATCHED" if v <= 10 else "NO_MATCH", "MATCHED"] for v in sets}
+    for version, loaded in ((4, sets), (None, sets), (3, {}), (70, {3: sets[3]})):
+        met = spark.createDataFrame([(version, 105, "BRL")], df.schema)
+        with pytest.raises(Exception, match="RULE_SET_NOT_LOADED"):
+            assessment.evaluate(met, loaded).collect()
+    with pytest.raises(Exception, match="RULE_RESULTS_MUST_NOT_BE_EMPTY"):
+        df.select(assessment.overall_status(F.lit(None).cast("array<struct<status:string>>"))).collect()
+
+
+def test_deep_rules_stay_small(spark):
+    def tree(depth):
+        return amount(depth) if depth == 5 else {"type": "ANY" if depth % 2 else "ALL", "children": [tree(depth + 1) for _ in range(4)]}
+
+    assert result(facts(spark, 100), tree(1)) == ("MATCHED", ["ANY_MATCHED"], {"evaluatedChildren": "1", "totalChildren": "4"})

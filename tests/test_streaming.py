@@ -92,3 +92,12 @@ def test_not_ready_without_a_rule_set(spark):
     empty = spark.createDataFrame([], "payload string")
     with pytest.raises(online.NotReady):
         online.require_ruleset(materialize(empty))
+
+
+def test_windows_are_read_as_the_compiler_reads_them(spark):
+    definition = {"type": "ANY", "children": [{"type": "COUNT_WINDOW", "windowSeconds": "600", "minimumCount": 1}, {
+        "type": "ALL", "children": [{"type": "COUNT_WINDOW", "windowSeconds": 60, "minimumCount": 2}, amount(3)]}]}
+    document = snapshot(1, [definition, amount(1)])
+    text = json.dumps(document).replace('"windowSeconds": 60,', '"windowSeconds": 6e1,').replace('"rule-0"', '"\\"windowSeconds\\": 7"')
+    got = spark.createDataFrame([(text,)], "t string").select(online.windows_of(F.col("t")).alias("w")).first().w
+    assert sorted(got) == [60, 600] == sorted(compile_ruleset(json.loads(text)).windows())
