@@ -128,16 +128,16 @@ def with_candidates(df: DataFrame, text: str, kind: Kind) -> DataFrame:
     df = df.withColumn(f"{k}_e", running(F.zip_with(f"{k}_m", F.slice(f"{k}_p", F.lit(1), F.size(f"{k}_m")),
                                                     lambda m, p: F.length(m) + F.length(p))))
 
-    def judged(i: Column) -> Column:
-        m, end = F.element_at(f"{k}_m", i + 1), F.element_at(f"{k}_e", i + 1)
-        before = lower_ascii(F.right(F.element_at(f"{k}_p", i + 1), F.lit(CONTEXT_CHARS)))
+    def judged(m: Column, at: Column) -> Column:
         ok = kind.valid(m) if kind.valid else F.lit(True)
         score = (F.lit(kind.prior) + F.when(ok, F.lit(kind.if_valid)).otherwise(F.lit(0.0))
-                 + F.when(before.rlike(f"(^|[^a-z])({kind.context})"), F.lit(kind.if_context)).otherwise(F.lit(0.0)))
-        return F.struct((end - F.length(m)).alias("start"), end.alias("end"), ok.alias("ok"), F.least(F.round(score, 2), F.lit(1.0)).alias("score"))
+                 + F.when(at.before.rlike(f"(^|[^a-z])({kind.context})"), F.lit(kind.if_context)).otherwise(F.lit(0.0)))
+        return F.struct((at.end - F.length(m)).alias("start"), at.end.alias("end"), ok.alias("ok"), F.least(F.round(score, 2), F.lit(1.0)).alias("score"))
 
-    none_yet = F.array().cast("array<struct<start:int,end:int,ok:boolean,score:double>>")
-    return df.withColumn(k, F.when(F.size(f"{k}_m") > 0, F.transform(F.sequence(F.lit(0), F.size(f"{k}_m") - 1), judged)).otherwise(none_yet))
+    # Arrays enter as arguments, never inside a lambda: an expression that is pulled in there would run per match.
+    around = F.zip_with(F.slice(f"{k}_p", F.lit(1), F.size(f"{k}_m")), f"{k}_e", lambda p, e: F.struct(
+        lower_ascii(F.right(p, F.lit(CONTEXT_CHARS))).alias("before"), e.alias("end")))
+    return df.withColumn(k, F.zip_with(f"{k}_m", around, judged))
 
 
 def _kept(kind: Kind) -> Column:
