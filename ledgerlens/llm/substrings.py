@@ -23,11 +23,13 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import staged, table
+from ledgerlens.llm.common import table
 from ledgerlens.llm.textio import BASES, WordHashes, rolling
 
 WINDOW = 20
@@ -42,12 +44,13 @@ def cells(w1: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Sorted numbers byte by byte of significance, which the shuffle compresses well."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Sorted or small numbers, byte by byte of significance and compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
 
 
 SKETCH = "row int, chunk int, once binary, more binary"
@@ -135,28 +138,48 @@ def first_places(w1, w2, doc, start) -> tuple[np.ndarray, np.ndarray]:
     return order, first
 
 
-def repeats_of(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Starts of repeated windows, a row per document."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    cuts = np.nonzero(np.diff(doc))[0] + 1
-    which = doc[np.concatenate(([0], cuts))] if len(doc) else doc
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[which], mask=ids[which] == _NULL_ID), pa.array(hashes[which]),
-         pa.array([x.astype("<u4").tobytes() for x in np.split(start, cuts)] if len(doc) else [], type=pa.binary())],
-        names=["doc_id", "hash", "starts"])
+REPEATED = "to long, ids binary, hashes binary, counts binary, start binary"
 
 
-OUT = f"kind int, {PLACES}, {REPEATS}"
+def repeats_of(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, bucket_bits: int) -> pa.Table:
+    """Starts of repeated windows, a row per bucket of documents: its documents, their numbers of starts, and the starts."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    which, counts = np.unique(doc, return_counts=True)
+    to = hashes[which] & ((1 << bucket_bits) - 1)
+    rows = ([], [], [], [], [])
+    for b in np.unique(to):
+        here = to == b
+        for column, value in zip(rows, (int(b), ids[which[here]].tobytes(), hashes[which[here]].tobytes(), planes(counts[here]),
+                                        planes(start[np.repeat(here, counts)]))):
+            column.append(value)
+    return pa.table([pa.array(rows[0], type=pa.int64()), *[pa.array(c, type=pa.binary()) for c in rows[1:]]],
+                    names=["to", "ids", "hashes", "counts", "start"])
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    """A bucket's repeats, a row per document."""
+    ids, hashes = (np.frombuffer(b"".join(group.column(c).to_pylist()), dtype=np.int64) for c in ("ids", "hashes"))
+    counts, start = (np.concatenate([numbers(x) for x in group.column(c).to_pylist()]) for c in ("counts", "start"))
+    order = np.lexsort((start, np.repeat(hashes, counts), np.repeat(ids, counts)))
+    a, b, start = np.repeat(ids, counts)[order], np.repeat(hashes, counts)[order], start[order]
+    begin = np.nonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[0] if len(a) else np.empty(0, dtype=np.int64)
+    parts = np.split(start, begin[1:]) if len(a) else []
+    return pa.table({"doc_id": pa.array(a[begin], mask=a[begin] == _NULL_ID), "hash": pa.array(b[begin]),
+                     "starts": pa.array([x.astype("<u4").tobytes() for x in parts], type=pa.binary())})
+
+
+OUT = f"kind int, {PLACES}, to long, counts binary"
 _OUT = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("w1", "w2", "doc", "start", "ids", "hashes")],
-                  ("doc_id", pa.int64()), ("hash", pa.int64()), ("starts", pa.binary())])
+                  ("to", pa.int64()), ("counts", pa.binary())])
 
 
-def _wide(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-    n = batch.num_rows
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, dtype=np.int32)) if f.name == "kind" else batch.column(f.name) if f.name in batch.schema.names else pa.nulls(n, f.type)
-         for f in _OUT], schema=_OUT)
+def _wide(rows: pa.Table, kind: int) -> Iterator[pa.RecordBatch]:
+    n, own = rows.num_rows, {"kind": pa.array(np.full(rows.num_rows, kind, dtype=np.int32))}
+    if kind:  # any bucket: what is known to repeat only passes through it
+        own["bucket"] = rows.column("to")
+    columns = [own[f.name] if f.name in own else rows.column(f.name) if f.name in rows.column_names else pa.nulls(n, f.type) for f in _OUT]
+    yield from pa.table(columns, schema=_OUT).combine_chunks().to_batches()
 
 
 def _places(bitmap, bits: int, bucket_bits: int):
@@ -181,14 +204,14 @@ def _places(bitmap, bits: int, bucket_bits: int):
             lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
             d, s = doc[order], start[order]
             again = ~first & ~((d == d[lead]) & (s == s[lead]))  # the same place met twice is no repeat
-            yield _wide(repeats_of(pairs[:, 0], pairs[:, 1], d[again], s[again]), 1)
+            yield from _wide(repeats_of(pairs[:, 0], pairs[:, 1], d[again], s[again], bucket_bits), 1)
             sent = order[first]
             sent = sent[np.lexsort((start[sent], doc[sent]))]
             bucket = (w1[sent] >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(sent), dtype=np.int64)
             for b in np.unique(bucket):
                 x = sent[bucket == b]
                 here, at = np.unique(doc[x], return_inverse=True)
-                yield _wide(pa.RecordBatch.from_arrays(
+                yield from _wide(pa.table(
                     [pa.array([int(b)]), *[pa.array([v], type=pa.binary()) for v in (
                         w1[x].tobytes(), w2[x].astype("<u4").tobytes(), planes(at), planes(start[x]), pairs[here, 0].tobytes(), pairs[here, 1].tobytes())]],
                     names=["bucket", "w1", "w2", "doc", "start", "ids", "hashes"]), 0)
@@ -217,20 +240,30 @@ def _places(bitmap, bits: int, bucket_bits: int):
     return run
 
 
-def _group(group: pa.Table) -> pa.Table:
-    w1 = np.frombuffer(b"".join(group.column("w1").to_pylist()), dtype=np.uint64)
-    w2 = np.frombuffer(b"".join(group.column("w2").to_pylist()), dtype="<u4")
-    start = np.concatenate([numbers(x) for x in group.column("start").to_pylist()])
-    ids, hashes = (group.column(c).to_pylist() for c in ("ids", "hashes"))
-    pairs = np.stack((np.frombuffer(b"".join(ids), dtype=np.int64), np.frombuffer(b"".join(hashes), dtype=np.int64)), axis=1)
-    pairs, number = np.unique(pairs, axis=0, return_inverse=True)
-    base = np.cumsum([0, *[len(x) // 8 for x in ids]])
-    doc = number.ravel()[np.concatenate([numbers(x).astype(np.int64) + b for x, b in zip(group.column("doc").to_pylist(), base)])]
-    order, first = first_places(w1, w2, doc, start)
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    d, s = doc[order], start[order]
-    again = ~first & ~((d == d[lead]) & (s == s[lead]))
-    return pa.Table.from_batches([repeats_of(pairs[:, 0], pairs[:, 1], d[again], s[again])])
+def _group(bucket_bits: int):
+    """Repeats among the first places of a bucket, beside those that the tasks knew already."""
+    names = [c.split()[0] for c in REPEATED.split(", ")]
+
+    def run(group: pa.Table) -> pa.Table:
+        own = pc.equal(group.column("kind"), 0)
+        known, group = group.filter(pc.invert(own)).select(names), group.filter(own)
+        if not len(group):
+            return known
+        w1 = np.frombuffer(b"".join(group.column("w1").to_pylist()), dtype=np.uint64)
+        w2 = np.frombuffer(b"".join(group.column("w2").to_pylist()), dtype="<u4")
+        start = np.concatenate([numbers(x) for x in group.column("start").to_pylist()])
+        ids, hashes = (group.column(c).to_pylist() for c in ("ids", "hashes"))
+        pairs = np.stack((np.frombuffer(b"".join(ids), dtype=np.int64), np.frombuffer(b"".join(hashes), dtype=np.int64)), axis=1)
+        pairs, number = np.unique(pairs, axis=0, return_inverse=True)
+        base = np.cumsum([0, *[len(x) // 8 for x in ids]])
+        doc = number.ravel()[np.concatenate([numbers(x).astype(np.int64) + b for x, b in zip(group.column("doc").to_pylist(), base)])]
+        order, first = first_places(w1, w2, doc, start)
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        d, s = doc[order], start[order]
+        again = ~first & ~((d == d[lead]) & (s == s[lead]))
+        return pa.concat_tables([known, repeats_of(pairs[:, 0], pairs[:, 1], d[again], s[again], bucket_bits).cast(known.schema)])
+
+    return run
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +274,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = words
             if starts:
                 change = np.zeros(len(words) + 1, dtype=np.int32)
-                at = np.unique(np.frombuffer(b"".join(starts), dtype="<u4")).astype(np.int64)
+                at = np.unique(np.frombuffer(starts, dtype="<u4")).astype(np.int64)
                 np.add.at(change, at, 1)
                 np.add.at(change, at + WINDOW, -1)
                 left = [words[i] for i in np.nonzero(np.cumsum(change[:-1]) == 0)[0]]
@@ -259,21 +292,21 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
-    """Documents (``doc_id``, ``hash`` of the text) with the starts of their windows that also start earlier, in parts."""
+    """Documents (``doc_id``, ``hash`` of the text) with the starts of their windows that also start earlier; one row each."""
     spark = docs.sparkSession
     chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     windows = max(1, chars // 6)
     bits = bits or min(MOST_BITS, max(LEAST_BITS, ceil(log2(2 * windows))))
     bitmap = spark.sparkContext.broadcast(repeated_cells(docs, text, bits))
     bucket_bits = max(3, ceil(log2(max(1, windows / BUCKET_WINDOWS))))
-    found = staged(docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(_places(bitmap, bits, bucket_bits), OUT))
-    grouped = found.where("kind = 0").select("bucket", "w1", "w2", "doc", "start", "ids", "hashes").groupBy("bucket").applyInArrow(_group, REPEATS)
-    return found.where("kind = 1").select("doc_id", "hash", "starts").unionByName(grouped)
+    found = docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(_places(bitmap, bits, bucket_bits), OUT)
+    grouped = found.groupBy("bucket").applyInArrow(_group(bucket_bits), REPEATED)
+    return grouped.groupBy("to").applyInArrow(_by_document, REPEATS)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by spaces (``kept``, or ``kept_sha256``)."""
-    again = repeated_windows(docs, key, text, bits).groupBy("doc_id", "hash").agg(F.collect_list("starts").alias("starts"))
+    again = repeated_windows(docs, key, text, bits)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
     met = rows.alias("r").join(again.alias("a"), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.hash") == F.col("a.hash")), "left")
