@@ -66,9 +66,9 @@ def test_successors_take_the_nearest_larger_gaps_by_rank():
 def test_documents(spark):
     df = docs(spark)
     rows = packing.pack_documents(df, capacity=64).collect()
-    texts = [(r.doc_id, r.text) for r in df.collect()]
-    want = sorted((str(i), p, p * 64, len(ids_of(t)[p * 64:p * 64 + 64]), zlib.crc32(np.array(ids_of(t)[p * 64:p * 64 + 64], dtype="<u4").tobytes()))
-                  for i, t in texts for p in range(-(-len(ids_of(t)) // 64)))
+    tokens = [(r.doc_id, ids_of(r.text)) for r in df.collect()]
+    want = sorted((str(i), p // 64, p, len(t[p:p + 64]), zlib.crc32(np.array(t[p:p + 64], dtype="<u4").tobytes()))
+                  for i, t in tokens for p in range(0, len(t), 64))
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     at = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
