@@ -13,9 +13,9 @@ most ``FORM`` variants, in slices of ``SLICE``.  Beyond a few hundred million fi
 has its own bucket and a fingerprint is sent about 2,081 times, which is what the method costs.
 
 ``drop_near_duplicates`` (for the pipeline) means texts whose sets of five-word shingles have a similarity of 0.8 or
-more.  At that similarity fingerprints of shingles differ in about ten bits, so it takes fingerprints of the words,
-which differ in about four, in ``TABLES`` independent tables, and checks every candidate it relies on by the
-exact similarity.
+more.  Fingerprints of the words in ``TABLES`` independent tables bring most copies together, but miss edited blocks;
+what they leave apart is completed by an exact join over the rarest shingles of each set.  Every link is checked by the exact
+similarity (of shingle hashes).
 
 Defined cases: null text: no words, fingerprint zero, linked like any other.  Null ids: ignored by the minimum; a
 component of null ids only has a null id.  Repeated rows: alike, as in the input.  Extra columns are ignored.
@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, staged, table
+from ledgerlens.llm.substrings import repeated_cells, repeated_in, sketch_bits
 from ledgerlens.llm.textio import CACHE_WORDS
 
 BITS, RADIUS = 64, 4
 SHINGLE, SEED = 4, 42
 HOLD, FORM, SLICE = 1 << 25, 1 << 27, 1 << 22
 TABLES, NEAR_SHINGLE, NEAR = 5, 5, 0.8
+CENTRES, SLACK = 8, 1e-6
 
 
 # Bucket label of each bit: six bits that spread single and double flips evenly, then random ones.
@@ -230,7 +232,6 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near-duplicates by similarity of shingle sets, for the pipeline.
 
 PRINTS = "digest string, id {}, fps array<bigint>"
-SET = "node long, n int, shingles binary"
 
 
 def _word_fingerprints(tables: int):
@@ -263,21 +264,42 @@ def shingle_set(text: bytes | None, size: int = NEAR_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), dtype=np.uint64))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(bitmap, bits: int, least: float):
+    """Of digest and text, the texts that may have a similar one: number of shingles, and those that other rows may have too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = repeated_in(bitmap.value, bits)
+        for batch in batches:
+            out, seen = ([], [], []), set()
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                x = shingle_set(text)
+                shared = x[repeated(x)]
+                if len(shared) >= least * len(x) - SLACK:
+                    for column, value in zip(out, (digest, len(x), shared.tobytes())):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.string(), pa.int32(), pa.binary()))],
+                                             names=["digest", "n", "shingles"])
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], type=pa.int32()),
-                                          pa.array([x.tobytes() for x in sets], type=pa.binary())], names=["node", "n", "shingles"])
+        for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(x, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node))], names=["token", "node"])
 
 
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, all_of = [], batch.column(4).to_numpy()
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= least * (len(x) + len(y) - both):
+                if both >= least * (int(all_of[i]) - both):
                     keep.append(i)
             keep = pa.array(keep, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
@@ -290,35 +312,78 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     sizes = sets.select("node", "n")
     near = (pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
             .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-            .where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")))
-    laid = (near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+            .where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - SLACK))
+    laid = (near.select("a", "b", (F.col("na") + F.col("nb")).alias("n")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
-    return staged(laid.select("a", "b", "sa", "sb").mapInArrow(_similar(least), EDGES))
+    return staged(laid.select("a", "b", "sa", "sb", "n").mapInArrow(_similar(least), EDGES))
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """``token``, ``node``, ``n``, ``r``: the rarest shingles of each set, so many that two sets of similarity ``least`` share one.
+
+    Of n shingles all but the last ceil(least * n) - 1 in one order for all sets, rarest first.  Shingles of one set only
+    meet nothing and are not sent; ``r`` is the number of the others, and a set with fewer than least * n of them has no similar one.
+    """
+    each = staged(sets.select("node", "shingles").mapInArrow(_tokens, "token long, node long"))
+    df = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = each.join(df, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("x"))
+    own = own.join(sets.select("node", "n"), "node").withColumn("r", F.size("x")).where(F.col("r") >= F.lit(least) * F.col("n") - SLACK)
+    sent = (F.col("r") - F.ceil(F.lit(least) * F.col("n") - SLACK) + 1).cast("int")
+    return own.select("node", "n", "r", F.explode(F.slice(F.sort_array("x"), F.lit(1), F.greatest(sent, F.lit(0)))).alias("x")).select(F.col("x.token").alias("token"), "node", "n", "r")
+
+
+def all_links(sets: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """``links`` and so many more of similarity ``least`` that their components are those of all such pairs.
+
+    Sets meet by the shingles of their prefixes.  In a round some sets of each shingle (in ``CENTRES`` classes, twice as many each
+    round, that with the most links so far first) are compared with all sets there that are not yet in their component, and are done
+    there; shingles whose sets are all in one component are done.  No pair between two components is left out.
+    """
+    none = sets.where("n = 0").agg(F.min("node")).first()[0]
+    if none is not None:
+        links = links.unionByName(sets.where(F.col("n") == 0).where(F.col("node") > none).select(F.lit(none).alias("a"), F.col("node").alias("b")))
+    posts, classes, part = prefixes(sets, least), CENTRES, F.lit(least / (1 + least))
+    while True:
+        group = components(links, "a", "b")
+        degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+        known = group.join(degree, "node", "left")
+        posts = staged(posts.join(known, "node", "left").select("token", "node", "n", "r", F.coalesce("component", "node").alias("of"),
+                                                                  F.coalesce("links", F.lit(0)).alias("links")))
+        open_ = posts.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("token")
+        posts = staged(posts.join(open_, "token"))
+        if posts.isEmpty():
+            return links
+        centre = staged(posts.groupBy("token", F.pmod(F.xxhash64("node", F.lit(classes)), F.lit(classes)).alias("class"))
+                        .agg(F.min(F.struct((-F.col("links")).alias("links"), "node", "n", "r", "of")).alias("c")).select("token", "c"))
+        pairs = (posts.join(centre, "token").where(F.col("of") != F.col("c.of"))
+                 .where(F.least("r", "c.r") >= part * (F.col("n") + F.col("c.n")) - SLACK)
+                 .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
+        links = links.unionByName(_verified(pairs, sets, least))
+        done = centre.select("token", F.col("c.node").alias("node"))
+        posts = posts.join(done, ["token", "node"], "left_anti").select("token", "node", "n", "r")
+        classes *= 2
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tables: int = TABLES, least: float = NEAR) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that with the smallest key; null and empty texts are one group.
 
-    Candidates are linked in two steps: every text with its first candidate, then candidates that still lie in different
-    groups, so that a large group of copies costs a check or a few for each member and not one for each pair.
+    Texts most of whose shingles no other row has are no near-duplicates, and a sketch tells them.  The others are linked with
+    their first SimHash candidate, which joins most copies for a check each, then completed by ``all_links``.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, spark = docs.schema[key].dataType.simpleString(), docs.sparkSession
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"),
                        F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
     prints = staged(rows.select("digest", "id", "text").mapInArrow(_word_fingerprints(tables), PRINTS.format(kind)))
     distinct = staged(prints.groupBy("digest").agg(F.min("id").alias("low"), F.first("fps").alias("fps"))
                       .withColumn("node", F.monotonically_increasing_id()))
-    each = distinct.select(F.posexplode("fps").alias("table", "fp"), "node")
-    edges = staged(close_pairs(each, distinct.count(), 4, False))
-    needed = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(distinct, "node").select("digest", "low", "node")
-    met = rows.select("digest", "id", "text").join(needed, "digest").where(F.col("id").eqNullSafe(F.col("low")))
-    sets = staged(met.select("node", "text").mapInArrow(_sets, SET).dropDuplicates(["node"]))
+    bits = sketch_bits(max(1, docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0] // 6))
+    bitmap = spark.sparkContext.broadcast(repeated_cells(docs, text, bits, lambda: shingle_set))
+    sets = staged(rows.select("digest", "text").mapInArrow(_sets(bitmap, bits, least), "digest string, n int, shingles binary")
+                  .dropDuplicates(["digest"]).join(distinct.select("digest", "node"), "digest").select("node", "n", "shingles"))
+    each = distinct.join(sets.select("node"), "node").select(F.posexplode("fps").alias("table", "fp"), "node")
+    edges = close_pairs(each, sets.count(), 4, False)
     first = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least)
-    group = components(first, "a", "b")
-    rest = (edges.join(group.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left")
-            .join(group.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
-            .where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"))
-    links = first.unionByName(_verified(rest, sets, least))
+    links = all_links(sets, first, least)
     group = components(links, "a", "b")
     kept = group.join(distinct, "node").groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("null"), "low", "node")).alias("m"))
     gone = group.join(kept.select(F.col("m.node").alias("node")), "node", "left_anti").select("node")

@@ -56,9 +56,20 @@ def numbers(data: bytes) -> np.ndarray:
 SKETCH = "row int, chunk int, once binary, more binary"
 
 
-def _sketch(bits: int):
+def _windows():
+    """Hashes of a text's windows."""
+    hashes = WordHashes()
+
+    def of(text: bytes | None) -> np.ndarray:
+        words = (text or b"").split()
+        return rolling(hashes(words)[0], WINDOW, BASES[0]) if len(words) >= WINDOW else np.empty(0, dtype=np.uint64)
+
+    return of
+
+
+def _sketch(bits: int, hashed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes_of = hashed()
 
         def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             out = ([], [], [], [])
@@ -77,10 +88,10 @@ def _sketch(bits: int):
         held, size = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = (text or b"").split()
-                if len(words) >= WINDOW:
-                    held.append(rolling(hashes(words)[0], WINDOW, BASES[0]))
-                    size += len(held[-1])
+                found = hashes_of(text)
+                if len(found):
+                    held.append(found)
+                    size += len(found)
                 if size >= FLUSH:
                     yield from send(held)
                     held, size = [], 0
@@ -112,9 +123,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bitmap()
 
 
-def repeated_cells(docs: DataFrame, text: str, bits: int) -> bytes:
-    """Both rows' bitmaps of the cells counted twice or more."""
-    chunks = (docs.select(F.col(text).cast("binary")).mapInArrow(_sketch(bits), SKETCH)
+def sketch_bits(windows: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, ceil(log2(2 * windows))))
+
+
+def repeated_cells(docs: DataFrame, text: str, bits: int, hashed=_windows) -> bytes:
+    """Both rows' bitmaps of the cells counted twice or more; ``hashed()`` gives the function from a text to its hashes."""
+    chunks = (docs.select(F.col(text).cast("binary")).mapInArrow(_sketch(bits, hashed), SKETCH)
               .repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(_merge, "row int, chunk int, bits binary"))
     each, size = (1 << bits) // 8, (1 << CHUNK_BITS) // 8
     out = bytearray(2 * each)
@@ -182,17 +197,24 @@ def _wide(rows: pa.Table, kind: int) -> Iterator[pa.RecordBatch]:
     yield from pa.table(columns, schema=_OUT).combine_chunks().to_batches()
 
 
+def repeated_in(bitmaps: bytes, bits: int):
+    """Function from hashes to the places of those whose cells are repeated in both rows."""
+    both = np.frombuffer(bitmaps, dtype=np.uint8)
+    rows = both[:len(both) // 2], both[len(both) // 2:]
+
+    def repeated(w: np.ndarray) -> np.ndarray:
+        keep = np.arange(len(w))
+        for of, cell in zip(rows, cells(w, bits)):
+            cell = cell[keep]
+            keep = keep[(of[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
+        return keep
+
+    return repeated
+
+
 def _places(bitmap, bits: int, bucket_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, hashes = np.frombuffer(bitmap.value, dtype=np.uint8), WordHashes()
-        rows = both[:len(both) // 2], both[len(both) // 2:]
-
-        def repeated(w: np.ndarray) -> np.ndarray:
-            keep = np.arange(len(w))
-            for of, cell in zip(rows, cells(w, bits)):
-                cell = cell[keep]
-                keep = keep[(of[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
-            return keep
+        repeated, hashes = repeated_in(bitmap.value, bits), WordHashes()
 
         def send(held, docs) -> Iterator[pa.RecordBatch]:
             ids, hs = (np.array(x, dtype=np.int64) for x in zip(*docs))
@@ -296,7 +318,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     spark = docs.sparkSession
     chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     windows = max(1, chars // 6)
-    bits = bits or min(MOST_BITS, max(LEAST_BITS, ceil(log2(2 * windows))))
+    bits = bits or sketch_bits(windows)
     bitmap = spark.sparkContext.broadcast(repeated_cells(docs, text, bits))
     bucket_bits = max(3, ceil(log2(max(1, windows / BUCKET_WINDOWS))))
     found = docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(_places(bitmap, bits, bucket_bits), OUT)

@@ -102,3 +102,17 @@ def test_drop_near_duplicates(spark):
 def test_empty(spark):
     assert simhash.linked(empty(spark)).count() == 0 and simhash.drop_near_duplicates(empty(spark)).count() == 0
     assert simhash.linked(docs(spark, [(1, SENTENCE, "en")])).count() == 1
+
+
+def kept_by_all_pairs(df):
+    rows = [(r.doc_id, set(simhash.shingle_set((r.text or "").encode()).tolist())) for r in df.collect()]
+    sim = [(i, j) for i in range(len(rows)) for j in range(i) if len(rows[i][1] & rows[j][1]) >= 0.8 * len(rows[i][1] | rows[j][1])]
+    return sorted({r: rows[r][0] for r in roots(len(rows), sim)}.values())
+
+
+def test_copies_alike_only_through_their_base(spark):
+    base = sentences(31, 1, 330, 4000)[0]
+    rows = [(i, edited(base, 6, i), "en") for i in range(60)] + [(60, base, "en")]
+    df = docs(spark, rows)
+    assert kept_by_all_pairs(df) == [0]
+    assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [0]
