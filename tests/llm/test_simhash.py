@@ -116,3 +116,14 @@ def test_copies_alike_only_through_their_base(spark):
     df = docs(spark, rows)
     assert kept_by_all_pairs(df) == [0]
     assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [0]
+
+
+def test_edited_blocks(spark):
+    rows = []
+    for i, text in enumerate(sentences(32, 12, 300, 4000)):
+        more, w = sentences(100 + i, 1, 60, 4000)[0].split(), text.split()
+        rows += [(10 * i, text, "en"), (10 * i + 1, " ".join(w + more[:20 + 4 * i]), "en"), (10 * i + 2, " ".join(w[:240 + 3 * i]), "en"),
+                 (10 * i + 3, " ".join(w[:100] + more[:15 + 2 * i] + w[115 + 2 * i:]), "en")]
+    df = docs(spark, rows)
+    want = kept_by_all_pairs(df)
+    assert 12 <= len(want) < 20 and sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == want
