@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
-from ledgerlens.llm.textio import BASES, WordHashes, rolling
+from ledgerlens.llm.textio import BASES, WordHashes, mixed, rolling
 
 WINDOW = 20
 LEAST_BITS, MOST_BITS, CHUNK_BITS = 20, 29, 20
@@ -161,7 +161,8 @@ def repeats_of(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.n
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     which, counts = np.unique(doc, return_counts=True)
-    to = hashes[which] & ((1 << bucket_bits) - 1)
+    spread = mixed(ids[which].astype(np.uint64) ^ mixed(hashes[which].astype(np.uint64)))  # copies of one text have different ids
+    to = (spread & np.uint64((1 << bucket_bits) - 1)).astype(np.int64)
     rows = ([], [], [], [], [])
     for b in np.unique(to):
         here = to == b

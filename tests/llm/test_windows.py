@@ -3,7 +3,8 @@
 import random
 import re
 
-from fixtures import SENTENCE, docs, edited, empty, sentences
+import numpy as np
+from fixtures import LONG, SENTENCE, docs, edited, empty, sentences
 
 from ledgerlens.llm import decontaminate, substrings
 from ledgerlens.llm.common import components
@@ -94,3 +95,21 @@ def test_contamination(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in all_rows if not plain_hits(r.text, items)[3])
     assert decontaminate.contamination(empty(spark), bench).count() == 0
     assert decontaminate.contamination(df, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
+
+
+def test_copies_of_one_text_spread_over_the_buckets():
+    ids, n = np.arange(-1000, 1000), 50
+    doc, start = np.repeat(np.arange(2000), n), np.tile(np.arange(n), 2000)
+    rows = substrings.repeats_of(ids, np.full(2000, -77), doc, start, 3)
+    sizes = [len(x) // 8 for x in rows.column("ids").to_pylist()]
+    assert len(sizes) == 8 and sum(sizes) == 2000 and max(sizes) < 350
+    again = substrings.repeats_of(ids[:1], np.full(1, -77), doc[:n], start[:n], 3)  # a document's bucket is the same in every task
+    at = rows.column("to").to_pylist().index(again.column("to")[0].as_py())
+    assert again.column("ids")[0].as_py() in [rows.column("ids")[at].as_py()[i:i + 8] for i in range(0, 8 * sizes[at], 8)]
+
+
+def test_a_table_mostly_of_one_text(spark):
+    rows = [(i, LONG[:2000], "en") for i in range(300)] + [(300, SENTENCE, "en")]
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.without_repeats(docs(spark, rows)).collect()}
+    n = out[0][0]
+    assert out == {0: (n, 0), **{i: (n, n) for i in range(1, 300)}, 300: (len(SENTENCE.split()), 0)}
