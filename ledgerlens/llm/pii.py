@@ -17,7 +17,7 @@ rows.  Positions are code points, ends exclusive.  Extra columns are ignored by
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +100,26 @@ KINDS = (
 )
 
 
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """By the length that a country's IBANs have, so that a group after one is not taken in; other codes by the general form."""
+    def groups(length: int) -> str:
+        return f"[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{(length - 4) // 4}}}" + (f"\\x20?[A-Z0-9]{{{length % 4}}}" if length % 4 else "")
+
+    fixed = "|".join(f"(?:{codes.replace(' ', '|')}){groups(length)}" for length, codes in IBAN_LENGTHS.items())
+    return f"(?:{fixed}|[A-Z]{{2}}[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{2,7}}(?:\\x20?[A-Z0-9]{{1,3}})?)"
+
+
+# The kinds as redaction takes them.
+WHOLE_KINDS = tuple(replace(k, pattern=_iban_pattern()) if k.name == "iban" else k for k in KINDS)
+
+
 def running(steps: Column) -> Column:
     """Running sums of an array, in blocks so that a long array is not copied once per element."""
     def grown(acc: Column, v: Column) -> Column:
@@ -113,14 +133,22 @@ def running(steps: Column) -> Column:
     return F.when(F.size(steps) == 0, none).otherwise(summed)
 
 
+def _later(texts: Column, by: int) -> Column:
+    """An array of texts moved back by some places, as long as before, empty texts in front."""
+    return F.slice(F.concat(F.array_repeat(F.lit(""), by), texts), F.lit(1), F.size(texts))
+
+
 def _found(text: Column, kind: Kind) -> Column:
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     none = F.array().cast("array<string>")
     return F.when(text.contains(kind.gate), matches).otherwise(none) if kind.gate else matches
 
 
-def with_candidates(df: DataFrame, text: str, kind: Kind) -> DataFrame:
-    """Adds ``_<kind>``: array of (match, before, start, end, ok, score) in order of position."""
+def with_candidates(df: DataFrame, text: str, kind: Kind, whole: bool = False) -> DataFrame:
+    """Adds ``_<kind>``: array of (start, end, ok, score) in order of position.
+
+    Context is looked for in the last characters before a match: since the match before it, as in the SQL, or with ``whole`` whatever they are.
+    """
     k = f"_{kind.name}"
     none = F.array().cast("array<string>")
     df = df.withColumn(f"{k}_m", _found(F.col(text), kind))
@@ -128,6 +156,15 @@ def with_candidates(df: DataFrame, text: str, kind: Kind) -> DataFrame:
     df = df.withColumn(f"{k}_e", running(F.zip_with(f"{k}_m", F.slice(f"{k}_p", F.lit(1), F.size(f"{k}_m")),
                                                     lambda m, p: F.length(m) + F.length(p))))
 
+    pieces, before, reach = F.slice(f"{k}_p", F.lit(1), F.size(f"{k}_m")), f"{k}_b", 1
+    if not whole:
+        df = df.withColumn(before, F.transform(pieces, lambda p: F.right(p, F.lit(CONTEXT_CHARS))))
+    else:  # each piece after the match before it, then twice as many of them a step, until they hold CONTEXT_CHARS
+        df = df.withColumn(before, F.zip_with(_later(F.col(f"{k}_m"), 1), pieces, lambda m, p: F.right(F.concat(m, p), F.lit(CONTEXT_CHARS))))
+    while whole and reach * 2 < CONTEXT_CHARS + 2:  # no match is shorter than two characters
+        df = df.withColumn(f"{k}_b{reach}", F.zip_with(_later(F.col(before), reach), before, lambda x, y: F.right(F.concat(x, y), F.lit(CONTEXT_CHARS))))
+        before, reach = f"{k}_b{reach}", 2 * reach
+
     def judged(m: Column, at: Column) -> Column:
         ok = kind.valid(m) if kind.valid else F.lit(True)
         score = (F.lit(kind.prior) + F.when(ok, F.lit(kind.if_valid)).otherwise(F.lit(0.0))
@@ -135,8 +172,7 @@ def with_candidates(df: DataFrame, text: str, kind: Kind) -> DataFrame:
         return F.struct((at.end - F.length(m)).alias("start"), at.end.alias("end"), ok.alias("ok"), F.least(F.round(score, 2), F.lit(1.0)).alias("score"))
 
     # Arrays enter as arguments, never inside a lambda: an expression that is pulled in there would run per match.
-    around = F.zip_with(F.slice(f"{k}_p", F.lit(1), F.size(f"{k}_m")), f"{k}_e", lambda p, e: F.struct(
-        lower_ascii(F.right(p, F.lit(CONTEXT_CHARS))).alias("before"), e.alias("end")))
+    around = F.zip_with(before, f"{k}_e", lambda b, e: F.struct(lower_ascii(b).alias("before"), e.alias("end")))
     return df.withColumn(k, F.zip_with(f"{k}_m", around, judged))
 
 
@@ -144,17 +180,21 @@ def _kept(kind: Kind) -> Column:
     return F.filter(f"_{kind.name}", lambda s: s.ok & (F.lit(kind.base) | (s.score >= THRESHOLD)))
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``spans``: array of (start, rank, end, kind, score) by start, then kind in the order of ``KINDS``."""
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """``key`` and ``spans``: array of (start, rank, end, kind, score) by start, then kind in the order of ``KINDS``.
+
+    As the SQL of op3_pii has them, or with ``whole`` as ``redact`` takes them.
+    """
     df = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    for kind in KINDS:
-        df = with_candidates(df, "_text", kind)
+    kinds = WHOLE_KINDS if whole else KINDS
+    for kind in kinds:
+        df = with_candidates(df, "_text", kind, whole)
 
     def ranked(rank: int, kind: Kind) -> Column:
         return F.transform(_kept(kind), lambda s: F.struct(
             s.start.alias("start"), F.lit(rank).alias("rank"), s.end.alias("end"), F.lit(kind.name).alias("kind"), s.score.alias("score")))
 
-    each = [ranked(r, kind) for r, kind in enumerate(KINDS)]
+    each = [ranked(r, kind) for r, kind in enumerate(kinds)]
     return df.select(F.col("_key").alias(key), F.sort_array(F.concat(*each)).alias("spans"))
 
 
@@ -164,9 +204,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Kind by kind, on what the kinds before have left, by putting pieces and replaced matches together.
     """
     df = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    for kind in sorted(KINDS, key=lambda k: ("email", "iban", "card", "phone", "ip", "ssn", "local").index(k.name)):
+    for kind in sorted(WHOLE_KINDS, key=lambda k: ("email", "iban", "card", "phone", "ip", "ssn", "local").index(k.name)):
         k = f"_{kind.name}"
-        df = with_candidates(df, "_text", kind)
+        df = with_candidates(df, "_text", kind, True)
         shown = F.zip_with(f"{k}_m", k, lambda m, s: F.when(
             s.ok & (F.lit(kind.base) | (s.score >= THRESHOLD)), F.lit(f"[{kind.name.upper()}]")).otherwise(m))
         whole = F.array_join(F.zip_with(f"{k}_p", shown, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")

@@ -83,3 +83,23 @@ def test_awkward_and_empty(spark):
     assert found[7] == len(base_spans(LONG)) and found[4] == found[5] == 0 and found[1] == 2
     assert [r.text for r in pii.redact(docs(spark)).where("doc_id = 7").collect()] == [LONG]
     assert pii.spans(empty(spark)).count() == 0 and pii.redact(empty(spark)).count() == 0
+
+
+def test_lists_share_their_context(spark):
+    texts = ["Phone: 555-123-4567, 555-987-6543", "ssn 123-45-6789 123-45-6780 123-45-6781; 123-45-6782", "ssn 123-45-6789" + "." * 40 + "123-45-6780",
+             "ssn:123-45-6789 " + "1 2 " * 3 + "123-45-6781"]
+    by = {r.doc_id: r.spans for r in pii.spans(docs(spark, [(i, t, "en") for i, t in enumerate(texts)]), whole=True).collect()}
+    assert [texts[0][s.start:s.end] for s in by[0] if s.kind == "local"] == ["555-123-4567", "555-987-6543"]
+    for i, kind, word in ((0, "local", "phone"), (1, "ssn", "ssn"), (2, "ssn", "ssn"), (3, "ssn", "ssn")):
+        pattern = next(k.pattern for k in pii.KINDS if k.name == kind)
+        want = [m.start() for m in re.finditer(pattern, texts[i]) if word in texts[i][max(0, m.start() - 40):m.start()].lower()]
+        assert [s.start for s in by[i] if s.kind == kind] == want
+    out = pii.redact(docs(spark, [(0, texts[0], "en")])).first().text
+    assert out == "Phone: [LOCAL], [LOCAL]"
+
+
+def test_iban_before_another_group(spark):
+    ibans = ["ES9121000418450200051332", "AT61 1904 3002 3457 3201", "BE68539007547034", "DE89 3704 0044 0532 0130 00"]
+    rows = [(i, f"{x} BIC CAIXESBB 1234", "en") for i, x in enumerate(ibans)] + [(9, " ".join(ibans), "en")]
+    by = {r.doc_id: [r.text[s.start:s.end] for s in r.spans if s.kind == "iban"] for r in docs(spark, rows, False).join(pii.spans(docs(spark, rows), whole=True), "doc_id").collect()}
+    assert [by[i] for i in range(4)] == [[x] for x in ibans] and by[9] == ibans
