@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat, decontaminate, langid, packing, pii, quality, simhash, substrings, url_filters, warc
+from ledgerlens.llm import (
+    chat, decontaminate, filter_audit, fm_quality, langid, packing, pii, quality, simhash, substrings, url_filters, warc, whitening,
+)
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_quality_fm": fm_quality.op12_quality_fm,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -24,4 +29,5 @@ ORACLES = {
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
