@@ -133,14 +133,14 @@ def transaction_conflicts(events: DataFrame, *, fold_limit: int = FOLD_LIMIT) ->
 
 
 def event_repeats(
-    survivors: DataFrame, with_value: WithValue, *, fold_limit: int = FOLD_LIMIT
+    survivors: DataFrame, with_value: WithValue, *, time: str = "stream_time_2", fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
     """Arrivals that repeat a (customer, event): silent duplicates and fingerprint conflicts.
 
     ``with_value`` adds the fingerprint as ``val``; it is asked for repeated events only.
     """
     decisions = repeat_decisions(
-        survivors, ["customerId", "eventId"], "stream_time_2", with_value, fold_limit=fold_limit)
+        survivors, ["customerId", "eventId"], time, with_value, fold_limit=fold_limit)
     return decisions.select(
         "arrival_seq",
         F.when(F.col("same"), F.lit("duplicate")).otherwise(F.lit(EVENT_CONFLICT)).alias("outcome"),

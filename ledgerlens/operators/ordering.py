@@ -133,3 +133,31 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -
     rest = [c for c in df.columns if c not in key]
     best = F.max_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*key).agg(best.alias("__row")).select(*key, "__row.*")
+
+
+def with_arrival(records: DataFrame, stamps: DataFrame | None = None, start: int = 0, *, width: int = CHUNK_WIDTH) -> tuple[DataFrame, DataFrame]:
+    """``records`` with ``arrival_seq``, and how far the stamps of every source partition have come (slot, time).
+
+    Inside a source partition the offset is the order; across partitions records are merged by their timestamp, then
+    partition and offset.  A timestamp that goes back counts as the largest one before it (``stamps`` says where earlier
+    batches left them), so the merge never contradicts the offsets.  The numbers follow each other from ``start``:
+    one range shuffle of three narrow columns, then each range continues where the ranges before it end.
+    """
+    narrow = records.select("partition", "offset", F.unix_micros("timestamp").alias("__stamp"))
+    timed = running_max(narrow, ["partition"], "offset", "__stamp", "__time", width=width)
+    if stamps is not None:
+        timed = timed.join(stamps.select(F.col("slot").alias("partition"), F.col("time").alias("__before")), "partition", "left").withColumn(
+            "__time", F.greatest("__time", "__before")).drop("__before")
+    order = ["__time", "partition", "offset"]
+    placed = materialize(
+        timed.repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("partition", "offset", "__time", F.monotonically_increasing_id().alias("__place")))
+    # the upper bits number the range, the lower ones the row in it
+    piece, row = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    pieces = placed.groupBy(piece.alias("__piece")).count()  # a row per range
+    pieces = pieces.withColumn("__first", F.coalesce(F.sum("count").over(
+        Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    numbered = placed.withColumn("__piece", piece).join(pieces, "__piece").select(
+        "partition", "offset", (F.col("__first") + row + start).alias("arrival_seq"))
+    came = placed.groupBy(F.col("partition").cast("long").alias("slot")).agg(F.max("__time").alias("time"))
+    return records.join(numbered, ["partition", "offset"]), came

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -61,14 +65,74 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_STAGING = threading.local()
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` as a table into the shared folder and continue from there.
 
-    Used where several later branches read the same shuffled result, so that a
-    lost executor costs a re-read and not a re-run of everything upstream.
+    Used where several later branches read the same shuffled result: a lost executor costs a
+    re-read and not a re-run of everything upstream, a reader takes only the columns it asks
+    for, and the plan above knows the size.  Inside ``staging`` the table goes when that ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{getattr(_STAGING, 'folder', None) or ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """A folder below the shared one for the tables that this thread materializes; removed at the end."""
+    before = getattr(_STAGING, "folder", None)
+    folder = _STAGING.folder = f"{ensure_checkpoint_dir(spark)}/staging-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        _STAGING.folder = before
+        remove(spark, folder)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, fs = _file_system(spark, path)
+    fs.delete(place, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in ``folder``; none if there is no such folder."""
+    place, fs = _file_system(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text, None if there is none."""
+    place, fs = _file_system(spark, path)
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    place, fs = _file_system(spark, path)
+    part, _ = _file_system(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    fs.delete(place, False)
+    if not fs.rename(part, place):
+        raise OSError(f"could not write {path}")
 
 
 def share(df: DataFrame) -> DataFrame:

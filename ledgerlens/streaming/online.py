@@ -1,31 +1,36 @@
-"""The online job: one streaming query from records and rule sets to every output table."""
+"""The online job: one streaming query from records to every output table, one commit per micro-batch.
+
+A micro-batch is a table, so it goes through the operators of the batch job, continued from the state that the
+batches before it left (``streaming.state``).  Records are read and parsed once; outputs, invalid records and state
+become visible together by the batch's commit.  The rule set is resolved once per batch, from the accepted
+snapshots, and pinned by the commit.  There is no watermark: late rows are evaluated, never dropped.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.functions.ids import event_fingerprint
 from ledgerlens.operators import assessment, identity
-from ledgerlens.operators.history import observed_column
+from ledgerlens.operators.ordering import with_arrival
 from ledgerlens.operators.rules import MAX_DEPTH, RuleSet
-from ledgerlens.operators.rulesets import ACTIVE_KEY, validate_snapshots
+from ledgerlens.operators.rulesets import ACTIVE_KEY, accept_snapshots, load_rulesets as compile_accepted, validate_snapshots
+from ledgerlens.plans.incremental import advance
 from ledgerlens.plans.risk import DEFAULT_BUCKETS, with_bucket
-from ledgerlens.session import share
+from ledgerlens.session import ensure_checkpoint_dir, materialize, staging
 from ledgerlens.sources.ingest import TRANSACTION_TOPIC, invalid_references, parse_events
 from ledgerlens.sources.tables import write_outputs
-from ledgerlens.streaming import processors
-from ledgerlens.streaming.processors import OUT_SCHEMA, ROW_SCHEMA, CustomerProcessor, IdentityProcessor
-
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from ledgerlens.streaming.commits import Commits
+from ledgerlens.streaming.state import ARRIVAL, State
 
-# The Python worker that prepares a stateful operator on the driver does not see files added
-# to the session, so the processors travel as values.
-cloudpickle.register_pickle_by_value(processors)
+RULESETS = "_rulesets"
+SNAPSHOT_COLUMNS = ("version", "payload", "arrival_seq")
+Loader = Callable[[SparkSession, set[int]], Mapping[int, RuleSet]]
 
 
 class NotReady(RuntimeError):
@@ -37,13 +42,7 @@ def require_ruleset(accepted: DataFrame) -> None:
         raise NotReady("NO_VALID_RULESET_LOADED")
 
 
-def _rows(df: DataFrame, kind: str) -> DataFrame:
-    present = set(df.columns)
-    return df.select(*[
-        F.lit(kind).alias("kind") if f.name == "kind"
-        else (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in ROW_SCHEMA.fields
-    ])
+# ---------------------------------------------------------------- rule sets
 
 
 def _node_type(depth: int) -> str:
@@ -62,110 +61,144 @@ def windows_of(payload: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(*found), lambda s: s.isNotNull()))
 
 
-def ruleset_rows(snapshots: DataFrame) -> DataFrame:
-    """Sound snapshots as control rows: version and the windows its rules look at."""
-    sound = validate_snapshots(snapshots.filter(F.col("key") == ACTIVE_KEY)).filter("reject_reason IS NULL")
-    return sound.select(
-        "arrival_seq", F.col("version").alias("ruleset_version"), windows_of(F.col("payload")).alias("windows"))
+def accept_rulesets(snapshots: DataFrame, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Keep the sound snapshots of rising versions as a table; a commit's ``version`` is the highest so far."""
+    spark = snapshots.sparkSession
 
+    def accept(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        commits = Commits(session, f"{out}/{RULESETS}")
+        if commits.get(batch_id):
+            return
+        current = (commits.before(batch_id) or {}).get("version")
+        with staging(session):
+            sound = validate_snapshots(batch.where(F.col("key") == ACTIVE_KEY))
+            newer = materialize(sound if current is None else sound.where((F.col("version") > current) | F.col("version").isNull()))
+            accepted = accept_snapshots(newer).where("disposition = 'accepted'").select(
+                *SNAPSHOT_COLUMNS, windows_of(F.col("payload")).alias("windows"))
+            write_outputs({"accepted": accepted}, f"{out}/{RULESETS}", batch_id)
+            highest = session.read.parquet(f"{out}/{RULESETS}/accepted/batch_id={batch_id}").agg(F.max("version")).first()[0]
+        commits.put(batch_id, {"version": current if highest is None else highest})
 
-def resolve_stream(events: DataFrame, snapshots: DataFrame, *, partitions: int,
-                   buckets: int = DEFAULT_BUCKETS, bucket: Column | None = None) -> DataFrame:
-    """Outcome, history flags and counts per event, as an append-only stream.
+    ensure_checkpoint_dir(spark)
+    return (snapshots.writeStream.foreachBatch(accept).outputMode("append")
+            .option("checkpointLocation", f"{checkpoint}/rulesets").trigger(**trigger).start())
 
-    ``events`` are parsed records.  Every rule set is sent to each partition and each
-    bucket (small, rare rows), so the version an event meets follows arrival order.
-    """
-    control = ruleset_rows(snapshots)
-    to_partitions = _rows(control.withColumn(
-        "partition", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)))), "ruleset")
-    to_buckets = _rows(control.withColumn(
-        "bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))), "ruleset")
-    rows = _rows(
-        (with_bucket(events, buckets) if bucket is None else events.withColumn("bucket", bucket)).filter("schema_valid")
-        .withColumn("fingerprint", event_fingerprint(F.col("occurred_us"))), "event")
-    identified = (
-        rows.unionByName(to_partitions).groupBy("partition")
-        .transformWithState(IdentityProcessor(), ROW_SCHEMA, "Append", "None")
-    )
-    return (
-        identified.unionByName(to_buckets).groupBy("bucket")
-        .transformWithState(CustomerProcessor(), OUT_SCHEMA, "Append", "None")
-    )
-
-
-def batch_outputs(batch: DataFrame, rulesets: Mapping[int, RuleSet]) -> dict[str, DataFrame]:
-    """Every output table of one micro-batch, with the same expressions as the batch job."""
-    windows = sorted(set().union(*(r.windows() for r in rulesets.values())))
-    accepted = batch.filter("outcome = 'accepted'").withColumns({
-        observed_column(w): F.try_element_at("observed", F.lit(w)) for w in windows})
-    assessed = share(assessment.assessments(assessment.evaluate(accepted, rulesets)))
+
+def active_version(spark: SparkSession, out: str) -> int | None:
+    """Version of the highest accepted rule set, None before the first."""
+    commits = Commits(spark, f"{out}/{RULESETS}")
+    return (commits.get(commits.last()) or {}).get("version")
+
+
+def stored_rulesets(spark: SparkSession, out: str) -> Loader:
+    """Compiles the asked versions from the accepted snapshots; those already compiled are kept."""
+    known: dict[int, RuleSet] = {}
+
+    def load(session: SparkSession, versions: set[int]) -> Mapping[int, RuleSet]:
+        missing = versions - set(known)
+        if missing:
+            known.clear()
+            known.update(compile_accepted(Commits(session, f"{out}/{RULESETS}").visible("accepted"), versions))
+        return known
+
+    return load
+
+
+# ---------------------------------------------------------------- events
+
+
+def batch_outputs(resolved: DataFrame, assessed: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """The output tables of one micro-batch besides its assessments, with the expressions of the batch job."""
     alerted = assessment.alerts(assessed)
     return {
-        "disposition": batch.select("arrival_seq", "outcome"),
-        "assessment": assessed,
+        "disposition": resolved.select("arrival_seq", "outcome"),
         "alert": alerted,
         "notification_request": assessment.notification_requests(alerted),
-        "quarantine": identity.quarantine_references(batch, TRANSACTION_TOPIC),
+        "quarantine": identity.quarantine_references(resolved, TRANSACTION_TOPIC),
+        "invalid": invalid_references(events),
     }
 
 
+def process(batch: DataFrame, batch_id: int, out: str, load_rulesets: Loader, *, buckets: int = DEFAULT_BUCKETS, bucket: Column | None = None,
+            on_written: Callable[[int], None] | None = None) -> None:
+    """Evaluate one micro-batch and commit it; does nothing if it is committed already."""
+    spark = batch.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "true")  # a micro-batch is planned like any table
+    commits = Commits(spark, out)
+    if commits.get(batch_id):
+        return
+    commit = commits.before(batch_id)
+    state, version = State(spark, out, commit), active_version(spark, out)
+    if version is None:
+        raise NotReady("NO_VALID_RULESET_LOADED")
+    rules = load_rulesets(spark, {version})
+    with staging(spark):
+        came, following = None, (commit or {}).get("next_seq", 0)
+        if "arrival_seq" not in batch.columns:
+            batch = materialize(batch)
+            batch, came = with_arrival(batch, state.clocks().where(F.col("stage") == ARRIVAL), following)
+        parsed = parse_events(batch).withColumn("ruleset_version", F.lit(version).cast("long"))
+        parsed = with_bucket(parsed, buckets) if bucket is None else parsed.withColumn("bucket", bucket.cast("long"))
+        events = materialize(parsed.withColumn("fingerprint", F.when(F.col("valid"), event_fingerprint(F.col("occurred_us")))).drop("violations"))
+        step = advance(events, state.clocks(), state.entries, rules[version].windows())
+
+        write_outputs({"assessment": assessment.assessments(assessment.evaluate(step.evaluable, {version: rules[version]}))}, out, batch_id)
+        assessed = spark.read.parquet(f"{out}/assessment/batch_id={batch_id}")
+        clocks = step.clocks if came is None else step.clocks.unionByName(came.withColumn("stage", F.lit(ARRIVAL)))
+        with ThreadPoolExecutor(2) as pool:  # independent small jobs
+            wrote = pool.submit(write_outputs, batch_outputs(step.resolved, assessed, events), out, batch_id)
+            kept = pool.submit(state.advanced, batch_id, step.entries, clocks)
+            wrote.result()
+            kept = kept.result()
+        following = events.agg(F.max("arrival_seq") + 1).first()[0] or following
+    if on_written:
+        on_written(batch_id)
+    commits.put(batch_id, {"ruleset_version": version, "next_seq": following, "state": kept})
+    state.forget(kept)
+
+
 def start(
     records: DataFrame,
     snapshots: DataFrame,
-    load_rulesets: Callable[[SparkSession, set[int]], Mapping[int, RuleSet]],
+    load_rulesets: Loader | None,
     out: str,
     checkpoint: str,
     *,
-    partitions: int,
+    partitions: int | None = None,
     buckets: int = DEFAULT_BUCKETS,
     bucket: Column | None = None,
     state_partitions: int | None = None,
     trigger: dict | None = None,
-) -> tuple[StreamingQuery, StreamingQuery]:
-    """Start the evaluating query and the one that files invalid records.
-
-    ``load_rulesets`` is asked once per micro-batch for the versions its events met, so a
-    new version needs no restart and old ones are not held.
-    ``state_partitions`` is the number of state stores, fixed for the life of the checkpoint.
-    ``bucket`` replaces the default hash of the customer by another function of it.
-    Outputs are overwritten per batch number: with deterministic ids a repeated batch
-    leaves the same rows, which makes file outputs exactly-once.
+    on_written: Callable[[int], None] | None = None,
+) -> tuple[StreamingQuery, ...]:
+    """Start the evaluating query, after the snapshots that are there have been looked at.
+
+    ``records`` has the columns of a topic (key, value, partition, offset, timestamp); an ``arrival_seq`` is used if there is one.
+    ``load_rulesets`` gives compiled rule sets by version; None compiles the accepted snapshots.  Raises NotReady if no sound
+    rule set was ever published.  With a recurring ``trigger`` a second query goes on accepting snapshots.
+    ``bucket`` replaces the default hash of the customer.  ``on_written`` is told the number of a batch whose tables are
+    written and not yet committed; what it raises stops the query, and the batch is done again.  ``partitions`` and ``state_partitions`` are not needed any more: work follows
+    the keys of a batch, by the shuffle settings of the session.
     """
     spark = records.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    # Commit what changed in a micro-batch, not a whole snapshot of the state.
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    if state_partitions is not None:
-        spark.conf.set("spark.sql.shuffle.partitions", state_partitions)
-    trigger = trigger or {"availableNow": True}
-    events = parse_events(records)
+    first = accept_rulesets(snapshots, out, checkpoint, {"availableNow": True})
+    first.awaitTermination()
+    if first.exception() is not None:
+        raise first.exception()
+    if active_version(spark, out) is None:
+        raise NotReady("NO_VALID_RULESET_LOADED")
+    loader = load_rulesets or stored_rulesets(spark, out)
+    more = [accept_rulesets(snapshots, out, checkpoint, trigger)] if trigger and "availableNow" not in trigger and "once" not in trigger else []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        kept = share(batch)
-        try:
-            met = {r[0] for r in kept.filter("outcome = 'accepted'").select("ruleset_version").distinct().collect()}
-            known = load_rulesets(session, met) if met else {}
-            outputs = batch_outputs(kept, {v: known[v] for v in sorted(met)})
-            write_outputs(outputs, out, batch_id)
-            outputs["assessment"].unpersist()
-        finally:
-            kept.unpersist()
-
-    def write_invalid(batch: DataFrame, batch_id: int) -> None:
-        write_outputs({"invalid": batch}, out, batch_id)
-
-    resolved = resolve_stream(events, snapshots, partitions=partitions, buckets=buckets, bucket=bucket)
-    main = (resolved.writeStream.foreachBatch(write).outputMode("append")
-            .option("checkpointLocation", f"{checkpoint}/evaluate").trigger(**trigger).start())
-    rejected = (invalid_references(events).writeStream.foreachBatch(write_invalid).outputMode("append")
-                .option("checkpointLocation", f"{checkpoint}/invalid").trigger(**trigger).start())
-    # A query keeps the settings it was started with.
-    spark.conf.set("spark.sql.shuffle.partitions", before)
-    return main, rejected
+        process(batch, batch_id, out, loader, buckets=buckets, bucket=bucket, on_written=on_written)
+
+    main = (records.writeStream.foreachBatch(write).outputMode("append")
+            .option("checkpointLocation", f"{checkpoint}/evaluate").trigger(**(trigger or {"availableNow": True})).start())
+    return (main, *more)
 
 
 def read_output(spark: SparkSession, out: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/{name}")
+    """Committed rows of an output table."""
+    return Commits(spark, out).visible(name)
