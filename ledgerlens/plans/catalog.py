@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import ids
 from ledgerlens.operators import assessment, governance, history, identity, metrics, notifications, rulesets
-from ledgerlens.operators.ordering import running_max
+from ledgerlens.operators.ordering import running_max, with_arrival
 from ledgerlens.operators.rule_checks import definition_reason
 from ledgerlens.operators.rules import compile_ruleset
 from ledgerlens.plans import fixtures, oracle, risk
@@ -961,23 +962,145 @@ def _(spark, sf):
 # ---------------------------------------------------------------- online
 
 
+def _bucket() -> Column:
+    return F.regexp_extract("customerId", r"(\d+)$", 1).cast("long") % 12
+
+
+def _finished(queries) -> None:
+    for part in queries:
+        part.awaitTermination()
+        if part.exception() is not None:
+            raise part.exception()
+
+
+def _feed(spark, root: str, pieces, documents, **options) -> str:
+    """Run the online job over ``pieces`` of records, one start each; ``documents[i]`` are published before piece i.  Returns the output folder."""
+    rules_schema = "key string, payload string, arrival_seq long"
+    for i, piece in enumerate(pieces):
+        for snapshot in documents.get(i, []):
+            snapshot.write.mode("append").parquet(f"{root}/rules")
+        piece.write.mode("append").parquet(f"{root}/records")
+        records = spark.readStream.schema(piece.schema).parquet(f"{root}/records")
+        rules = spark.readStream.schema(rules_schema).parquet(f"{root}/rules")
+        _finished(online.start(records, rules, None, f"{root}/out", f"{root}/state", bucket=_bucket(), **options))
+    return f"{root}/out"
+
+
+def _online_root(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/online-{uuid.uuid4()}"
+
+
+def _middle(raw: DataFrame) -> int:
+    return raw.agg(((F.min("arrival_seq") + F.max("arrival_seq")) / 2).cast("long")).first()[0]
+
+
+def _halves(raw: DataFrame) -> list[DataFrame]:
+    middle = _middle(raw)
+    return [raw.filter(F.col("arrival_seq") <= middle), raw.filter(F.col("arrival_seq") > middle)]
+
+
 @query("online_assessments", _assess_sql(60))
 def _(spark, sf):
     """The streaming job over the records of the transaction view, fed in two halves of arrival order."""
-    root = f"{ensure_checkpoint_dir(spark)}/online-{uuid.uuid4()}"
     raw = materialize(fixtures.raw_records(spark, sf, 60))
-    middle = raw.agg(((F.min("arrival_seq") + F.max("arrival_seq")) / 2).cast("long")).first()[0]
+    out = _feed(spark, _online_root(spark), _halves(raw), {0: [fixtures.published_ruleset(spark, fixtures.ruleset_document())]})
+    return _assess_columns(online.read_output(spark, out, "assessment"))
+
+
+@query("online_24h", _assess_sql(1))
+def _(spark, sf):
+    """Thirty days online: identities expire, keys are accepted again, and state of days ago is dropped, over three starts."""
+    raw = materialize(fixtures.raw_records(spark, sf, 1))
+    first, second = _halves(raw)
+    out = _feed(spark, _online_root(spark), [first, *_halves(second)], {0: [fixtures.published_ruleset(spark, fixtures.ruleset_document())]})
+    return _assess_columns(online.read_output(spark, out, "assessment"))
+
+
+@query("online_ruleset_change", oracle.with_(oracle.results(60), """
+SELECT seq AS arrival_seq, assessment_id, CAST(CASE WHEN seq > middle THEN 2 ELSE 1 END AS BIGINT) AS ruleset_version,
+  CASE WHEN seq <= middle THEN status WHEN r_amount THEN 'SUSPICIOUS' ELSE 'NOT_SUSPICIOUS' END AS status,
+  CASE WHEN seq <= middle THEN severity WHEN r_amount THEN 'HIGH' ELSE 'NONE' END AS severity,
+  CAST(CASE WHEN seq > middle THEN 1 ELSE 4 END AS INTEGER) AS rules
+FROM assessed, (SELECT (min(seq) + max(seq)) // 2 AS middle FROM tx)"""))
+def _(spark, sf):
+    """A new rule set is published between two micro-batches, next to an older one and a damaged one that must not count."""
+    raw = materialize(fixtures.raw_records(spark, sf, 60))
+    whole = fixtures.ruleset_document()
+    second = {**whole, "version": 2, "rules": whole["rules"][:1]}
+    damaged = fixtures.published_ruleset(spark, {**whole, "version": 9}, 10).withColumn("payload", F.replace("payload", F.lit("HIGH"), F.lit("LOW")))
+    out = _feed(spark, _online_root(spark), _halves(raw), {
+        0: [fixtures.published_ruleset(spark, whole)],
+        1: [damaged, fixtures.published_ruleset(spark, second, 20), fixtures.published_ruleset(spark, {**whole, "snapshotId": "again"}, 30)]})
+    return _assess_columns(online.read_output(spark, out, "assessment")).select(
+        "arrival_seq", "assessment_id", "ruleset_version", "status", "severity", "rules")
+
+
+class _Stopped(RuntimeError):
+    """Thrown into the online job by the query below."""
+
+
+@query("online_references", oracle.with_(oracle.identity(60), f"""
+SELECT 'quarantine' AS kind, tx.txn AS key, CAST(tx.part AS INTEGER) AS source_partition, tx.seq AS source_offset, {_fingerprint_sql('tx.amt').replace('eid', 'tx.eid').replace('|| txn', '|| tx.txn').replace('|| cus', '|| tx.cus')} AS payload_hash,
+  'sha256:' || sha256(first_eid) AS conflicting_hash, 'TRANSACTION_IDENTITY_CONFLICT' AS reason, tx.seq * 1000 AS detected_us
+FROM tx JOIN f1 USING (seq) WHERE conflict
+UNION ALL
+SELECT 'quarantine', txn, CAST(part AS INTEGER), seq, {_fingerprint_sql('amt')}, {_fingerprint_sql('first_amt')}, outcome, seq * 1000
+FROM tx JOIN (SELECT seq, first_amt, outcome FROM f2) USING (seq) WHERE outcome = 'EVENT_IDENTITY_CONFLICT'
+UNION ALL
+SELECT 'invalid', 'bad-' || event_id, CAST(event_id % 12 AS INTEGER), event_id * 10 + 4, sha256('{{'), NULL, 'INVALID_TRANSACTION_EVENT', (event_id * 10 + 4) * 1000
+FROM events WHERE event_id % 40 = 7"""))
+def _(spark, sf):
+    """Quarantine and invalid references after the job was stopped between the writes and the commit of its second batch."""
+    damaged = fixtures.table(spark, sf, "events").filter("event_id % 40 = 7").select(
+        F.concat(F.lit("bad-"), "event_id").alias("key"), F.lit("{").alias("value"), (F.col("event_id") % 12).cast("int").alias("partition"),
+        (F.col("event_id") * 10 + 4).alias("offset"), F.timestamp_micros((F.col("event_id") * 10 + 4) * 1000).alias("timestamp"),
+        (F.col("event_id") * 10 + 4).alias("arrival_seq"))
+    raw = materialize(fixtures.raw_records(spark, sf, 60).unionByName(damaged))
+    first, second = _halves(raw)
+    root, rules = _online_root(spark), {0: [fixtures.published_ruleset(spark, fixtures.ruleset_document())]}
+    out = _feed(spark, root, [first], rules)
+
+    def stop(batch: int) -> None:
+        raise _Stopped(f"between writes and commit of batch {batch}")
+
+    try:
+        _feed(spark, root, [second], {}, on_written=stop)
+    except StreamingQueryException as stopped:
+        if "between writes and commit" not in str(stopped):
+            raise
+    nothing_more = second.limit(0)
+    _feed(spark, root, [nothing_more], {})
+    quarantined, invalid = (online.read_output(spark, out, n) for n in ("quarantine", "invalid"))
+    return quarantined.select(
+        F.lit("quarantine").alias("kind"), "key", F.col("sourcePartition").alias("source_partition"), F.col("sourceOffset").alias("source_offset"),
+        F.col("payloadHash").alias("payload_hash"), F.col("conflictingIdentityHash").alias("conflicting_hash"), F.col("reasonCode").alias("reason"), "detected_us",
+    ).unionByName(invalid.select(
+        F.lit("invalid").alias("kind"), "key", F.col("sourcePartition").alias("source_partition"), F.col("sourceOffset").alias("source_offset"),
+        F.col("payloadHash").alias("payload_hash"), F.lit(None).cast("string").alias("conflicting_hash"), F.col("reasonCode").alias("reason"), "detected_us"))
+
+
+# Offsets are the order inside a partition; across partitions stamps with many ties decide.
+_TOPIC_STEP = 500
+
+
+@query("online_topic_order", oracle.with_(oracle.identity(60).replace("tx AS (", "tx0 AS (", 1).replace("\nt1 AS (", f"""
+tx AS (SELECT * REPLACE (row_number() OVER (ORDER BY seq // {_TOPIC_STEP}, part, seq) AS seq), seq AS pos FROM tx0),
+t1 AS (""", 1), """
+SELECT job, CAST(part AS INTEGER) AS source_partition, pos AS source_offset, outcome FROM outc JOIN tx USING (seq), (VALUES ('batch'), ('online')) j(job)"""))
+def _(spark, sf):
+    """Records as a topic gives them (no arrival number), through the batch job and the online job."""
+    raw = materialize(fixtures.raw_records(spark, sf, 60).withColumn(
+        "timestamp", F.timestamp_micros(F.floor(F.col("arrival_seq") / _TOPIC_STEP).cast("long") * _TOPIC_STEP * 1000)))
+    cut = _middle(raw) // _TOPIC_STEP * _TOPIC_STEP
+    halves = [raw.filter(F.col("arrival_seq") < cut).drop("arrival_seq"), raw.filter(F.col("arrival_seq") >= cut).drop("arrival_seq")]
     document = fixtures.ruleset_document()
-    fixtures.published_ruleset(spark, document).write.parquet(f"{root}/rules")
-    rules = spark.readStream.schema("key string, payload string, arrival_seq long").parquet(f"{root}/rules")
-    for half in (raw.filter(F.col("arrival_seq") <= middle), raw.filter(F.col("arrival_seq") > middle)):
-        half.write.mode("append").parquet(f"{root}/records")
-        started = online.start(tables.stream_records(spark, f"{root}/records"), rules, lambda *_: {1: compile_ruleset(document)},
-                               f"{root}/out", f"{root}/state", partitions=12, buckets=12,
-                               state_partitions=min(12, spark.sparkContext.defaultParallelism),
-                               bucket=F.regexp_extract("customerId", r"(\d+)$", 1).cast("long") % 12)
-        for part in started:
-            part.awaitTermination()
-            if part.exception() is not None:
-                raise part.exception()
-    return _assess_columns(online.read_output(spark, f"{root}/out", "assessment"))
+    out = _feed(spark, _online_root(spark), halves, {0: [fixtures.published_ruleset(spark, document)]})
+    topic = raw.drop("arrival_seq")
+    numbered, _came = with_arrival(topic, start=0)
+    places = materialize(numbered)
+    parsed = materialize(ingest.parse_events(places).withColumns({"ruleset_version": F.lit(1).cast("long"), "bucket": _bucket(), "active": F.lit(True)}))
+    batch = risk.resolve_identity(parsed).select("arrival_seq", "outcome")
+    jobs = {"batch": batch, "online": online.read_output(spark, out, "disposition").select("arrival_seq", "outcome")}
+    parts = [df.join(places.select("arrival_seq", "partition", "offset"), "arrival_seq").select(
+        F.lit(name).alias("job"), F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"), "outcome") for name, df in jobs.items()]
+    return parts[0].unionByName(parts[1])
