@@ -173,11 +173,10 @@ def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
 def below(diagonal: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Number of eigenvalues below each of ``at``: the negative pivots of a factorisation."""
     tiny = np.finfo(REAL).tiny ** REAL(0.5)
-    pivot, count = diagonal[0] - at, np.zeros(len(at), dtype=np.int64)
-    count += pivot < 0
-    for i in range(1, len(diagonal)):
-        pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
-        pivot = diagonal[i] - at - off[i - 1] * off[i - 1] / pivot
+    pivot, count = np.ones(len(at), REAL), np.zeros(len(at), dtype=np.int64)
+    for i, here in enumerate(diagonal):
+        pivot = here - at - (off[i - 1] * off[i - 1] / pivot if i else 0)
+        pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)  # a vanishing pivot counts, and as the number that is carried on
         count += pivot < 0
     return count
 
@@ -281,7 +280,7 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening:
     v = covariance(products, left, n)
     diagonal, off, reflections = tridiagonal(v)
     values = leading_eigenvalues(diagonal, off, min(components, len(v)))
-    values = values[(values > LEAST * values[0]) & (values > 0)]
+    values = values[(values > LEAST * values[0]) & (np.trace(v) > 0)]
     vectors = leading_vectors(diagonal, off, values, reflections)
     return Whitening(n, totals, vectors.astype(np.float64), values.astype(np.float64), (values / np.trace(v)).astype(np.float64))
 
