@@ -85,11 +85,7 @@ def with_history(
 
     slice_of = F.floor(F.col("occurred_ms") / F.lit(slice_ms)).cast("long")
     # Most units are small; only their counts tell, and they are combined map-side.
-    dense = materialize(
-        accepted.groupBy("customerId", slice_of.alias("__slice")).count()
-        .filter(F.col("count") > unit_limit).select("customerId", "__slice")
-    )
-    # The neighbours share facts with a dense unit, so a unit is dense with its successor.
+    dense = accepted.groupBy("customerId", slice_of.alias("__slice")).count().filter(F.col("count") > unit_limit).select("customerId", "__slice")
     has_dense = not dense.isEmpty()
     rows = flagged.withColumn("__slice", slice_of).withColumns(
         {f"__lo_{w}": lower_bound_us(w) for w in windows}
@@ -97,6 +93,8 @@ def with_history(
     if not has_dense:
         return _sparse_counts(rows, windows, slice_ms)
 
+    # The neighbours share facts with a dense unit, so a unit is dense with its successor.
+    dense = materialize(dense)
     marked = dense.unionByName(dense.withColumn("__slice", F.col("__slice") + 1)).distinct().withColumn(
         "__dense", F.lit(True)
     )

@@ -135,15 +135,18 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -
     return df.groupBy(*key).agg(best.alias("__row")).select(*key, "__row.*")
 
 
-def with_arrival(records: DataFrame, stamps: DataFrame | None = None, start: int = 0, *, width: int = CHUNK_WIDTH) -> tuple[DataFrame, DataFrame]:
+def with_arrival(records: DataFrame, stamps: DataFrame | None = None, start: int = 0, *, stamp: Column | None = None,
+                 width: int = CHUNK_WIDTH) -> tuple[DataFrame, DataFrame]:
     """``records`` with ``arrival_seq``, and how far the stamps of every source partition have come (slot, time).
 
+    ``stamp`` gives microseconds, by default those of the column ``timestamp``.
+
     Inside a source partition the offset is the order; across partitions records are merged by their timestamp, then
     partition and offset.  A timestamp that goes back counts as the largest one before it (``stamps`` says where earlier
     batches left them), so the merge never contradicts the offsets.  The numbers follow each other from ``start``:
     one range shuffle of three narrow columns, then each range continues where the ranges before it end.
     """
-    narrow = records.select("partition", "offset", F.unix_micros("timestamp").alias("__stamp"))
+    narrow = records.select("partition", "offset", (F.unix_micros("timestamp") if stamp is None else stamp).alias("__stamp"))
     timed = running_max(narrow, ["partition"], "offset", "__stamp", "__time", width=width)
     if stamps is not None:
         timed = timed.join(stamps.select(F.col("slot").alias("partition"), F.col("time").alias("__before")), "partition", "left").withColumn(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import history, identity
 from ledgerlens.operators.ordering import CHUNK_WIDTH, running_max
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, materialize_all
 from ledgerlens.streaming.state import BUCKET, PARTITION
 
 
@@ -48,14 +48,20 @@ def advance(events: DataFrame, clocks: DataFrame, entries: Callable[[str], DataF
     ``entries`` gives the state tables that earlier batches left, ``clocks`` their stream times.
     """
     valid = events.where("valid")
+    transaction, event = ["partition", "transactionId"], ["customerId", "eventId"]
+    known_transactions, known_events = met(entries("transactions"), valid, transaction), met(entries("events"), valid, event)
     # Every well-formed record moves its partition's clock, also one with a wrong key.
-    timed = materialize(clocked(
+    timed = clocked(
         events.where("schema_valid").select("partition", "arrival_seq", "occurred_ms", "transactionId", "eventId", "valid"),
-        clocks, PARTITION, "partition", "at", width).where("valid").drop("valid", "occurred_ms"))
-    key = ["partition", "transactionId"]
-    known = met(entries("transactions"), timed, key)
+        clocks, PARTITION, "partition", "at", width).where("valid").drop("valid", "occurred_ms")
+    # Keys are counted over all valid rows, those included that turn out to be conflicts: that costs a look, and no answer.
+    repeated = [identity.repeated_keys(valid.select(*key).unionByName(known.select(*key)), key)
+                for key, known in ((transaction, known_transactions), (event, known_events))]
+    timed, *keys = materialize_all(timed, *[r.keys for r in repeated])
+    repeated = [r.written(k) for r, k in zip(repeated, keys)]
     decided = materialize(identity.repeat_decisions(
-        timed.unionByName(known), key, "at", lambda df: df.withColumn("val", F.col("eventId")), fold_limit=fold_limit))
+        timed.unionByName(known_transactions), transaction, "at", lambda df: df.withColumn("val", F.col("eventId")),
+        fold_limit=fold_limit, repeated=repeated[0]))
     transactions = timed.join(decided.select("arrival_seq"), "arrival_seq", "left_anti")
     conflicts = decided.where(~F.col("same")).select(
         "arrival_seq", F.lit(identity.TRANSACTION_CONFLICT).alias("outcome"), F.col("anchor_value").alias("first_seen"))
@@ -64,11 +70,10 @@ def advance(events: DataFrame, clocks: DataFrame, entries: Callable[[str], DataF
         valid.select("bucket", "arrival_seq", "occurred_ms", "customerId", "eventId", "fingerprint")
         .join(conflicts.select("arrival_seq"), "arrival_seq", "left_anti"),
         clocks, BUCKET, "bucket", "at", width))
-    key = ["customerId", "eventId"]
     shape = survivors.drop("occurred_ms")
-    known = met(entries("events"), survivors, key)
     repeats = materialize(identity.event_repeats(
-        shape.unionByName(known), lambda df: df.withColumn("val", F.col("fingerprint")), time="at", fold_limit=fold_limit))
+        shape.unionByName(known_events), lambda df: df.withColumn("val", F.col("fingerprint")),
+        time="at", fold_limit=fold_limit, repeated=repeated[1]))
     new_events = shape.join(repeats.select("arrival_seq"), "arrival_seq", "left_anti")
 
     resolved = materialize(

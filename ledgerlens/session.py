@@ -7,6 +7,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -75,10 +76,20 @@ def materialize(df: DataFrame) -> DataFrame:
     re-read and not a re-run of everything upstream, a reader takes only the columns it asks
     for, and the plan above knows the size.  Inside ``staging`` the table goes when that ends.
     """
-    spark = df.sparkSession
-    path = f"{getattr(_STAGING, 'folder', None) or ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    return _written(df, getattr(_STAGING, "folder", None) or ensure_checkpoint_dir(df.sparkSession))
+
+
+def materialize_all(*dfs: DataFrame) -> list[DataFrame]:
+    """The same for tables that do not depend on each other: their jobs run side by side."""
+    folder = getattr(_STAGING, "folder", None) or ensure_checkpoint_dir(dfs[0].sparkSession)
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(lambda df: _written(df, folder), dfs))
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

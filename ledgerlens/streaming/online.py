@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,6 +29,7 @@ from ledgerlens.streaming.commits import Commits
 from ledgerlens.streaming.state import ARRIVAL, State
 
 RULESETS = "_rulesets"
+WRITERS = 5
 SNAPSHOT_COLUMNS = ("version", "payload", "arrival_seq")
 Loader = Callable[[SparkSession, set[int]], Mapping[int, RuleSet]]
 
@@ -108,21 +109,34 @@ def stored_rulesets(spark: SparkSession, out: str) -> Loader:
 # ---------------------------------------------------------------- events
 
 
-def batch_outputs(resolved: DataFrame, assessed: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
-    """The output tables of one micro-batch besides its assessments, with the expressions of the batch job."""
-    alerted = assessment.alerts(assessed)
+def event_outputs(resolved: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """What is said about the records of a micro-batch themselves, with the expressions of the batch job."""
     return {
         "disposition": resolved.select("arrival_seq", "outcome"),
-        "alert": alerted,
-        "notification_request": assessment.notification_requests(alerted),
         "quarantine": identity.quarantine_references(resolved, TRANSACTION_TOPIC),
         "invalid": invalid_references(events),
     }
 
 
-def process(batch: DataFrame, batch_id: int, out: str, load_rulesets: Loader, *, buckets: int = DEFAULT_BUCKETS, bucket: Column | None = None,
-            on_written: Callable[[int], None] | None = None) -> None:
-    """Evaluate one micro-batch and commit it; does nothing if it is committed already."""
+def alert_outputs(assessed: DataFrame) -> dict[str, DataFrame]:
+    alerted = assessment.alerts(assessed)
+    return {"alert": alerted, "notification_request": assessment.notification_requests(alerted)}
+
+
+def prepared(records: DataFrame, buckets: int = DEFAULT_BUCKETS, bucket: Column | None = None) -> DataFrame:
+    """Parsed records with bucket and fingerprint; ``arrival_seq`` is NULL where the source gives none."""
+    if "arrival_seq" not in records.columns:
+        records = records.withColumn("arrival_seq", F.lit(None).cast("long"))
+    parsed = parse_events(records).drop("violations")
+    parsed = with_bucket(parsed, buckets) if bucket is None else parsed.withColumn("bucket", bucket.cast("long"))
+    return parsed.withColumn("fingerprint", F.when(F.col("valid"), event_fingerprint(F.col("occurred_us"))))
+
+
+def process(batch: DataFrame, batch_id: int, out: str, load_rulesets: Loader, *, numbered: bool = True, on_written: Callable[[int], None] | None = None) -> None:
+    """Evaluate one micro-batch of prepared records and commit it; does nothing if it is committed already.
+
+    ``numbered`` says whether they have an arrival number; else they get one from their offsets.
+    """
     spark = batch.sparkSession
     spark.conf.set("spark.sql.adaptive.enabled", "true")  # a micro-batch is planned like any table
     commits = Commits(spark, out)
@@ -134,24 +148,27 @@ def process(batch: DataFrame, batch_id: int, out: str, load_rulesets: Loader, *,
         raise NotReady("NO_VALID_RULESET_LOADED")
     rules = load_rulesets(spark, {version})
     with staging(spark):
-        came, following = None, (commit or {}).get("next_seq", 0)
-        if "arrival_seq" not in batch.columns:
-            batch = materialize(batch)
-            batch, came = with_arrival(batch, state.clocks().where(F.col("stage") == ARRIVAL), following)
-        parsed = parse_events(batch).withColumn("ruleset_version", F.lit(version).cast("long"))
-        parsed = with_bucket(parsed, buckets) if bucket is None else parsed.withColumn("bucket", bucket.cast("long"))
-        events = materialize(parsed.withColumn("fingerprint", F.when(F.col("valid"), event_fingerprint(F.col("occurred_us")))).drop("violations"))
+        seen, came, following = Observation(), None, (commit or {}).get("next_seq", 0)
+        events = batch.withColumn("ruleset_version", F.lit(version).cast("long"))
+        if not numbered:
+            events, came = with_arrival(materialize(events.drop("arrival_seq")), state.clocks().where(F.col("stage") == ARRIVAL), following,
+                                        stamp=F.col("received_us"))
+        events = materialize(events.observe(seen, F.max("arrival_seq").alias("last")))
         step = advance(events, state.clocks(), state.entries, rules[version].windows())
-
-        write_outputs({"assessment": assessment.assessments(assessment.evaluate(step.evaluable, {version: rules[version]}))}, out, batch_id)
-        assessed = spark.read.parquet(f"{out}/assessment/batch_id={batch_id}")
         clocks = step.clocks if came is None else step.clocks.unionByName(came.withColumn("stage", F.lit(ARRIVAL)))
-        with ThreadPoolExecutor(2) as pool:  # independent small jobs
-            wrote = pool.submit(write_outputs, batch_outputs(step.resolved, assessed, events), out, batch_id)
+
+        with ThreadPoolExecutor(WRITERS) as pool:  # tables that do not depend on each other
+            def later(outputs: dict[str, DataFrame]) -> list:
+                return [pool.submit(write_outputs, {name: df}, out, batch_id) for name, df in outputs.items()]
+
+            writing = later(event_outputs(step.resolved, events))
             kept = pool.submit(state.advanced, batch_id, step.entries, clocks)
-            wrote.result()
+            write_outputs({"assessment": assessment.assessments(assessment.evaluate(step.evaluable, {version: rules[version]}))}, out, batch_id)
+            writing += later(alert_outputs(spark.read.parquet(f"{out}/assessment/batch_id={batch_id}")))
+            for w in writing:
+                w.result()
             kept = kept.result()
-        following = events.agg(F.max("arrival_seq") + 1).first()[0] or following
+        following = following if seen.get["last"] is None else seen.get["last"] + 1
     if on_written:
         on_written(batch_id)
     commits.put(batch_id, {"ruleset_version": version, "next_seq": following, "state": kept})
@@ -188,13 +205,16 @@ def start(
         raise first.exception()
     if active_version(spark, out) is None:
         raise NotReady("NO_VALID_RULESET_LOADED")
+    commits = Commits(spark, out)
+    State(spark, out, commits.get(commits.last())).sweep()
     loader = load_rulesets or stored_rulesets(spark, out)
     more = [accept_rulesets(snapshots, out, checkpoint, trigger)] if trigger and "availableNow" not in trigger and "once" not in trigger else []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        process(batch, batch_id, out, loader, buckets=buckets, bucket=bucket, on_written=on_written)
+        process(batch, batch_id, out, loader, numbered=numbered, on_written=on_written)
 
-    main = (records.writeStream.foreachBatch(write).outputMode("append")
+    numbered = "arrival_seq" in records.columns
+    main = (prepared(records, buckets, bucket).writeStream.foreachBatch(write).outputMode("append")
             .option("checkpointLocation", f"{checkpoint}/evaluate").trigger(**(trigger or {"availableNow": True})).start())
     return (main, *more)
 

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.history import RETENTION_MS
 from ledgerlens.operators.identity import HORIZON_MS
-from ledgerlens.session import remove
+from ledgerlens.session import names_in, remove
 
 FAN = 8
 CLOCKS = "stage int, slot long, time long"
@@ -78,18 +79,20 @@ class State:
         """Write a batch's entries and clocks; returns the facts for its commit."""
         place = self._place(batch, "clocks")
         latest = self.clocks().unionByName(clocks).groupBy("stage", "slot").agg(F.max("time").alias("time"))
-        latest.coalesce(1).write.parquet(f"{self.root}/{place}")
+        seen, stages = Observation(), (PARTITION, BUCKET)
+        spans = [f(F.when(F.col("stage") == s, F.col("time"))).alias(f"{n}{s}") for s in stages for n, f in (("a", F.min), ("b", F.max))]
+        latest.coalesce(1).observe(seen, *spans).write.parquet(f"{self.root}/{place}")
         clock_table = self._read([place], CLOCKS)
-        span = {r["stage"]: (r["a"], r["b"]) for r in clock_table.groupBy("stage").agg(F.min("time").alias("a"), F.max("time").alias("b")).collect()}
+        first, last = ({s: seen.get[f"{n}{s}"] or 0 for s in stages} for n in "ab")
 
-        runs = [r for r in self.runs if r["newest"] + TABLES[r["table"]].keep > span.get(TABLES[r["table"]].stage, (0, 0))[0]]
-        for name, rows in new.items():
-            path, table = self._place(batch, name), TABLES[name]
-            columns = [c.split()[0] for c in table.schema.split(", ")]
-            rows.select(columns).write.parquet(f"{self.root}/{path}")
-            runs.append({"table": name, "level": 0, "path": path, "newest": span.get(table.stage, (0, 0))[1]})
-            runs = self._merged(batch, name, runs, clock_table)
-        return {"runs": runs, "clocks": place}
+        def wrote(name: str) -> list[dict]:
+            table, path = TABLES[name], self._place(batch, name)
+            new[name].select([c.split()[0] for c in table.schema.split(", ")]).write.parquet(f"{self.root}/{path}")
+            old = [r for r in self.runs if r["table"] == name and r["newest"] + table.keep > first[table.stage]]
+            return self._merged(batch, name, [*old, {"table": name, "level": 0, "path": path, "newest": last[table.stage]}], clock_table)
+
+        with ThreadPoolExecutor(len(new)) as pool:  # independent tables
+            return {"runs": [r for runs in pool.map(wrote, new) for r in runs], "clocks": place}
 
     def _merged(self, batch: int, name: str, runs: list[dict], clocks: DataFrame) -> list[dict]:
         level = 0
@@ -99,12 +102,23 @@ class State:
                 return runs
             path = self._place(batch, name)
             alive(self._read([r["path"] for r in full], TABLES[name].schema), TABLES[name], clocks).write.parquet(f"{self.root}/{path}")
+            for r in full:
+                if r not in self.runs:  # of this batch, so no commit names it
+                    remove(self.spark, f"{self.root}/{r['path']}")
             runs = [r for r in runs if r not in full] + [{"table": name, "level": level + 1, "path": path, "newest": max(r["newest"] for r in full)}]
             level += 1
 
     def forget(self, kept: dict) -> None:
         """Remove what the commit that followed no longer names."""
-        names = {r["path"] for r in kept["runs"]} | {kept["clocks"]}
+        named = {r["path"] for r in kept["runs"]} | {kept["clocks"]}
         for path in [r["path"] for r in self.runs] + ([self.clocks_path] if self.clocks_path else []):
-            if path not in names:
+            if path not in named:
                 remove(self.spark, f"{self.root}/{path}")
+
+    def sweep(self) -> None:
+        """Remove what interrupted batches left; only while no batch runs."""
+        named = {r["path"] for r in self.runs} | {self.clocks_path}
+        for name in (*TABLES, "clocks"):
+            for file in names_in(self.spark, f"{self.root}/_state/{name}"):
+                if f"_state/{name}/{file}" not in named:
+                    remove(self.spark, f"{self.root}/_state/{name}/{file}")
