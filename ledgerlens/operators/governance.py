@@ -23,6 +23,8 @@ from ledgerlens.session import materialize
 # Governance limits, actions and reason codes.
 MAX_RULES = 100
 MAX_SNAPSHOT_BYTES = 1_048_576
+# Decision numbers of one block of a head's log.
+BLOCK = 1 << 17
 CHANGE_TYPES = ("UPSERT", "RETIRE")
 DEFAULT_SEVERITY = "HIGH"
 UNKNOWN_VERSION = "RULE_VERSION_UNKNOWN"
@@ -84,7 +86,7 @@ def item_json(order: Column) -> Column:
 
 
 def decide(versions: DataFrame, decisions: DataFrame, *, max_rules: int = MAX_RULES,
-           max_bytes: int = MAX_SNAPSHOT_BYTES) -> DataFrame:
+           max_bytes: int = MAX_SNAPSHOT_BYTES, block: int = BLOCK) -> DataFrame:
     """Outcome of every decision, and the active set after each approval.
 
     Adds author, rule_id, change_type, head_key, outcome (SUCCESS, DENIED, REFUSED),
@@ -93,8 +95,8 @@ def decide(versions: DataFrame, decisions: DataFrame, *, max_rules: int = MAX_RU
 
     Decisions on one's own proposal never change anything, so they are set aside
     first.  What is left of a head is folded in order, because each approval decides
-    what the next one starts from; the fold streams over sorted Arrow batches and
-    holds at most ``max_rules`` rules, plus the outcome of versions that come up again.
+    what the next one starts from; a long log is cut into blocks of ``block`` numbers that
+    are folded side by side (see ``_fold_blocks``).
     """
     known = versions.filter(F.col("version_number").isNotNull()).select(
         "head_key", "rule_version_id", "rule_id", "change_type", "author",
@@ -109,8 +111,8 @@ def decide(versions: DataFrame, decisions: DataFrame, *, max_rules: int = MAX_RU
     log = met.filter(~unknown & word).withColumn("__own", F.col("author").eqNullSafe(F.col("approver")))
     open_ = log.filter(~F.col("__own"))
     tries = open_.groupBy("rule_version_id").agg((F.count("*") > 1).alias("__again"))
-    folded = materialize(_fold_heads(
-        open_.join(tries, "rule_version_id"), max_rules, max_bytes))
+    folded = materialize(_fold_blocks(
+        open_.join(tries, "rule_version_id"), max_rules, max_bytes, block))
     settled = folded.filter(F.col("outcome") == "SUCCESS").groupBy("rule_version_id").agg(
         F.min("decision_seq").alias("__settled"))
     own = log.filter("__own").join(settled, "rule_version_id", "left").withColumn(
@@ -128,58 +130,183 @@ _FOLD_COLUMNS = ("head_key", "decision_seq", "rule_version_id", "rule_id", "chan
                  "author", "approver")
 
 
-def _fold_heads(log: DataFrame, max_rules: int, max_bytes: int) -> DataFrame:
-    ordered = (
-        log.select(*_FOLD_COLUMNS, "__bytes", "__again")
-        .repartition("head_key")
-        .sortWithinPartitions("head_key", "decision_seq")
-    )
+# What a block starts from, and what it did to the active set, in order of the last effective action on each rule.
+_ITEM = "struct<rule:string,vid:string,size:int>"
+_START = f"head_key string, block long, items array<{_ITEM}>, version long, settled array<string>"
+_DONE = f"head_key string, block long, actions array<{_ITEM}>, approved long, settled array<string>"
+
+
+def _fold_blocks(log: DataFrame, max_rules: int, max_bytes: int, width: int) -> DataFrame:
+    """Outcomes of a log, every block of a head in a task of its own.
+
+    A block's effect on the active set is small and composes: untouched rules keep their places, touched ones leave, and those last
+    upserted follow at the end.  Only which approvals are denied depends on the set a block starts from.  So blocks are folded from
+    a guess, their effects are composed along the head, and blocks that turn out to start from something else are folded again,
+    until none does; the first wrong block is right after every round, and denials are rare, so a few rounds do.
+    The composition walks one narrow row per block, not decisions.
+    """
+    log = materialize(log.select(*_FOLD_COLUMNS, "__bytes", "__again", F.floor(F.col("decision_seq") / F.lit(width)).cast("long").alias("block")))
+    spark, blocks = log.sparkSession, log.select("head_key", "block").distinct()
+    low, high = log.agg(F.min("block"), F.max("block")).first()
+    if low == high:  # no head has a second block
+        return _outcomes(log, spark.createDataFrame([], _START), max_rules, max_bytes)
+    again = materialize(log.filter("__again").select("head_key", "block", "rule_version_id"))
+    starts = blocks.select("head_key", "block", F.array().cast(f"array<{_ITEM}>").alias("items"), F.lit(0).cast("long").alias("version"),
+                           F.array().cast("array<string>").alias("settled"))
+    effects, used, todo = None, None, log
+    while True:
+        fresh = materialize(_effects(todo, starts, max_rules, max_bytes))
+        effects = fresh if effects is None else materialize(
+            effects.join(fresh.select("head_key", "block"), ["head_key", "block"], "left_anti").unionByName(fresh))
+        before = used if used is not None else _marks(starts, width)
+        earlier = effects.select("head_key", F.col("block").alias("__of"), F.explode("settled").alias("rule_version_id"))
+        settled = again.join(earlier, ["head_key", "rule_version_id"]).filter("__of < block").groupBy("head_key", "block").agg(
+            F.sort_array(F.collect_set("rule_version_id")).alias("settled"))  # some of the block's own versions
+        starts = materialize(_composed(effects).join(settled, ["head_key", "block"], "left").withColumn(
+            "settled", F.coalesce("settled", F.array().cast("array<string>"))))
+        used = _marks(starts, width)
+        changed = materialize(used.join(before, ["head_key", "block", "mark"], "left_anti").select("head_key", "block"))
+        if changed.isEmpty():
+            return _outcomes(log, starts, max_rules, max_bytes)
+        todo = log.join(changed, ["head_key", "block"], "left_semi")
+        starts = starts.join(changed, ["head_key", "block"], "left_semi")
+
+
+def _marks(starts: DataFrame, width: int) -> DataFrame:
+    """A start as one number.  The version only counts in digits, unless a block may gain one."""
+    now, then = F.length(F.col("version").cast("string")), F.length((F.col("version") + width).cast("string"))
+    return starts.select("head_key", "block", F.xxhash64("items", "settled", F.when(now == then, -now).otherwise(F.col("version"))).alias("mark"))
+
+
+def _composed(effects: DataFrame) -> DataFrame:
+    """What each block starts from, given the effects of those before it: one pass over block rows in order."""
+    ordered = effects.drop("settled").repartition("head_key").sortWithinPartitions("head_key", "block")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, active, version = None, {}, 0
+        for batch in batches:
+            rows = []
+            for key, block, actions, approved in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != head:
+                    head, active, version = key, {}, 0
+                rows.append((key, block, list(active.values()), version))
+                for action in actions:
+                    active.pop(action["rule"], None)
+                    if action["vid"] is not None:
+                        active[action["rule"]] = action
+                version += approved
+            kinds = [pa.string(), pa.int64(), batch.schema.field("actions").type, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)],
+                                             names=["head_key", "block", "items", "version"])
+
+    return ordered.mapInArrow(walk, _START.removesuffix(", settled array<string>"))
+
+
+class _Set:
+    """The active set while a block is folded."""
+
+    def __init__(self, max_rules: int, max_bytes: int) -> None:
+        self.max_rules, self.max_bytes = max_rules, max_bytes
+        self.active: dict[str, tuple[str, int]] = {}
+        self.version = self.approved = 0
+        self.settled: set[str] = set()
+        self.touched: dict[str, tuple[str | None, int]] = {}
+        self.again: list[str] = []
+
+    def answer(self, vid: str, rule: str, change: str, decision: str, size: int, again: bool) -> tuple:
+        if vid in self.settled:
+            return "DENIED", ALREADY_DECIDED, None, None
+        if decision == "APPROVE":
+            # The changed rule leaves its place and, unless retired, joins at the end.
+            after = {r: v for r, v in self.active.items() if r != rule}
+            if change == "UPSERT":
+                after[rule] = (vid, size)
+            if not after:
+                return "DENIED", EMPTY_SET, None, None
+            if len(after) > self.max_rules:
+                return "REFUSED", TOO_MANY_RULES, None, None
+            total = _ENVELOPE_BYTES + len(vid.encode()) + len(str(self.version + 1)) + len(after) - 1
+            total += sum(s + len(str(i)) for i, (_, s) in enumerate(after.values()))
+            if total > self.max_bytes:
+                return "REFUSED", TOO_MANY_BYTES, None, None
+            self.active, self.version, self.approved = after, self.version + 1, self.approved + 1
+            self.touched.pop(rule, None)
+            self.touched[rule] = after.get(rule, (None, 0))
+        if again:
+            self.settled.add(vid)
+            self.again.append(vid)
+        return ("SUCCESS", None, self.version, [v for v, _ in self.active.values()]) if decision == "APPROVE" else ("SUCCESS", None, None, None)
+
+
+_ROW = ("head_key", "block", "rule_version_id", "rule_id", "change_type", "decision", "__bytes", "__again")
+
+
+def _with_starts(log: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows of a block behind one row that says what it starts from."""
+    rows = log.withColumn("__start", F.lit(False)).unionByName(starts.withColumn("__start", F.lit(True)), allowMissingColumns=True)
+    return rows.repartition("head_key", "block").sortWithinPartitions("head_key", "block", F.desc("__start"), "decision_seq")
+
+
+def _folds(batch: pa.RecordBatch, state: dict, max_rules: int, max_bytes: int) -> Iterator[tuple[int, tuple | None, _Set | None]]:
+    """(row, its answer, the block that ended before it); ``state`` carries the open block over batches."""
+    columns = [batch.column(c).to_pylist() for c in (*_ROW, "__start")]
+    begun = {c: batch.column(c) for c in ("items", "version", "settled")}
+    for i, (head, block, *row, start) in enumerate(zip(*columns)):
+        ended = None
+        if state.get("key") != (head, block):
+            ended = state.get("set")
+            state["key"], state["set"], state["last"] = (head, block), _Set(max_rules, max_bytes), state.get("key")
+        at = state["set"]
+        if start:
+            at.active = {x["rule"]: (x["vid"], x["size"]) for x in begun["items"][i].as_py()}
+            at.version, at.settled = begun["version"][i].as_py(), set(begun["settled"][i].as_py())
+            yield i, None, ended
+        else:
+            yield i, at.answer(*row), ended
+
+
+def _effects(log: DataFrame, starts: DataFrame, max_rules: int, max_bytes: int) -> DataFrame:
+    """What each block does to the active set it is given."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        item = pa.struct([("rule", pa.string()), ("vid", pa.string()), ("size", pa.int32())])
+
+        def told(key: tuple, done: _Set) -> pa.RecordBatch:
+            actions = [{"rule": r, "vid": v, "size": s} for r, (v, s) in done.touched.items()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([actions], pa.list_(item)),
+                 pa.array([done.approved], pa.int64()), pa.array([done.again], pa.list_(pa.string()))],
+                names=["head_key", "block", "actions", "approved", "settled"])
+
+        for batch in batches:
+            for _, _, ended in _folds(batch, state, max_rules, max_bytes):
+                if ended is not None:
+                    yield told(state["last"], ended)
+        if state:
+            yield told(state["key"], state["set"])
+
+    return _with_starts(log, starts).mapInArrow(run, _DONE)
+
+
+def _outcomes(log: DataFrame, starts: DataFrame, max_rules: int, max_bytes: int) -> DataFrame:
+    """The answer to every decision, each block from its start."""
+    ordered = _with_starts(log, starts)
     kept = [f for f in ordered.schema.fields if f.name in _FOLD_COLUMNS]
     schema = T.StructType(kept + [
         T.StructField("outcome", T.StringType()), T.StructField("reason", T.StringType()),
         T.StructField("ruleset_version", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
     ])
+    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, active, version, done = None, {}, 0, set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
         for batch in batches:
-            out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in
-                       ("head_key", "rule_version_id", "rule_id", "change_type", "decision", "__bytes", "__again")]
-            for key, vid, rule, change, decision, size, again in zip(*columns):
-                if key != head:
-                    head, active, version, done = key, {}, 0, set()
-                if vid in done:
-                    out.append(("DENIED", ALREADY_DECIDED, None, None))
-                    continue
-                if decision == "APPROVE":
-                    # The changed rule leaves its place and, unless retired, joins at the end.
-                    after = {r: v for r, v in active.items() if r != rule}
-                    if change == "UPSERT":
-                        after[rule] = (vid, size)
-                    if not after:
-                        out.append(("DENIED", EMPTY_SET, None, None))
-                        continue
-                    if len(after) > max_rules:
-                        out.append(("REFUSED", TOO_MANY_RULES, None, None))
-                        continue
-                    size_after = _ENVELOPE_BYTES + len(vid.encode()) + len(str(version + 1)) + len(after) - 1
-                    size_after += sum(s + len(str(i)) for i, (_, s) in enumerate(after.values()))
-                    if size_after > max_bytes:
-                        out.append(("REFUSED", TOO_MANY_BYTES, None, None))
-                        continue
-                    active, version = after, version + 1
-                    out.append(("SUCCESS", None, version, [v for v, _ in active.values()]))
-                else:
-                    out.append(("SUCCESS", None, None, None))
-                if again:
-                    done.add(vid)
-            arrays = [batch.column(f.name) for f in kept]
-            types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
-            arrays += [pa.array([row[i] for row in out], type=t) for i, t in enumerate(types)]
+            found = [(i, answer) for i, answer, _ in _folds(batch, state, max_rules, max_bytes) if answer is not None]
+            rows = batch.take(pa.array([i for i, _ in found], pa.int64()))
+            arrays = [rows.column(f.name) for f in kept] + [pa.array([a[k] for _, a in found], type=t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return ordered.mapInArrow(fold, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def snapshot_items(decided: DataFrame) -> DataFrame:

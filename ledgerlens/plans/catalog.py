@@ -586,6 +586,22 @@ def _(spark, sf):
     return _decisions(governance.decide(versions(spark, sf), fixtures.decisions(spark, sf), max_rules=2))
 
 
+@query("governance_decisions_in_blocks", _decisions_sql(100))
+def _(spark, sf):
+    """Every head's log in some thirty blocks that are folded side by side."""
+    decisions = fixtures.decisions(spark, sf)
+    last = decisions.agg(F.max("decision_seq")).first()[0] or 0
+    return _decisions(governance.decide(versions(spark, sf), decisions, block=last // 30 + 1))
+
+
+@query("governance_size_limit_in_blocks", _decisions_sql(2))
+def _(spark, sf):
+    """The same where most approvals are refused, so that blocks depend on where they start."""
+    decisions = fixtures.decisions(spark, sf)
+    last = decisions.agg(F.max("decision_seq")).first()[0] or 0
+    return _decisions(governance.decide(versions(spark, sf), decisions, max_rules=2, block=last // 12 + 1))
+
+
 @query("governance_active_set", oracle.with_(oracle.decided(), """
 , z AS (SELECT head, max(ver) AS ver, max_by(active, ver) AS active FROM g WHERE ver IS NOT NULL GROUP BY head)
 SELECT head AS head_key, ver AS ruleset_version, CAST(i - 1 AS INTEGER) AS evaluation_order, active[i].v AS rule_version_id

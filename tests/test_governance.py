@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,18 @@ def test_unknown_versions_and_words_are_refused_and_settle_nothing(spark):
     got = outcomes(decide(spark, v, [("v9", "APPROVE", "bob"), ("v1", "MAYBE", "bob"), ("v1", None, "bob"), ("v1", "APPROVE", "bob"), ("v1", "MAYBE", "bob")]))
     assert got == [("REFUSED", "RULE_VERSION_UNKNOWN", None), ("REFUSED", "DECISION_UNKNOWN", None), ("REFUSED", "DECISION_UNKNOWN", None),
                    ("SUCCESS", None, ["v1"]), ("REFUSED", "DECISION_UNKNOWN", None)]
+
+
+@pytest.mark.parametrize("seed,limits", [(1, {}), (2, {"max_rules": 3}), (3, {"max_bytes": 700})])
+def test_blocks_equal_the_plain_fold(spark, seed, limits):
+    rng = random.Random(seed)
+    rules = [f"r{i}" for i in range(6)]
+    rows = [(f"v{i}", rng.choice(rules), "RETIRE" if rng.random() < 0.45 else "UPSERT", rng.choice(["ann", "bob"])) for i in range(160)]
+    v = propose(spark, rows)
+    log = [(rng.choice(rows)[0] if rng.random() < 0.4 else rows[i][0], rng.choice(["APPROVE", "APPROVE", "APPROVE", "REJECT"]), "cat") for i in range(160)]
+    want = outcomes(decide(spark, v, log, **limits))
+    assert {o for o, *_ in want} >= {"SUCCESS", "DENIED"}
+    for block in (7, 50):
+        assert outcomes(decide(spark, v, log, block=block, **limits)) == want
+    versions_ = [r.ruleset_version for r in decide(spark, v, log, block=23, **limits).orderBy("decision_seq").collect()]
+    assert [x for x in versions_ if x is not None] == list(range(1, 1 + sum(x is not None for x in versions_)))
