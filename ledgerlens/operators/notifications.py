@@ -87,12 +87,13 @@ def outcome_reason(contact_ok, channel_ok):
     return F.when(~contact_ok, CONTACT_FAILED).when(~channel_ok, CHANNEL_FAILED)
 
 
-def resolve_attempts(log: DataFrame) -> DataFrame:
+def resolve_attempts(log: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Add result and attempt_no to each row of an attempt log.
 
     ``log``: notificationRequestId, at (unique per request), kind (CLAIM, SENT or
     FAILED), attempt (the number an outcome reports).  Results: ACQUIRED, ALREADY_SENT,
     IN_PROGRESS for claims; APPLIED or DELIVERY_NOT_SENDING for outcomes.
+    ``prior`` are ledger rows (status, attempt_count) that the log continues.
     """
     rid = "notificationRequestId"
     log = materialize(log.select(rid, "at", "kind", "attempt"))
@@ -100,8 +101,20 @@ def resolve_attempts(log: DataFrame) -> DataFrame:
     outcomes = log.filter("kind <> 'CLAIM'")
     numbered = outcomes.select(rid, F.col("attempt").alias("no"), "at")
 
-    first_claim = claims.groupBy(rid).agg(F.min("at").alias("claimed"))
-    start = _first_outcome(first_claim.withColumn("no", F.lit(1)).withColumn("src", F.col("claimed")), numbered)
+    first_claim = claims.groupBy(rid).agg(F.min("at").alias("claimed")).withColumn("no", F.lit(1))
+    already = None
+    if prior is not None:
+        # before the first row of a request, its ledger row says what is open, done or counted
+        begun = materialize(log.groupBy(rid).agg((F.min("at") - 1).alias("before")).join(
+            prior.select(rid, F.col("status").alias("was"), F.col("attempt_count").alias("counted")), rid))
+        free = first_claim.drop("no").join(begun, rid, "left").filter("was IS NULL OR was IN ('PENDING', 'FAILED')")
+        first_claim = free.select(rid, "claimed", (F.coalesce("counted", F.lit(0)) + 1).cast("int").alias("no"))
+        already = begun.filter("was = 'SENT'").select(rid, F.col("before").alias("sent_at"))
+    opened = first_claim.withColumn("src", F.col("claimed"))
+    if prior is not None:
+        opened = opened.unionByName(begun.filter("was = 'SENDING'").select(
+            rid, F.col("before").alias("claimed"), F.col("counted").cast("int").alias("no"), F.col("before").alias("src")))
+    start = _first_outcome(opened, numbered)
     start = start.filter(F.col("nxt").isNotNull()).select(rid, F.col("nxt").alias("src"))
 
     failed = outcomes.filter("kind = 'FAILED'")
@@ -114,10 +127,12 @@ def resolve_attempts(log: DataFrame) -> DataFrame:
     applied = follow_chain(start, links, [rid]).withColumnRenamed("src", "at")
 
     effective = materialize(applied.join(outcomes, [rid, "at"]))
-    acquired = first_claim.select(rid, F.col("claimed").alias("at"), F.lit(1).alias("attempt_no")).unionByName(
+    acquired = first_claim.select(rid, F.col("claimed").alias("at"), F.col("no").alias("attempt_no")).unionByName(
         effective.filter("kind = 'FAILED'").select(rid, F.col("at").alias("src"), (F.col("attempt") + 1).alias("attempt_no"))
         .join(reclaim, [rid, "src"]).select(rid, F.col("claimed").alias("at"), "attempt_no"))
     sent = effective.filter("kind = 'SENT'").select(rid, F.col("at").alias("sent_at"))
+    if already is not None:
+        sent = sent.unionByName(already)
     marks = acquired.withColumn("mark", F.lit("ACQUIRED")).unionByName(
         effective.select(rid, "at", F.col("attempt").alias("attempt_no"), F.lit("APPLIED").alias("mark")))
     return (
@@ -149,3 +164,81 @@ def ledger(resolved: DataFrame) -> DataFrame:
         .when(F.col("attempt_count") == 0, "PENDING")
         .when(F.col("attempt_count") > F.col("__failed"), "SENDING").otherwise("FAILED"),
     ).drop("__failed")
+
+
+# ---------------------------------------------------------------- the whole ledger row
+
+# What the insert of a request keeps, and what its row says besides.
+REQUEST_FIELDS = ("alertId", "customerId", "transactionId", "category", "templateId", "locale", "requestedAt", "traceId")
+LEDGER = ("notificationRequestId string, alertId string, customerId string, transactionId string, category string, templateId string, "
+          "locale string, requestedAt long, traceId string, status string, attempt_count int, channel string, providerReference string, "
+          "lastErrorCode string, created_us long, updated_us long")
+LEDGER_COLUMNS = tuple(c.split()[0] for c in LEDGER.split(", "))
+
+
+def with_results(log: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """The whole rows of a delivery log with result and attempt_no.
+
+    ``log`` has, besides what ``resolve_attempts`` needs, at_us, channel, providerReference and reasonCode
+    (of outcomes) and the request's fields (of claims).
+    """
+    found = resolve_attempts(log, prior).select("notificationRequestId", "at", "result", "attempt_no")
+    said = log.withColumn("channel", F.when(F.col("kind") != "CLAIM", F.coalesce("channel", F.lit(CHANNEL))))
+    return said.join(found, ["notificationRequestId", "at"])
+
+
+def refusals(resolved: DataFrame) -> DataFrame:
+    """Rows of a resolved log that changed nothing and gave no result, with the reason."""
+    reason = F.when(F.col("result") == "IN_PROGRESS", IN_PROGRESS).when(F.col("result") == NOT_SENDING, NOT_SENDING)
+    return resolved.select("notificationRequestId", "at", "kind", reason.alias("reasonCode")).filter("reasonCode IS NOT NULL")
+
+
+def ledger_rows(resolved: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of all requests of a resolved log, after it.
+
+    The first claim inserts the request.  A claim that is acquired clears reference and error and keeps the channel of
+    the attempt before; an applied outcome says all three.  Outcomes of requests nobody claimed leave no row.
+    """
+    rid, took = "notificationRequestId", F.col("result").isin("ACQUIRED", "APPLIED")
+    row = F.struct("at_us", "attempt_no", "kind", "channel", "providerReference", "reasonCode")
+    now = resolved.groupBy(rid).agg(
+        F.min_by(F.when(F.col("kind") == "CLAIM", F.struct(*REQUEST_FIELDS, "at_us")), F.when(F.col("kind") == "CLAIM", F.col("at"))).alias("inserted"),
+        F.max_by(row, F.when(took, F.col("at"))).alias("last"),
+        F.max_by("channel", F.when(F.col("result") == "APPLIED", F.col("at"))).alias("through"))
+    if prior is None:
+        now = now.withColumn("old", F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':', 1) for c in LEDGER.split(', ')[1:])}>"))
+    else:
+        now = now.join(prior.select(rid, F.struct(*LEDGER_COLUMNS[1:]).alias("old")), rid, "left")
+    known, last = F.col("old").isNotNull(), F.col("last")
+    status = F.when(last.isNull(), F.coalesce("old.status", F.lit("PENDING"))).when(last["kind"] == "CLAIM", "SENDING").otherwise(last["kind"])
+    return now.filter(known | F.col("inserted").isNotNull()).select(
+        rid, *[F.when(known, F.col(f"old.{c}")).otherwise(F.col(f"inserted.{c}")).alias(c) for c in REQUEST_FIELDS],
+        status.alias("status"), F.coalesce(last["attempt_no"], "old.attempt_count", F.lit(0)).cast("int").alias("attempt_count"),
+        F.coalesce("through", "old.channel").alias("channel"),
+        F.when(last.isNull(), F.col("old.providerReference")).when(last["kind"] == "SENT", last["providerReference"]).alias("providerReference"),
+        F.when(last.isNull(), F.col("old.lastErrorCode")).when(last["kind"] == "FAILED", last["reasonCode"]).alias("lastErrorCode"),
+        F.coalesce("old.created_us", "inserted.at_us").alias("created_us"),
+        F.coalesce(last["at_us"], "old.updated_us", "inserted.at_us").alias("updated_us"))
+
+
+def results(resolved: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Result records: one per applied outcome, and the stored one again for every claim of a request that was sent.
+
+    Claims of a request in delivery and outcomes nobody waits for give none.
+    """
+    rid = "notificationRequestId"
+    shape = (F.lit(1).alias("schemaVersion"), rid, "channel", F.col("kind").alias("status"), F.col("attempt_no").alias("attemptCount"),
+             "providerReference", "reasonCode", F.col("at_us").alias("updatedAt"), "traceId")
+    claimed = resolved.filter("kind = 'CLAIM'")
+    traces = claimed.groupBy(rid).agg(F.min_by("traceId", "at").alias("first_trace"))
+    if prior is not None:
+        traces = traces.join(prior.select(rid, F.col("traceId").alias("old_trace")), rid, "full").select(
+            rid, F.coalesce("old_trace", "first_trace").alias("first_trace"))
+    applied = resolved.filter("result = 'APPLIED'").drop("traceId").join(traces.withColumnRenamed("first_trace", "traceId"), rid).select("at", *shape)
+    stored = applied.filter("status = 'SENT'").drop("at")
+    if prior is not None:
+        stored = stored.unionByName(prior.filter("status = 'SENT'").select(
+            F.lit(1).alias("schemaVersion"), rid, "channel", "status", F.col("attempt_count").alias("attemptCount"), "providerReference",
+            F.col("lastErrorCode").alias("reasonCode"), F.col("updated_us").alias("updatedAt"), "traceId"))
+    again = claimed.filter("result = 'ALREADY_SENT'").select(rid, "at").join(stored, rid)
+    return applied.unionByName(again)

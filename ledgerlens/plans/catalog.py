@@ -16,8 +16,9 @@ from ledgerlens.operators.rule_checks import definition_reason
 from ledgerlens.operators.rules import compile_ruleset
 from ledgerlens.plans import fixtures, oracle, risk
 from ledgerlens.session import configure, ensure_checkpoint_dir, materialize
-from ledgerlens.sources import ingest, tables
-from ledgerlens.streaming import online
+from ledgerlens.sources import ingest, records, tables
+from ledgerlens.sources.contracts import violations
+from ledgerlens.streaming import delivery, online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -867,6 +868,140 @@ def _(spark, sf):
     return metrics.count_by(notifications.ledger(attempts(spark, sf)), "status")
 
 
+_RESULT_RECORDS = oracle.with_(oracle.DELIVERY, f"""
+SELECT told.rid AS key, {oracle.record({
+    'schemaVersion': "'1'", 'notificationRequestId': oracle.quoted('told.rid'), 'channel': oracle.quoted("'EMAIL'"), 'status': oracle.quoted('kind'),
+    'attemptCount': 'n', 'providerReference': f"coalesce({oracle.quoted('provider')}, 'null')", 'reasonCode': f"coalesce({oracle.quoted('why')}, 'null')",
+    'updatedAt': oracle.quoted(oracle.iso('us')), 'traceId': oracle.quoted("'trace-' || first_claim")})} AS value, CAST(0 AS INTEGER) AS violations
+FROM told JOIN ins USING (rid)""")
+
+
+def _checked(contract: str, sent: DataFrame) -> DataFrame:
+    return sent.select("key", "value", F.size(violations(contract, F.col("value"))).alias("violations"))
+
+
+def delivered(spark, sf):
+    """The delivery log with results; every claim is a sound request."""
+    return shared("delivered", lambda: notifications.with_results(delivery.delivery_log(fixtures.delivery_log(spark, sf))[0]), spark, sf)
+
+
+@query("notification_results", _RESULT_RECORDS)
+def _(spark, sf):
+    return _checked("notification_result", records.to_records("notification_result", notifications.results(delivered(spark, sf))))
+
+
+_LEDGER_ROWS = oracle.with_(oracle.DELIVERY, """
+SELECT rid AS "notificationRequestId", 'alr-' || first_claim AS "alertId", 'cus-' || user_id AS "customerId", 'txn-' || first_claim AS "transactionId",
+  'SUSPICIOUS_TRANSACTION' AS category, 'template' AS "templateId", 'en' AS locale, created_us AS "requestedAt", 'trace-' || first_claim AS "traceId",
+  status, CAST(attempt_count AS INTEGER) AS attempt_count, CASE WHEN last_applied IS NOT NULL THEN 'EMAIL' END AS channel,
+  CASE WHEN status = 'SENT' THEN last_provider END AS "providerReference", CASE WHEN status = 'FAILED' THEN last_why END AS "lastErrorCode",
+  created_us, coalesce(last_us, created_us) AS updated_us
+FROM ins JOIN lg USING (rid) LEFT JOIN took USING (rid) JOIN ev_ ON ev_.event_id = first_claim""")
+
+
+@query("ledger_full_state", _LEDGER_ROWS)
+def _(spark, sf):
+    return notifications.ledger_rows(delivered(spark, sf))
+
+
+def _delivered_online(spark, sf) -> str:
+    """The delivery log through the online ledger, in three pieces and three starts; the folder it wrote."""
+    log = materialize(fixtures.delivery_log(spark, sf))
+    low, high = log.agg(F.min("at"), F.max("at")).first()
+    root = _online_root(spark)
+    for i in range(3):
+        log.where(F.floor((F.col("at") - low) * 3 / (high + 1 - low)) == i).write.mode("append").parquet(f"{root}/log")
+        _finished([delivery.start(spark.readStream.schema(delivery.LOG).parquet(f"{root}/log"), f"{root}/out", f"{root}/state")])
+    return f"{root}/out"
+
+
+@query("online_notification_results", _RESULT_RECORDS)
+def _(spark, sf):
+    return _checked("notification_result", delivery.read_results(spark, _delivered_online(spark, sf), records=True))
+
+
+@query("online_ledger", _LEDGER_ROWS)
+def _(spark, sf):
+    return delivery.read_ledger(spark, _delivered_online(spark, sf))
+
+
+# ---------------------------------------------------------------- outgoing records
+
+
+def _seq_iso() -> str:
+    return oracle.quoted(oracle.iso("seq * 1000"))
+
+
+_ALERT_RULES = """'[' || array_to_string(list_filter([
+  CASE WHEN r_amount THEN '{"ruleId":"amount","ruleVersion":1,"evidenceCodes":["AMOUNT_AT_OR_ABOVE_THRESHOLD"]}' END,
+  CASE WHEN r_burst THEN '{"ruleId":"burst","ruleVersion":1,"evidenceCodes":["COUNT_AT_OR_ABOVE_MINIMUM"]}' END,
+  CASE WHEN r_both THEN '{"ruleId":"both","ruleVersion":1,"evidenceCodes":["ALL_MATCHED"]}' END,
+  CASE WHEN r_either THEN '{"ruleId":"either","ruleVersion":1,"evidenceCodes":["ANY_MATCHED"]}' END], lambda x: x IS NOT NULL), ',') || ']'"""
+
+
+@query("records_alert", oracle.with_(oracle.results(60), f"""
+SELECT {oracle.uuid3('ALERT', 'assessment_id')} AS key, {oracle.record({
+    'schemaVersion': "'1'", 'alertId': oracle.quoted(oracle.uuid3('ALERT', 'assessment_id')), 'assessmentId': oracle.quoted('assessment_id'),
+    'eventId': oracle.quoted('eid'), 'transactionId': oracle.quoted('txn'), 'customerId': oracle.quoted('cus'), 'severity': oracle.quoted('severity'),
+    'matchedRules': _ALERT_RULES, 'rulesetVersion': "'1'", 'createdAt': _seq_iso(), 'traceId': oracle.quoted("'trace-' || event_id")})} AS value,
+  CAST(0 AS INTEGER) AS violations FROM assessed WHERE status = 'SUSPICIOUS'"""))
+def _(spark, sf):
+    return _checked("alert", records.to_records("alert", assessment.alerts(assessed(spark, sf, 60))))
+
+
+@query("records_notification_request", oracle.with_(oracle.results(60) + "," + _REQUESTS, f"""
+SELECT request_id AS key, {oracle.record({
+    'schemaVersion': "'1'", 'notificationRequestId': oracle.quoted('request_id'), 'alertId': oracle.quoted('alert_id'), 'customerId': oracle.quoted('cus'),
+    'transactionId': oracle.quoted('txn'), 'category': oracle.quoted("'SUSPICIOUS_TRANSACTION'"), 'templateId': oracle.quoted("'suspicious-transaction-v1'"),
+    'locale': oracle.quoted("'pt-BR'"), 'requestedAt': _seq_iso(), 'traceId': oracle.quoted("'trace-' || event_id")})} AS value,
+  CAST(0 AS INTEGER) AS violations FROM rq"""))
+def _(spark, sf):
+    return _checked("notification_request", records.to_records("notification_request", requests(spark, sf)))
+
+
+_AMOUNT_RESULT = """'[{"ruleId":"amount","ruleVersion":1,"severity":"HIGH","status":"' || CASE WHEN r_amount THEN 'MATCHED' ELSE 'NO_MATCH' END ||
+  '","evidenceCodes":["' || CASE WHEN cur <> 'BRL' THEN 'CURRENCY_MISMATCH' WHEN amt >= 30000 THEN 'AMOUNT_AT_OR_ABOVE_THRESHOLD' ELSE 'AMOUNT_BELOW_THRESHOLD' END ||
+  '"],"evaluatedValues":{"amountMinor":"' || amt || '","thresholdMinor":"30000",' ||
+  CASE WHEN cur <> 'BRL' THEN '"eventCurrency":"' || cur || '","ruleCurrency":"BRL"' ELSE '"currency":"BRL"' END || '}}]'"""
+
+
+@query("records_assessment", oracle.with_(oracle.results(60), f"""
+SELECT txn AS key, {oracle.record({
+    'schemaVersion': "'1'", 'assessmentId': oracle.quoted('assessment_id'), 'eventId': oracle.quoted('eid'), 'transactionId': oracle.quoted('txn'),
+    'customerId': oracle.quoted('cus'), 'status': "CASE WHEN r_amount THEN '\"SUSPICIOUS\"' ELSE '\"NOT_SUSPICIOUS\"' END",
+    'finalSeverity': "CASE WHEN r_amount THEN '\"HIGH\"' ELSE '\"NONE\"' END", 'ruleResults': _AMOUNT_RESULT, 'rulesetVersion': "'1'",
+    'receivedAt': _seq_iso(), 'evaluatedAt': _seq_iso(), 'late': "CASE WHEN late THEN 'true' ELSE 'false' END",
+    'traceId': oracle.quoted("'trace-' || event_id")})} AS value, CAST(0 AS INTEGER) AS violations FROM assessed"""))
+def _(spark, sf):
+    """Assessments under the first rule alone, as records of the online job."""
+    document = {**fixtures.ruleset_document(), "rules": fixtures.ruleset_document()["rules"][:1]}
+    raw = materialize(fixtures.raw_records(spark, sf, 60))
+    out = _feed(spark, _online_root(spark), [raw], {0: [fixtures.published_ruleset(spark, document)]}, as_records=True)
+    return _checked("assessment", online.read_records(spark, out, "assessment"))
+
+
+@query("records_invalid", f"""
+SELECT CASE WHEN event_id % 13 = 9 THEN 'other' WHEN event_id % 13 = 10 THEN NULL ELSE 'txn-' || event_id END AS key, {oracle.record({
+    'schemaVersion': "'1'", 'sourceTopic': oracle.quoted("'fraud.transaction.received.v1'"), 'sourcePartition': '(event_id % 12)', 'sourceOffset': '(event_id // 12)',
+    'payloadHash': oracle.quoted(f'sha256({_RAW_VALUE})'), 'sourceSchemaVersion': "CASE WHEN event_id % 13 IN (9, 10) THEN '1' ELSE 'null' END",
+    'reasonCode': oracle.quoted("'INVALID_TRANSACTION_EVENT'"), 'detectedAt': oracle.quoted(oracle.iso('epoch_us(ts)'))})} AS value,
+  CAST(0 AS INTEGER) AS violations FROM events WHERE event_id % 13 NOT IN (0, 8)""")
+def _(spark, sf):
+    return _checked("invalid_ref", records.to_records("invalid", ingest.invalid_references(parsed(spark, sf))))
+
+
+@query("records_quarantine", oracle.with_(oracle.identity(1), f"""
+SELECT tx.txn AS key, {oracle.record({
+    'schemaVersion': "'1'", 'sourceTopic': oracle.quoted("'fraud.transaction.received.v1'"), 'sourcePartition': 'part', 'sourceOffset': 'seq',
+    'eventId': oracle.quoted('eid'), 'transactionId': oracle.quoted('txn'), 'payloadHash': oracle.quoted(_fingerprint_sql('amt')),
+    'conflictingIdentityHash': oracle.quoted(_fingerprint_sql('first_amt')), 'reasonCode': oracle.quoted("'EVENT_IDENTITY_CONFLICT'"),
+    'detectedAt': _seq_iso()})} AS value, CAST(0 AS INTEGER) AS violations
+FROM tx JOIN (SELECT seq, first_amt, outcome FROM f2) USING (seq) WHERE outcome = 'EVENT_IDENTITY_CONFLICT'"""))
+def _(spark, sf):
+    rows = resolved(spark, sf, 1).filter(F.col("outcome") == identity.EVENT_CONFLICT)
+    return _checked("quarantine_ref", records.to_records("quarantine", identity.quarantine_references(rows, ingest.TRANSACTION_TOPIC)))
+
+
 # ---------------------------------------------------------------- metrics and maintenance
 
 
@@ -996,9 +1131,9 @@ def _feed(spark, root: str, pieces, documents, **options) -> str:
         for snapshot in documents.get(i, []):
             snapshot.write.mode("append").parquet(f"{root}/rules")
         piece.write.mode("append").parquet(f"{root}/records")
-        records = spark.readStream.schema(piece.schema).parquet(f"{root}/records")
+        feed = spark.readStream.schema(piece.schema).parquet(f"{root}/records")
         rules = spark.readStream.schema(rules_schema).parquet(f"{root}/rules")
-        _finished(online.start(records, rules, None, f"{root}/out", f"{root}/state", bucket=_bucket(), **options))
+        _finished(online.start(feed, rules, None, f"{root}/out", f"{root}/state", bucket=_bucket(), **options))
     return f"{root}/out"
 
 

@@ -212,3 +212,22 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         eid.alias("at"), kind.alias("kind"),
         F.when(kind != "CLAIM", F.expr("cast((event_id % 8) div 3 + 1 as int)")).alias("attempt"),
     )
+
+
+def delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempt log with request records on its claims, and what was delivered how on its outcomes."""
+    eid, us = F.col("event_id"), F.expr("unix_micros(cast(ts as timestamp))")
+    row = attempt_log(spark, sf_dir).join(
+        table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), "event_id", "user_id", us.alias("at_us")), "at")
+    claim, sent = F.col("kind") == "CLAIM", F.col("kind") == "SENT"
+    number = eid.cast("string")
+    value = F.to_json(F.struct(
+        F.lit(1).alias("schemaVersion"), "notificationRequestId", F.concat(F.lit("alr-"), number).alias("alertId"),
+        F.concat(F.lit("cus-"), F.col("user_id").cast("string")).alias("customerId"), F.concat(F.lit("txn-"), number).alias("transactionId"),
+        F.lit("SUSPICIOUS_TRANSACTION").alias("category"), F.lit("template").alias("templateId"), F.lit("en").alias("locale"),
+        iso_instant(F.col("at_us")).alias("requestedAt"), F.concat(F.lit("trace-"), number).alias("traceId")))
+    return row.select(
+        "kind", "at", "at_us", F.when(claim, F.col("notificationRequestId")).alias("key"), F.when(claim, value).alias("value"),
+        F.when(~claim, F.col("notificationRequestId")).alias("notificationRequestId"), F.col("attempt").cast("int").alias("attempt"),
+        F.lit(None).cast("string").alias("channel"), F.when(sent, F.concat(F.lit("prov-"), number)).alias("providerReference"),
+        F.when(~claim & ~sent, F.when(eid % 2 == 1, "CHANNEL_DELIVERY_FAILED").otherwise("CONTACT_RESOLUTION_FAILED")).alias("reasonCode"))

@@ -36,20 +36,15 @@ def clocked(rows: DataFrame, clocks: DataFrame, stage: int, slot: str, out: str,
     return timed.join(before, slot, "left").withColumn(out, F.greatest(out, "__before")).drop("__before")
 
 
-def met(entries: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """The entries of keys that occur in ``rows``."""
-    return entries.join(rows.select(*key).distinct(), key, "left_semi")
-
-
-def advance(events: DataFrame, clocks: DataFrame, entries: Callable[[str], DataFrame], windows: Collection[int],
+def advance(events: DataFrame, clocks: DataFrame, entries: Callable[[str, DataFrame], DataFrame], windows: Collection[int],
             *, width: int = CHUNK_WIDTH, fold_limit: int = identity.FOLD_LIMIT, **history_options: int) -> Step:
     """Outcomes and history of a table of parsed events with ``bucket``, ``fingerprint`` and ``ruleset_version``.
 
-    ``entries`` gives the state tables that earlier batches left, ``clocks`` their stream times.
+    ``entries`` gives what earlier batches left in a state table for some keys, ``clocks`` their stream times.
     """
     valid = events.where("valid")
     transaction, event = ["partition", "transactionId"], ["customerId", "eventId"]
-    known_transactions, known_events = met(entries("transactions"), valid, transaction), met(entries("events"), valid, event)
+    known_transactions, known_events = entries("transactions", valid.select(*transaction)), entries("events", valid.select(*event))
     # Every well-formed record moves its partition's clock, also one with a wrong key.
     timed = clocked(
         events.where("schema_valid").select("partition", "arrival_seq", "occurred_ms", "transactionId", "eventId", "valid"),
@@ -81,7 +76,7 @@ def advance(events: DataFrame, clocks: DataFrame, entries: Callable[[str], DataF
         .join(conflicts.unionByName(repeats), "arrival_seq", "left")
         .withColumn("outcome", F.coalesce("outcome", F.lit("accepted"))))
     accepted = resolved.where("outcome = 'accepted'")
-    old = met(entries("facts"), accepted, ["customerId"]).select(
+    old = entries("facts", accepted.select("customerId")).select(
         "customerId", "arrival_seq", "occurred_us", F.col("at").alias("occurred_ms"), F.col("at").alias("stream_time_2"), F.lit(True).alias("__old"))
     rows = accepted.withColumn("__old", F.lit(False)).unionByName(old, allowMissingColumns=True) if windows else accepted.withColumn("__old", F.lit(False))
     evaluable = history.with_history(rows, windows, **history_options).where("NOT __old").drop("__old")

@@ -69,6 +69,21 @@ acc AS (SELECT a.seq, a.event_id, a.eid, a.txn, a.cus, a.amt, a.cur, a.ms, a.st2
   GROUP BY a.seq, a.event_id, a.eid, a.txn, a.cus, a.amt, a.cur, a.ms, a.st2)"""
 
 
+def iso(us: str) -> str:
+    """ISO text of epoch microseconds with 0, 3 or 6 fraction digits."""
+    return (f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ({us}) % 1000000 = 0 THEN '' WHEN ({us}) % 1000 = 0 "
+            f"THEN '.' || lpad(CAST(({us}) % 1000000 // 1000 AS VARCHAR), 3, '0') ELSE '.' || lpad(CAST(({us}) % 1000000 AS VARCHAR), 6, '0') END || 'Z'")
+
+
+def record(fields: dict[str, str]) -> str:
+    """JSON object from SQL expressions of its values' texts."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + " || '}'"
+
+
+def quoted(value: str) -> str:
+    return f"""'"' || {value} || '"'"""
+
+
 def uuid3(namespace: str, value: str) -> str:
     d = f"md5('{namespace}:' || {value})"
     return (f"(substr({d},1,8) || '-' || substr({d},9,4) || '-3' || substr({d},14,3) || '-' || "
@@ -164,3 +179,17 @@ q(rid, pos, status, n, seq_at, kind, result) AS (
          WHEN status = 'SENDING' AND l.attempt = n THEN 'APPLIED' ELSE 'DELIVERY_NOT_SENDING' END
   FROM q JOIN l ON l.rid = q.rid AND l.pos = q.pos + 1),
 lg AS (SELECT rid, max_by(status, pos) AS status, max(n) AS attempt_count FROM q GROUP BY rid)"""
+
+# The delivery log: attempts with the fields of requests and outcomes, its effective rows, and one row per request.
+DELIVERY = ATTEMPTS + """,
+ev_ AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events),
+fx AS (SELECT q.*, e.user_id, e.us, CASE WHEN q.kind = 'SENT' THEN 'prov-' || e.event_id END AS provider,
+    CASE WHEN q.kind = 'FAILED' THEN CASE e.event_id % 2 WHEN 1 THEN 'CHANNEL_DELIVERY_FAILED' ELSE 'CONTACT_RESOLUTION_FAILED' END END AS why
+  FROM q JOIN ev_ e ON e.event_id = q.seq_at WHERE pos >= 0),
+ins AS (SELECT rid, min(seq_at) AS first_claim, min_by(us, seq_at) AS created_us FROM fx WHERE kind = 'CLAIM' GROUP BY rid),
+took AS (SELECT rid, max_by(kind, seq_at) AS last_kind, max_by(us, seq_at) AS last_us, max_by(provider, seq_at) AS last_provider,
+    arg_max(why, seq_at) FILTER (WHERE result = 'APPLIED') AS last_why, max(seq_at) FILTER (WHERE result = 'APPLIED') AS last_applied
+  FROM fx WHERE result IN ('ACQUIRED', 'APPLIED') GROUP BY rid),
+applied AS (SELECT rid, seq_at, kind, n, provider, why, us FROM fx WHERE result = 'APPLIED'),
+told AS (SELECT * FROM applied UNION ALL
+  SELECT a.rid, f.seq_at, a.kind, a.n, a.provider, a.why, a.us FROM fx f JOIN applied a ON a.rid = f.rid AND a.kind = 'SENT' WHERE f.result = 'ALREADY_SENT')"""

@@ -194,7 +194,7 @@ _SPECIAL = {
 }
 _INT_FIELDS = {"schemaVersion", "ruleVersion", "evaluationOrder", "attemptCount", "sourcePartition",
                "sourceSchemaVersion"}
-_INSTANT_FIELDS = {"occurredAt", "createdAt", "receivedAt", "evaluatedAt", "requestedAt", "updatedAt",
+INSTANT_FIELDS = {"occurredAt", "createdAt", "receivedAt", "evaluatedAt", "requestedAt", "updatedAt",
                    "detectedAt"}
 
 
@@ -210,7 +210,7 @@ def struct_type(contract: str) -> T.StructType:
             return T.ArrayType(T.StringType())
         if field.name in _INT_FIELDS:
             return T.IntegerType()
-        if field.name in _INSTANT_FIELDS:
+        if field.name in INSTANT_FIELDS:
             return T.TimestampType()
         return _SPARK_KIND[field.kind]
 

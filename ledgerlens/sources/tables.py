@@ -25,13 +25,6 @@ RETENTION_DAYS = {
     "notification_result": 30, "invalid": 7, "quarantine": 7,
 }
 
-# Key column of every output, as written to the record key.
-OUTPUT_KEYS = {
-    "assessment": "transactionId", "alert": "alertId", "notification_request": "notificationRequestId",
-    "invalid": "key", "quarantine": "key", "notification_result": "notificationRequestId",
-}
-
-
 def read_records(spark: SparkSession, path: str, *, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(RECORD_SCHEMA).load(path)
 
@@ -54,11 +47,6 @@ def stream_topic(spark: SparkSession, servers: str, topic: str, *, offsets_per_b
         "partition", "offset", "timestamp")
 
 
-def active_ruleset_records(records: DataFrame) -> DataFrame:
-    """Only the key that carries the active rule set."""
-    return records.filter(F.col("key") == "ACTIVE").select("key", F.col("value").alias("payload"), "arrival_seq")
-
-
 def read_tables(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """Governance or ledger tables kept as parquet folders below ``root``."""
     return {name: spark.read.parquet(f"{root}/{name}") for name in names}

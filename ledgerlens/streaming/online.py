@@ -24,11 +24,13 @@ from ledgerlens.plans.incremental import advance
 from ledgerlens.plans.risk import DEFAULT_BUCKETS, with_bucket
 from ledgerlens.session import ensure_checkpoint_dir, materialize, staging
 from ledgerlens.sources.ingest import TRANSACTION_TOPIC, invalid_references, parse_events
+from ledgerlens.sources.records import OUTPUTS, write_records
 from ledgerlens.sources.tables import write_outputs
 from ledgerlens.streaming.commits import Commits
 from ledgerlens.streaming.state import ARRIVAL, State
 
 RULESETS = "_rulesets"
+RECORDS = "_records"
 WRITERS = 5
 SNAPSHOT_COLUMNS = ("version", "payload", "arrival_seq")
 Loader = Callable[[SparkSession, set[int]], Mapping[int, RuleSet]]
@@ -132,10 +134,12 @@ def prepared(records: DataFrame, buckets: int = DEFAULT_BUCKETS, bucket: Column
     return parsed.withColumn("fingerprint", F.when(F.col("valid"), event_fingerprint(F.col("occurred_us"))))
 
 
-def process(batch: DataFrame, batch_id: int, out: str, load_rulesets: Loader, *, numbered: bool = True, on_written: Callable[[int], None] | None = None) -> None:
+def process(batch: DataFrame, batch_id: int, out: str, load_rulesets: Loader, *, numbered: bool = True, records: bool = False,
+            on_written: Callable[[int], None] | None = None) -> None:
     """Evaluate one micro-batch of prepared records and commit it; does nothing if it is committed already.
 
-    ``numbered`` says whether they have an arrival number; else they get one from their offsets.
+    ``numbered`` says whether they have an arrival number; else they get one from their offsets.  With ``records`` every output
+    is also written as key and JSON value, below ``RECORDS``.
     """
     spark = batch.sparkSession
     spark.conf.set("spark.sql.adaptive.enabled", "true")  # a micro-batch is planned like any table
@@ -159,12 +163,16 @@ def process(batch: DataFrame, batch_id: int, out: str, load_rulesets: Loader, *,
 
         with ThreadPoolExecutor(WRITERS) as pool:  # tables that do not depend on each other
             def later(outputs: dict[str, DataFrame]) -> list:
-                return [pool.submit(write_outputs, {name: df}, out, batch_id) for name, df in outputs.items()]
+                return [pool.submit(put, {name: df}, to, batch_id) for name, df in outputs.items()
+                        for put, to in ((write_outputs, out), (write_records, f"{out}/{RECORDS}")) if put is write_outputs or records and name in OUTPUTS]
 
             writing = later(event_outputs(step.resolved, events))
             kept = pool.submit(state.advanced, batch_id, step.entries, clocks)
             write_outputs({"assessment": assessment.assessments(assessment.evaluate(step.evaluable, {version: rules[version]}))}, out, batch_id)
-            writing += later(alert_outputs(spark.read.parquet(f"{out}/assessment/batch_id={batch_id}")))
+            assessed = spark.read.parquet(f"{out}/assessment/batch_id={batch_id}")
+            writing += later(alert_outputs(assessed))
+            if records:
+                writing.append(pool.submit(write_records, {"assessment": assessed}, f"{out}/{RECORDS}", batch_id))
             for w in writing:
                 w.result()
             kept = kept.result()
@@ -187,6 +195,7 @@ def start(
     bucket: Column | None = None,
     state_partitions: int | None = None,
     trigger: dict | None = None,
+    as_records: bool = False,
     on_written: Callable[[int], None] | None = None,
 ) -> tuple[StreamingQuery, ...]:
     """Start the evaluating query, after the snapshots that are there have been looked at.
@@ -194,7 +203,7 @@ def start(
     ``records`` has the columns of a topic (key, value, partition, offset, timestamp); an ``arrival_seq`` is used if there is one.
     ``load_rulesets`` gives compiled rule sets by version; None compiles the accepted snapshots.  Raises NotReady if no sound
     rule set was ever published.  With a recurring ``trigger`` a second query goes on accepting snapshots.
-    ``bucket`` replaces the default hash of the customer.  ``on_written`` is told the number of a batch whose tables are
+    ``as_records`` also writes every output in the form that goes to a topic.  ``bucket`` replaces the default hash of the customer.  ``on_written`` is told the number of a batch whose tables are
     written and not yet committed; what it raises stops the query, and the batch is done again.  ``partitions`` and ``state_partitions`` are not needed any more: work follows
     the keys of a batch, by the shuffle settings of the session.
     """
@@ -211,7 +220,7 @@ def start(
     more = [accept_rulesets(snapshots, out, checkpoint, trigger)] if trigger and "availableNow" not in trigger and "once" not in trigger else []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        process(batch, batch_id, out, loader, numbered=numbered, on_written=on_written)
+        process(batch, batch_id, out, loader, numbered=numbered, records=as_records, on_written=on_written)
 
     numbered = "arrival_seq" in records.columns
     main = (prepared(records, buckets, bucket).writeStream.foreachBatch(write).outputMode("append")
@@ -222,3 +231,8 @@ def start(
 def read_output(spark: SparkSession, out: str, name: str) -> DataFrame:
     """Committed rows of an output table."""
     return Commits(spark, out).visible(name)
+
+
+def read_records(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """Committed (key, value) records of an output."""
+    return Commits(spark, out).visible(f"{RECORDS}/{name}").select("key", "value")

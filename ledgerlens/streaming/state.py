@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.history import RETENTION_MS
 from ledgerlens.operators.identity import HORIZON_MS
+from ledgerlens.operators.ordering import latest_per_key
 from ledgerlens.session import names_in, remove
 
 FAN = 8
@@ -28,12 +29,16 @@ ARRIVAL, PARTITION, BUCKET = 0, 1, 2
 
 @dataclass(frozen=True)
 class Table:
-    """``stage`` and ``slot`` say whose clock an entry's ``at`` is compared with; it counts for ``keep`` milliseconds."""
+    """``stage`` and ``slot`` say whose clock an entry's ``at`` is compared with; it counts for ``keep`` milliseconds.
+
+    A table without a clock is kept for good: of the rows of a ``key`` that with the highest ``version`` counts.
+    """
 
     schema: str
-    stage: int
-    slot: str
-    keep: int
+    stage: int | None = None
+    slot: str | None = None
+    keep: int = 0
+    key: tuple[str, ...] = ()
 
 
 TABLES = {
@@ -46,6 +51,8 @@ TABLES = {
 
 def alive(entries: DataFrame, table: Table, clocks: DataFrame) -> DataFrame:
     """Entries that a row arriving later can still meet."""
+    if table.stage is None:
+        return latest_per_key(entries, table.key, [F.col("version")])
     now = clocks.where(F.col("stage") == table.stage).select(F.col("slot").alias("__slot"), F.col("time").alias("__now"))
     kept = entries.join(now, F.col(table.slot) == F.col("__slot"), "left")
     return kept.where(F.col("__now").isNull() | (F.col("__now") - F.col("at") < table.keep)).drop("__slot", "__now")
@@ -54,8 +61,8 @@ def alive(entries: DataFrame, table: Table, clocks: DataFrame) -> DataFrame:
 class State:
     """The tables as of one commit; ``runs`` and ``clocks`` are what the commit says about them."""
 
-    def __init__(self, spark: SparkSession, root: str, commit: dict | None) -> None:
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, commit: dict | None, tables: Mapping[str, Table] = TABLES) -> None:
+        self.spark, self.root, self.tables = spark, root, tables
         found = (commit or {}).get("state", {})
         self.runs: list[dict] = found.get("runs", [])
         self.clocks_path: str | None = found.get("clocks")
@@ -67,16 +74,23 @@ class State:
         reader = self.spark.read.schema(schema)
         return reader.parquet(*[f"{self.root}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
 
-    def entries(self, name: str) -> DataFrame:
-        """Entries of a table that still count; a key has one at most in the identity tables, as a new one is only made when the last has expired."""
-        paths = [r["path"] for r in self.runs if r["table"] == name]
-        return alive(self._read(paths, TABLES[name].schema), TABLES[name], self.clocks()) if paths else self._read([], TABLES[name].schema)
+    def entries(self, name: str, met_by: DataFrame | None = None) -> DataFrame:
+        """Entries of a table that still count; a key has one at most in the identity tables, as a new one is only made when the last has expired.
+
+        ``met_by`` are keys, and only their entries are asked for.
+        """
+        paths, table = [r["path"] for r in self.runs if r["table"] == name], self.tables[name]
+        rows = self._read(paths, table.schema)
+        if met_by is not None:
+            rows = rows.join(met_by.distinct(), met_by.columns, "left_semi")
+        return alive(rows, table, self.clocks()) if paths else rows
 
     def _place(self, batch: int, name: str) -> str:
         return f"_state/{name}/{batch}-{uuid.uuid4().hex}"
 
-    def advanced(self, batch: int, new: Mapping[str, DataFrame], clocks: DataFrame) -> dict:
+    def advanced(self, batch: int, new: Mapping[str, DataFrame], clocks: DataFrame | None = None) -> dict:
         """Write a batch's entries and clocks; returns the facts for its commit."""
+        clocks = self._read([], CLOCKS) if clocks is None else clocks
         place = self._place(batch, "clocks")
         latest = self.clocks().unionByName(clocks).groupBy("stage", "slot").agg(F.max("time").alias("time"))
         seen, stages = Observation(), (PARTITION, BUCKET)
@@ -86,10 +100,10 @@ class State:
         first, last = ({s: seen.get[f"{n}{s}"] or 0 for s in stages} for n in "ab")
 
         def wrote(name: str) -> list[dict]:
-            table, path = TABLES[name], self._place(batch, name)
+            table, path = self.tables[name], self._place(batch, name)
             new[name].select([c.split()[0] for c in table.schema.split(", ")]).write.parquet(f"{self.root}/{path}")
-            old = [r for r in self.runs if r["table"] == name and r["newest"] + table.keep > first[table.stage]]
-            return self._merged(batch, name, [*old, {"table": name, "level": 0, "path": path, "newest": last[table.stage]}], clock_table)
+            old = [r for r in self.runs if r["table"] == name and (table.stage is None or r["newest"] + table.keep > first[table.stage])]
+            return self._merged(batch, name, [*old, {"table": name, "level": 0, "path": path, "newest": last.get(table.stage, 0)}], clock_table)
 
         with ThreadPoolExecutor(len(new)) as pool:  # independent tables
             return {"runs": [r for runs in pool.map(wrote, new) for r in runs], "clocks": place}
@@ -101,7 +115,7 @@ class State:
             if len(full) < FAN:
                 return runs
             path = self._place(batch, name)
-            alive(self._read([r["path"] for r in full], TABLES[name].schema), TABLES[name], clocks).write.parquet(f"{self.root}/{path}")
+            alive(self._read([r["path"] for r in full], self.tables[name].schema), self.tables[name], clocks).write.parquet(f"{self.root}/{path}")
             for r in full:
                 if r not in self.runs:  # of this batch, so no commit names it
                     remove(self.spark, f"{self.root}/{r['path']}")
@@ -118,7 +132,7 @@ class State:
     def sweep(self) -> None:
         """Remove what interrupted batches left; only while no batch runs."""
         named = {r["path"] for r in self.runs} | {self.clocks_path}
-        for name in (*TABLES, "clocks"):
+        for name in (*self.tables, "clocks"):
             for file in names_in(self.spark, f"{self.root}/_state/{name}"):
                 if f"_state/{name}/{file}" not in named:
                     remove(self.spark, f"{self.root}/_state/{name}/{file}")
