@@ -24,6 +24,7 @@ component of null ids only has a null id.  Repeated rows: alike, as in the input
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import combinations
 from math import ceil, log2
@@ -43,6 +44,8 @@ SHINGLE, SEED = 4, 42
 HOLD, FORM, SLICE = 1 << 25, 1 << 27, 1 << 22
 TABLES, NEAR_SHINGLE, NEAR = 5, 5, 0.8
 CENTRES, SLACK = 8, 1e-6
+BATCH_TEXTS, SLICE_TEXTS = 1000, 256  # texts a worker is given, and works on, at once
+HELD_SHINGLES = 1 << 20
 
 
 # Bucket label of each bit: six bits that spread single and double flips evenly, then random ones.
@@ -269,27 +272,31 @@ def _sets(bitmap, bits: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = repeated_in(bitmap.value, bits)
         for batch in batches:
-            out, seen = ([], [], []), set()
-            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                x = shingle_set(text)
-                shared = x[repeated(x)]
-                if len(shared) >= least * len(x) - SLACK:
-                    for column, value in zip(out, (digest, len(x), shared.tobytes())):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.string(), pa.int32(), pa.binary()))],
-                                             names=["digest", "n", "shingles"])
+            seen = set()
+            for at in range(0, len(batch), SLICE_TEXTS):
+                out, rows = ([], [], []), batch.slice(at, SLICE_TEXTS)
+                for digest, text in zip(rows.column(0).to_pylist(), rows.column(1)):
+                    if digest in seen:
+                        continue
+                    seen.add(digest)
+                    x = shingle_set(text.as_py())
+                    shared = x[repeated(x)]
+                    if len(shared) >= least * len(x) - SLACK:
+                        for column, value in zip(out, (digest, len(x), shared.tobytes())):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.string(), pa.int32(), pa.binary()))],
+                                                 names=["digest", "n", "shingles"])
 
     return run
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(x, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node))], names=["token", "node"])
+        for at in range(0, len(batch), SLICE_TEXTS // 4):
+            rows = batch.slice(at, SLICE_TEXTS // 4)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in rows.column(1)]
+            nodes = np.repeat(rows.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(nodes)], names=["token", "node"])
 
 
 def _similar(least: float):
@@ -370,6 +377,23 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Texts most of whose shingles no other row has are no near-duplicates, and a sketch tells them.  The others are linked with
     their first SimHash candidate, which joins most copies for a check each, then completed by ``all_links``.
     """
+    with small_batches(docs.sparkSession):
+        return _without_near_duplicates(docs, key, text, tables, least)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer texts at once in a Python worker, whose memory comes on top of the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _without_near_duplicates(docs: DataFrame, key: str, text: str, tables: int, least: float) -> DataFrame:
     kind, spark = docs.schema[key].dataType.simpleString(), docs.sparkSession
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"),
                        F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
@@ -377,7 +401,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     distinct = staged(prints.groupBy("digest").agg(F.min("id").alias("low"), F.first("fps").alias("fps"))
                       .withColumn("node", F.monotonically_increasing_id()))
     bits = sketch_bits(max(1, docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0] // 6))
-    bitmap = spark.sparkContext.broadcast(repeated_cells(docs, text, bits, lambda: shingle_set))
+    bitmap = spark.sparkContext.broadcast(repeated_cells(docs, text, bits, lambda: shingle_set, HELD_SHINGLES))
     sets = staged(rows.select("digest", "text").mapInArrow(_sets(bitmap, bits, least), "digest string, n int, shingles binary")
                   .dropDuplicates(["digest"]).join(distinct.select("digest", "node"), "digest").select("node", "n", "shingles"))
     each = distinct.join(sets.select("node"), "node").select(F.posexplode("fps").alias("table", "fp"), "node")

@@ -67,7 +67,7 @@ def _windows():
     return of
 
 
-def _sketch(bits: int, hashed):
+def _sketch(bits: int, hashed, flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = hashed()
 
@@ -92,7 +92,7 @@ def _sketch(bits: int, hashed):
                 if len(found):
                     held.append(found)
                     size += len(found)
-                if size >= FLUSH:
+                if size >= flush:
                     yield from send(held)
                     held, size = [], 0
         if held:
@@ -127,9 +127,9 @@ def sketch_bits(windows: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, ceil(log2(2 * windows))))
 
 
-def repeated_cells(docs: DataFrame, text: str, bits: int, hashed=_windows) -> bytes:
+def repeated_cells(docs: DataFrame, text: str, bits: int, hashed=_windows, flush: int = FLUSH) -> bytes:
     """Both rows' bitmaps of the cells counted twice or more; ``hashed()`` gives the function from a text to its hashes."""
-    chunks = (docs.select(F.col(text).cast("binary")).mapInArrow(_sketch(bits, hashed), SKETCH)
+    chunks = (docs.select(F.col(text).cast("binary")).mapInArrow(_sketch(bits, hashed, flush), SKETCH)
               .repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(_merge, "row int, chunk int, bits binary"))
     each, size = (1 << bits) // 8, (1 << CHUNK_BITS) // 8
     out = bytearray(2 * each)
