@@ -48,6 +48,8 @@ TRACKING = "^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
 CANONICAL = "(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>"
 REFRESH = "(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>"
 HREF = "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
+# Entities of HTML for signs of addresses.
+ENTITIES = (("#x2f|#47|sol", "/"), ("#x3a|#58|colon", ":"), ("#x3f|#63|quest", "?"), ("#x3d|#61|equals", "="), ("quot|#34|#x22", '"'), ("amp|#38|#x26", "&"))
 GOES_TO = "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)"
 
 
@@ -93,14 +95,26 @@ def resolved(link: Column, base: Column) -> Column:
             .otherwise(F.concat(folder, F.when(folder == site, F.lit("/")).otherwise(F.lit("")), link)))
 
 
+def decoded(link: Column) -> Column:
+    """The few entities that occur in addresses; the ampersand last, so that nothing is decoded twice."""
+    for entity, sign in ENTITIES:
+        link = F.regexp_replace(link, f"(?i)&(?:{entity});", sign)
+    return link
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``source`` and ``target`` URL of each redirect and canonical link that a page declares."""
-    tag = [(F.regexp_extract(html, CANONICAL, 0), HREF), (F.regexp_extract(html, REFRESH, 0), GOES_TO)]
-    links = F.array(*[F.regexp_extract(t, part, 1) for t, part in tag])
+    """``source`` and ``target`` URL of every redirect and canonical link that a page declares, however many there are.
+
+    Tags without an address (a page that refreshes itself) and links to the page itself say nothing.
+    """
+    def addresses(tag: str, part: str) -> Column:
+        return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
+
+    links = F.concat(addresses(CANONICAL, HREF), addresses(REFRESH, GOES_TO))
     return (pages.where(F.col(html).rlike("(?i)canonical|http-equiv"))
-            .select(F.col(url).alias("source"), F.explode(F.filter(links, lambda x: x != "")).alias("link"))
-            .select("source", resolved(F.col("link"), F.col("source")).alias("target"))
-            .where("source is not null and target is not null"))
+            .select(F.col(url).alias("source"), F.explode(F.array_distinct(F.filter(links, lambda x: x != ""))).alias("link"))
+            .select("source", resolved(decoded(F.col("link")), F.col("source")).alias("target"))
+            .where("source is not null and target is not null and source != target"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, links: DataFrame | None = None, key: str = "page_id",

@@ -139,3 +139,16 @@ def test_verdicts(spark):
     assert got[14] == ("notexample.org", "/es/", "org/", "allow")
     assert url_filters.judge(df.limit(0), links=url_filters.link_edges(df.limit(0))).count() == 0
     assert url_filters.judge(df).count() == len(URLS)
+
+
+def test_every_declared_link_counts(spark):
+    pages = [("http://a.net/1", '<link rel=canonical href="http://a.net/1"><link rel="canonical" href="http://b.net/2?x=1&amp;y=2"><LINK REL=canonical HREF=/3>'),
+             ("http://c.net/", '<meta http-equiv="refresh" content="30"><meta http-equiv="refresh" content="0;url=&#47;d&amp;amp;e"><link rel="icon" href="/no">'),
+             ("http://d.net/", None), (None, '<link rel="canonical" href="http://e.net/">')]
+    df = spark.createDataFrame(pages, "url string, html string")
+    assert sorted(map(tuple, url_filters.link_edges(df).collect())) == [
+        ("http://a.net/1", "http://a.net/3"), ("http://a.net/1", "http://b.net/2?x=1&y=2"), ("http://c.net/", "http://c.net/d&amp;e")]
+    rows = spark.createDataFrame([(1, "http://q.net/a", '<meta http-equiv=refresh content="9"><meta http-equiv=refresh content="0;url=http://q.net/a">'
+                                                        '<link rel=canonical href="http://r.net/b"><link rel=canonical href="http://shop.com/de/1?a&amp;b">'),
+                                  (2, "http://r.net/b", "")], "page_id long, url string, html string")
+    assert {r.verdict for r in url_filters.judge(rows, links=url_filters.link_edges(rows)).collect()} == {"block"}
