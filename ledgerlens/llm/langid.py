@@ -20,8 +20,10 @@ one pass with rescaling.  Repeated rows count as often as they occur.  Extra col
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,8 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # the vocabulary's sign for a word's beginning
 ROUNDS = 3
 SMOOTHING = 0.1       # added to every expected count
-FLUSH_WORDS = 200_000  # words counted or remembered in a task before it lets go of them
+FLUSH_WORDS = 200_000  # words counted or remembered before a worker lets go of them
+HELD_NUMBERS = 1 << 23
 MAX_LANGUAGES = 1000  # bounds the model; more labels than that are refused, not dropped
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UND = "und"
@@ -137,6 +140,8 @@ class Lattice:
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray, into: np.ndarray) -> None:
         """Adds the expected uses of each piece in ``words`` (of one length, ``counts`` per language)."""
+        if len(words[0]) >= LONG_WORD:
+            return self._expected_long(words, counts, p, into)
         _, alpha, met = self.forward(words, p, keep=True)
         length = len(words[0])
         beta = [np.zeros_like(alpha[0]) for _ in range(length)] + [np.divide(counts, alpha[-1], out=np.zeros_like(alpha[0]), where=alpha[-1] > 0)]
@@ -151,8 +156,32 @@ class Lattice:
         for lang in range(p.shape[1]):
             into[:, lang] += np.bincount(used, weights=uses[:, lang], minlength=len(into))
 
+    def _expected_long(self, words: list[str], counts: np.ndarray, p: np.ndarray, into: np.ndarray) -> None:
+        """The same by sums of logarithms."""
+        n, length, met = len(words), len(words[0]), list(self.matches(words))
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)
+        alpha = np.full((length + 1, n, p.shape[1]), -np.inf)
+        beta = alpha.copy()
+        alpha[0] = beta[length] = 0.0
+        for end in range(1, length + 1):
+            for k, rows, piece in met[end - 1]:
+                alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - k, rows] + logs[piece])
+        whole = np.where(np.isfinite(alpha[length]), alpha[length], np.inf)  # a word that a language can't spell has no uses
+        for end in range(length, 0, -1):
+            for k, rows, piece in met[end - 1]:
+                step = logs[piece] + beta[end, rows]
+                np.add.at(into, piece, np.exp(alpha[end - k, rows] + step - whole[rows]) * counts[rows])
+                beta[end - k, rows] = np.logaddexp(beta[end - k, rows], step)
+
 
-LONG_WORD = 40  # longer ones are not learned from: their products leave the range of a float
+LONG_WORD = 40  # the products of longer ones leave the range of a float, so they are learned from by logarithms
+
+
+@lru_cache(maxsize=1)
+def lattice_of(path: str) -> Lattice:
+    """Kept by a Python worker from task to task."""
+    return Lattice(pieces(path))
 
 
 def words_of(text: str) -> list[str]:
@@ -195,7 +224,7 @@ def by_length(words: list[str], block: int = 2048) -> Iterator[np.ndarray]:
 
 def _expect(model, langs: list[str], path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, p = Lattice(pieces(path)), model.value
+        lattice, p = lattice_of(path), model.value
         into, number = np.zeros_like(p), {x: i for i, x in enumerate(langs)}
         seen = False
         for batch in batches:
@@ -225,7 +254,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     model = np.full((len(vocabulary) + 1, len(langs)), 1.0 / len(vocabulary))
     model[-1] = 0.0
-    table_ = counted.where(F.length("word") < LONG_WORD).select(F.concat(F.lit(MARK), F.col("word")).alias("word"), "lang", "n")
+    table_ = counted.select(F.concat(F.lit(MARK), F.col("word")).alias("word"), "lang", "n")
     table_ = staged(table_.groupBy("word").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns")))  # at most one of each language
     for _ in range(rounds if langs else 0):
         shared = spark.sparkContext.broadcast(model)
@@ -239,42 +268,73 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
     return langs, model
 
 
+class _Known:
+    """Scores of what stands between blanks, kept by a Python worker as long as it works with one model.
+
+    When it is full, what was met since it was last full stays (half of the places at most).
+    """
+
+    def __init__(self, model: np.ndarray, langs: int, path: str) -> None:
+        self.lattice, self.p, self.langs = lattice_of(path), model, max(1, langs)
+        self.most = max(2000, min(FLUSH_WORDS, HELD_NUMBERS // self.langs))
+        self.number: dict[str, int] = {}
+        self.scores, self.sizes, self.met = np.zeros((1 << 12, self.langs)), np.zeros(1 << 12), np.zeros(1 << 12, dtype=bool)
+
+    def learn(self, chunks: list[str]) -> None:
+        found = [LETTERS.findall(c) for c in chunks]
+        words = list({MARK + w for f in found for w in f})
+        at, score = {w: i for i, w in enumerate(words)}, np.zeros((len(words), self.langs))
+        for rows in by_length(words):
+            score[rows] = self.lattice.forward([words[i] for i in rows], self.p)
+        number = self.number
+        while len(number) + len(chunks) > len(self.scores):
+            size = 2 * len(self.scores)
+            self.scores, self.sizes, self.met = np.resize(self.scores, (size, self.langs)), np.resize(self.sizes, size), np.resize(self.met, size)
+        for chunk, f in zip(chunks, found):
+            i = number[chunk] = len(number)
+            self.sizes[i] = len(f)
+            self.scores[i] = score[at[MARK + f[0]]] if len(f) == 1 else sum((score[at[MARK + w]] for w in f), np.zeros(self.langs))
+
+    def make_room(self) -> None:
+        if len(self.number) > self.most:
+            stay = [(c, i) for c, i in self.number.items() if self.met[i]][:self.most // 2]
+            rows = np.array([i for _, i in stay], dtype=np.int64)
+            self.scores[:len(rows)], self.sizes[:len(rows)] = self.scores[rows], self.sizes[rows]
+            self.number = {c: i for i, (c, _) in enumerate(stay)}
+            self.met[:] = False
+
+
+_KNOWN: dict[str, _Known] = {}
+
+
+def _known(token: str, model, langs: int, path: str) -> _Known:
+    if token not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[token] = _Known(model.value, langs, path)
+    return _KNOWN[token]
+
+
 def _predict(model, langs: list[str], path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, p = Lattice(pieces(path)), model.value
-        number: dict[str, int] = {}  # of what stands between blanks
-        scores, sizes = np.zeros((1 << 12, max(1, len(langs)))), np.zeros(1 << 12)
-
-        def learn(chunks: list[str]) -> None:
-            nonlocal scores, sizes
-            found = [LETTERS.findall(c) for c in chunks]
-            words = list({MARK + w for f in found for w in f})
-            at, score = {w: i for i, w in enumerate(words)}, np.zeros((len(words), scores.shape[1]))
-            for rows in by_length(words):
-                score[rows] = lattice.forward([words[i] for i in rows], p)
-            while len(number) + len(chunks) > len(scores):
-                scores, sizes = np.resize(scores, (2 * len(scores), scores.shape[1])), np.resize(sizes, 2 * len(sizes))
-            for chunk, f in zip(chunks, found):
-                i = number[chunk] = len(number)
-                sizes[i] = len(f)
-                scores[i] = score[at[MARK + f[0]]] if len(f) == 1 else sum((score[at[MARK + w]] for w in f), np.zeros(scores.shape[1]))
+    token = uuid.uuid4().hex  # of this model
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(token, model, len(langs), path)
         for batch in batches:
             names, best = [], []
             for at in range(0, len(batch), 256):
-                if len(number) > FLUSH_WORDS:
-                    number.clear()
+                known.make_room()
                 counted = [Counter(t.lower().split()) if t and langs else {} for t in batch.column(0)[at:at + 256].to_pylist()]
-                learn(list({c for of in counted for c in of if c not in number}))
+                known.learn(list({c for of in counted for c in of if c not in known.number}))
                 for of in counted:
-                    rows = np.fromiter(map(number.__getitem__, of), dtype=np.int64, count=len(of))
+                    rows = np.fromiter(map(known.number.__getitem__, of), dtype=np.int64, count=len(of))
                     n = np.fromiter(of.values(), dtype=np.float64, count=len(of))
-                    words = float(n @ sizes[rows])
+                    known.met[rows] = True
+                    words = float(n @ known.sizes[rows])
                     if not words:
                         names.append(UND)
                         best.append(0.0)
                         continue
-                    total = n @ scores[rows]
+                    total = n @ known.scores[rows]
                     i = int(np.argmax(total))
                     names.append(langs[i])
                     best.append(float(1.0 / np.exp((total - total[i]) / np.sqrt(words)).sum()))

@@ -93,3 +93,37 @@ def test_empty_and_unlabelled(spark):
     assert learned[0] == []
     assert {r.lang_pred for r in langid.identify(docs(spark), learned, ("doc_id",)).collect()} == {"und"}
     assert langid.identify(empty(spark), langid.train(docs(spark)), ("doc_id",)).count() == 0
+
+
+def test_long_words_are_learned_from_as_short_ones():
+    vocabulary = langid.pieces(public_tokenizers.path(langid.VOCABULARY))[:3000]
+    rng = np.random.default_rng(2)
+    p = np.vstack([rng.uniform(1e-4, 1e-2, (len(vocabulary), 2)), [[0.0, 0.0]]])
+    lattice = langid.Lattice(vocabulary)
+    pairs = [v for v in vocabulary if len(v) == 2 and v.isalpha() and langid.MARK not in v][:20]
+    words = [langid.MARK + "".join(rng.choice(pairs, 14)) for _ in range(3)]
+    counts = np.array([[2.0, 0.0], [1.0, 3.0], [0.0, 5.0]])
+    short, long = np.zeros_like(p), np.zeros_like(p)
+    lattice.expected(words, counts, p, short)
+    lattice._expected_long(words, counts, p, long)
+    assert np.allclose(short, long) and short.sum() > 0
+    very = np.zeros_like(p)
+    lattice.expected([langid.MARK + "".join(rng.choice(pairs, 1500))], np.array([[1.0, 2.0]]), p, very)
+    assert np.isfinite(very).all() and very[:, 0].sum() > 300
+    nowhere = np.zeros_like(p)
+    lattice.expected([langid.MARK + "一" * 50], np.ones((1, 2)), np.where(np.arange(len(p))[:, None] == 0, 0.0, p), nowhere)
+    assert np.isfinite(nowhere).all()
+
+
+def test_remembered_words_make_room():
+    vocabulary = langid.pieces(public_tokenizers.path(langid.VOCABULARY))
+    p = np.vstack([np.full((len(vocabulary), 2), 1e-4), [[0.0, 0.0]]])[:len(vocabulary)]
+    known = langid._Known(p, 2, public_tokenizers.path(langid.VOCABULARY))
+    known.most = 40
+    known.learn([f"{a}{b}" for a in "abcdefgh" for b in "uvwxyz"])
+    want = {c: known.scores[i].copy() for c, i in known.number.items()}
+    known.met[[known.number["au"], known.number["hz"]]] = True
+    known.make_room()
+    assert set(known.number) == {"au", "hz"} and all((known.scores[i] == want[c]).all() for c, i in known.number.items())
+    known.learn(["bu", "bv"])
+    assert all(np.allclose(known.scores[known.number[c]], want[c]) for c in ("bu", "bv", "au"))
