@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.ids import canonical_json, content_hash, is_blank
-from ledgerlens.operators.ordering import first_at_or_after, running_max
+from ledgerlens.operators.ordering import running_max
 from ledgerlens.operators.rule_checks import definition_reason
 from ledgerlens.operators.rules import RuleSet, compile_ruleset
 from ledgerlens.sources.contracts import violations
@@ -20,7 +20,8 @@ HASHED_FIELDS = (
     "approvedChangeRuleVersionId", "createdAt", "rules", "schemaVersion", "snapshotId", "version",
 )
 
-SPAN = 1 << 22
+# Arrival numbers in one chunk of the scan that carries the version on.
+SPAN = 1 << 17
 
 
 def unsigned_text(variant: Column) -> Column:
@@ -94,42 +95,17 @@ def accept_snapshots(validated: DataFrame) -> DataFrame:
     ).drop("__sound", "__all", "__current")
 
 
-def active_intervals(accepted: DataFrame, span: int = SPAN) -> DataFrame:
-    """(version, from_seq, to_seq): an event after from_seq and up to to_seq met this version."""
-    points = accepted.select(F.lit(0).alias("k"), F.col("arrival_seq").alias("at"), "version")
-    probes = points.select("k", F.col("at").alias("src"), (F.col("at") + 1).alias("at"))
-    following = first_at_or_after(points.select("k", "at"), probes, ["k"], span)
-    return (
-        points.withColumnRenamed("at", "src").join(following, ["k", "src"], "left")
-        .select("version", F.col("src").alias("from_seq"), F.col("nxt").alias("to_seq"))
-    )
-
-
 def with_active_version(events: DataFrame, accepted: DataFrame, span: int = SPAN) -> DataFrame:
     """Add ``ruleset_version``: the one active when the event arrived, NULL before the first.
 
-    The intervals are cut at multiples of ``span`` and matched by an equality join on
-    the piece, so the events are never compared with every version.
+    Accepted versions rise, so the one in force is the largest so far: snapshots take their places among the events, and a running
+    maximum in chunks of ``span`` arrival numbers carries it on.  A snapshot counts for events that arrive after it.
     """
-    last = events.agg(F.max("arrival_seq").alias("m")).first()["m"]
-    piece = F.floor(F.col("arrival_seq") / F.lit(span)).cast("long")
-    end = F.least(F.coalesce("to_seq", F.lit(last)), F.lit(last))
-    pieces = (
-        active_intervals(accepted, span)
-        .withColumn("__end", end).filter(F.col("__end") >= F.col("from_seq"))
-        .withColumn("__piece", F.explode(F.sequence(
-            F.floor(F.col("from_seq") / F.lit(span)).cast("long"),
-            F.floor(F.col("__end") / F.lit(span)).cast("long"))))
-        .select("__piece", "from_seq", "to_seq", F.col("version").alias("ruleset_version"))
-    )
-    joined = events.withColumn("__piece", piece).alias("e").join(
-        pieces.alias("r"),
-        (F.col("e.__piece") == F.col("r.__piece"))
-        & (F.col("arrival_seq") > F.col("from_seq"))
-        & (F.col("to_seq").isNull() | (F.col("arrival_seq") <= F.col("to_seq"))),
-        "left",
-    )
-    return joined.select("e.*", "ruleset_version").drop("__piece")
+    columns = events.columns
+    rows = events.withColumn("__at", F.col("arrival_seq") * 2).unionByName(
+        accepted.select((F.col("arrival_seq") * 2 + 1).alias("__at"), F.col("version").cast("long").alias("__version")), allowMissingColumns=True)
+    carried = running_max(rows.withColumn("__all", F.lit(0)), ["__all"], "__at", "__version", "ruleset_version", width=2 * span)
+    return carried.filter(F.col("__at") % 2 == 0).select(*columns, "ruleset_version")
 
 
 def load_rulesets(accepted: DataFrame, versions: Collection[int] | None = None) -> dict[int, RuleSet]:

@@ -208,6 +208,27 @@ def _(spark, sf):
     return timed.select("arrival_seq", "stream_time", history.late(stream_time="stream_time").alias("late"))
 
 
+@query("stream_time_invalid", """
+SELECT event_id AS arrival_seq, max(ms) OVER (PARTITION BY event_id % 12 ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS stream_time
+FROM (SELECT event_id, epoch_ms(date_trunc('second', ts)) AS ms FROM events WHERE event_id % 13 IN (0, 8, 9, 10))""")
+def _(spark, sf):
+    """Stream time of well-formed records; the damaged ones between them never move it."""
+    rows = parsed(spark, sf).filter("schema_valid").select("partition", "arrival_seq", "occurred_ms")
+    return running_max(rows, ["partition"], "arrival_seq", "occurred_ms", "stream_time").select("arrival_seq", "stream_time")
+
+
+@query("risk_skipped", """
+SELECT CASE WHEN event_id % 13 NOT IN (0, 8) THEN 'invalid' WHEN event_id * 4 < n THEN 'no_ruleset' ELSE 'accepted' END AS outcome, count(*) AS n
+FROM events, (SELECT count(*) AS n FROM events) GROUP BY 1""")
+def _(spark, sf):
+    """What became of raw records when the first rule set was loaded after a quarter of them."""
+    events = parsed(spark, sf)
+    n = events.count()
+    versioned = events.withColumn("ruleset_version", F.when(F.col("arrival_seq") * 4 >= n, F.lit(1).cast("long")))
+    out = risk.run_batch(versioned, {1: compile_ruleset(fixtures.ruleset_document())})
+    return metrics.count_by(out.dispositions, "outcome")
+
+
 def _dispositions(k: int) -> str:
     return oracle.with_(oracle.identity(k), "SELECT seq AS arrival_seq, outcome FROM outc")
 
@@ -1026,6 +1047,32 @@ def _(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99", "p999", "within_objective_percent")})
 
 
+@query("latency_summary_scales", """
+SELECT scale, event_type, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.999), 6) AS p999
+FROM (SELECT event_type, s.scale, CASE s.scale WHEN 'unit' THEN event_id * 7919 % 10007 / 10007.0 WHEN 'huge' THEN event_id * 7919 % 10007 * 99991.0 ELSE event_id % 3 END AS v
+  FROM events, (VALUES ('unit'), ('huge'), ('ties')) s(scale)) GROUP BY scale, event_type""")
+def _(spark, sf):
+    """Values below one, up to a thousand millions, and three values only, in brackets that are refined."""
+    n = (F.col("event_id") * 7919 % 10007).cast("double")
+    values = {"unit": n / 10007.0, "huge": n * 99991.0, "ties": (F.col("event_id") % 3).cast("double")}
+    rows = fixtures.table(spark, sf, "events").select("event_type", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("scale"), v.alias("v")) for k, v in values.items()])))
+    found = metrics.exact_quantiles(rows, ["scale", "event_type"], "v", {"p50": 0.5, "p95": 0.95, "p999": 0.999}, cells=20, limit=200)
+    return found.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p999")})
+
+
+@query("latency_target", """
+SELECT event_type, least(count(*) FILTER (WHERE event_id % 4 > 0 AND value <= 500) / nullif(count(*) FILTER (WHERE event_id % 4 > 0), 0), 1) >= 0.999
+    AND coalesce(count(*) FILTER (WHERE event_id % 9 = 0 AND value / 2 <= 500) / nullif(count(*) FILTER (WHERE event_id % 9 = 0), 0) >= 0.999, true) AS latency_target_met
+FROM events GROUP BY event_type UNION ALL SELECT 'outage', false WHERE (SELECT count(*) FROM events) > 0""")
+def _(spark, sf):
+    """By kind of event; one more group has events and no output at all."""
+    rows = fixtures.table(spark, sf, "events").select(
+        "event_type", F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("assessment"), F.when(F.col("event_id") % 9 == 0, F.col("value") / 2).alias("alert"))
+    outage = rows.select(F.lit("outage").alias("event_type"), F.lit(None).cast("double").alias("assessment"), F.lit(None).cast("double").alias("alert"))
+    return metrics.latency_target(rows.unionByName(outage), ["event_type"], "assessment", "alert")
+
+
 @query("throughput", """
 SELECT event_type, count(*) AS events, round(count(*) / ((max(epoch_us(ts) + CAST(round(value * 1000) AS BIGINT)) - min(epoch_us(ts))) / 1000000.0), 9) AS per_second,
   count(*) / ((max(epoch_us(ts) + CAST(round(value * 1000) AS BIGINT)) - min(epoch_us(ts))) / 1000000.0) >= 0.0008 AS target_met FROM events GROUP BY event_type""")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import metrics, notifications
+from ledgerlens.session import materialize
 from ledgerlens.sources import tables
 
 
@@ -100,6 +101,20 @@ def test_exact_quantiles_equal_the_builtin(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("limit,cells,accuracy", [(1, 4, 10_000), (40, 10, 100), (10**6, 500, 10_000)])
+def test_quantiles_of_refined_brackets(spark, limit, cells, accuracy):
+    kinds = {"unit": F.rand(1), "huge": F.rand(2) * 1e9, "one": F.lit(7.0), "few": F.floor(F.rand(3) * 3).cast("double"),
+             "spiky": F.when(F.rand(4) < 0.6, 5.0).otherwise(F.rand(5)), "negative": -F.exp(F.rand(6) * 40)}
+    df = materialize(spark.range(4000).select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in kinds.items()]))))
+    df = df.unionByName(spark.createDataFrame([(None, 1.0), (None, 2.0), ("none", None), ("single", 3.5)], "k string, v double"))
+    qs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = {r.k: [r[n] for n in qs] for r in metrics.exact_quantiles(df, ["k"], "v", qs, limit=limit, cells=cells, accuracy=accuracy).collect()}
+    want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", list(qs.values())).alias("p")).filter("k IS NULL OR k <> 'none'").collect()}
+    assert set(got) == set(want) and all(abs(x - y) <= 1e-9 * max(1, abs(y)) for k in want for x, y in zip(got[k], want[k]))
+    [row] = metrics.exact_quantiles(df.filter("k = 'few'"), [], "v", {"p": 0.5}, limit=1, cells=4).collect()
+    assert row.p == 1.0
+
+
 def test_throughput_rollout_and_tables(spark, tmp_path):
     df = spark.createDataFrame([("s", i * 100_000, i * 100_000 + 500_000) for i in range(11)], "n string, a long, b long")
     row = metrics.throughput(df, ["n"], "a", "b", 7).first()
@@ -122,6 +137,8 @@ def test_latency_target_needs_both_outputs(spark):
     rows = [("a", 100, 100)] * 999 + [("a", 900, 100)] + [("b", 100, 100)] * 998 + [("b", 100, 900)] * 2 + [("c", 100, None)]
     df = spark.createDataFrame(rows, "k string, assessment long, alert long")
     assert {r.k: r.latency_target_met for r in metrics.latency_target(df, ["k"], "assessment", "alert").collect()} == {"a": True, "b": False, "c": True}
+    silent = spark.createDataFrame([("none", None, None), ("alerts", None, 5)], "k string, assessment long, alert long")
+    assert [r.latency_target_met for r in metrics.latency_target(silent, ["k"], "assessment", "alert").collect()] == [False, False]
 
 
 def test_the_first_request_to_arrive_is_inserted(spark):
