@@ -16,7 +16,7 @@ from ledgerlens.operators.rule_checks import definition_reason
 from ledgerlens.operators.rules import compile_ruleset
 from ledgerlens.plans import fixtures, oracle, risk
 from ledgerlens.session import configure, ensure_checkpoint_dir, materialize
-from ledgerlens.sources import ingest, records, tables
+from ledgerlens.sources import ingest, records, stored, tables
 from ledgerlens.sources.contracts import violations
 from ledgerlens.streaming import delivery, online
 
@@ -712,6 +712,31 @@ def _(spark, sf):
     return governance.audit_trail(governance.audit_events(versions(spark, sf), decided(spark, sf)))
 
 
+def governance_tables(spark, sf) -> stored.Stored:
+    """The governance tables as stored versions: proposals in two parts, then what follows from them, then a write that never ended."""
+    root = f"{ensure_checkpoint_dir(spark)}/governance-{uuid.uuid4()}"
+    early = F.col("proposal_seq") % 2 == 0
+    proposed = fixtures.proposals(spark, sf)
+    tables = stored.Stored(spark, root).write({"proposals": proposed.filter(early)}).write(appended={"proposals": proposed.filter(~early)})
+    tables = tables.write({"versions": governance.propose(tables.table("proposals")), "decision_log": fixtures.decisions(spark, sf)})
+    tables = tables.write({"decided": governance.decide(tables.table("versions"), tables.table("decision_log"))})
+    tables.table("decided").limit(5).write.parquet(f"{root}/decided/unfinished")
+    return stored.Stored(spark, root)
+
+
+@query("governance_stored_decisions", _decisions_sql(100))
+def _(spark, sf):
+    return _decisions(governance_tables(spark, sf).table("decided"))
+
+
+@query("governance_stored_audit", oracle.with_(oracle.decided() + "," + _AUDIT, f"""
+SELECT actor, action, outcome, entity_id, at_seq, 'RULE_VERSION' AS entity_type,
+  {oracle.uuid3('AUDIT', "(action || ':' || entity_id || ':' || at_seq)")} AS audit_event_id FROM au"""))
+def _(spark, sf):
+    tables = governance_tables(spark, sf)
+    return governance.audit_events(tables.table("versions"), tables.table("decided"))
+
+
 @query("governance_rules_by_key", "SELECT p_partkey, p_name AS rule_key FROM part ORDER BY p_name, p_partkey")
 def _(spark, sf):
     rules = fixtures.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("rule_key"))

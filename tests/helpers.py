@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.rules import compile_ruleset
 
 BASE = {
-    "schemaVersion": 1, "eventId": "event-1", "transactionId": "tx-1", "customerId": "customer-1", "amountMinor": 10000,
-    "currency": "BRL", "occurredAt": "2026-01-01T00:01:00Z", "transactionType": "PURCHASE", "channel": "APP",
-    "merchantCountry": "BR", "deviceIdHash": "device-1", "traceId": "trace-1",
+    "schemaVersion": 1, "eventId": "evt-a0", "transactionId": "pay-a0", "customerId": "client-a", "amountMinor": 10000,
+    "currency": "BRL", "occurredAt": "2025-06-02T09:31:07Z", "transactionType": "PURCHASE", "channel": "APP",
+    "merchantCountry": "BR", "deviceIdHash": "dev-7f", "traceId": "tr-00",
 }
 MINUTE = 60
 T0 = int(datetime(2026, 1, 1, tzinfo=timezone.utc).timestamp())

@@ -66,12 +66,12 @@ GOOD = ([("e1", "SUSPICIOUS"), ("e2", "NOT_SUSPICIOUS"), ("e3", "SUSPICIOUS")],
 
 @pytest.mark.parametrize("assessed,alerted,failure", [
     (*GOOD, None),
-    (GOOD[0][:2], ["e1"], "missing assessments=1"),
-    (GOOD[0] + [("e9", "NOT_SUSPICIOUS")], GOOD[1], "unexpected assessments=1"),
-    (GOOD[0] + [("e1", "SUSPICIOUS")], GOOD[1], "duplicate assessments=1"),
-    (GOOD[0], ["e1"], "missing alerts=1"),
-    (GOOD[0], ["e1", "e2", "e3"], "unexpected alerts=1"),
-    (GOOD[0], ["e1", "e3", "e3"], "duplicate alerts=1"),
+    (GOOD[0][:2], ["e1"], "'missing_assessments': 1"),
+    (GOOD[0] + [("e9", "NOT_SUSPICIOUS")], GOOD[1], "'unexpected_assessments': 1"),
+    (GOOD[0] + [("e1", "SUSPICIOUS")], GOOD[1], "'duplicate_assessments': 1"),
+    (GOOD[0], ["e1"], "'missing_alerts': 1"),
+    (GOOD[0], ["e1", "e2", "e3"], "'unexpected_alerts': 1"),
+    (GOOD[0], ["e1", "e3", "e3"], "'duplicate_alerts': 1"),
 ])
 def test_reconciliation(spark, assessed, alerted, failure):
     def frame(rows, schema):

@@ -33,9 +33,9 @@ def test_fingerprint_covers_declared_fields_in_order(spark):
     df = spark.createDataFrame([{**BASE}]).withColumn("us", instant_micros(F.col("occurredAt"))).drop("occurredAt")
     df = df.withColumn("schemaVersion", F.col("schemaVersion").cast("int"))
     text = (
-        '{"schemaVersion":1,"eventId":"event-1","transactionId":"tx-1","customerId":"customer-1","amountMinor":10000,'
-        '"currency":"BRL","occurredAt":"2026-01-01T00:01:00Z","transactionType":"PURCHASE","channel":"APP",'
-        '"merchantCountry":"BR","deviceIdHash":"device-1","traceId":"trace-1"}')
+        '{"schemaVersion":1,"eventId":"evt-a0","transactionId":"pay-a0","customerId":"client-a","amountMinor":10000,'
+        '"currency":"BRL","occurredAt":"2025-06-02T09:31:07Z","transactionType":"PURCHASE","channel":"APP",'
+        '"merchantCountry":"BR","deviceIdHash":"dev-7f","traceId":"tr-00"}')
     assert df.select(ids.event_fingerprint(F.col("us"))).first()[0] == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
