@@ -188,6 +188,11 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def _letters(chunk: str) -> list[str]:
+    """The words of what stands between blanks; most often all of it."""
+    return [chunk] if chunk.isalpha() else LETTERS.findall(chunk)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}  # of what stands between blanks; its words are found once for all its occurrences
 
@@ -196,7 +201,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, chunks in counts.items():
             of: Counter = Counter()
             for chunk, times in chunks.items():
-                for w in LETTERS.findall(chunk):
+                for w in _letters(chunk):
                     of[w] += times
             lang += [x] * len(of)
             word += of.keys()
@@ -281,7 +286,7 @@ class _Known:
         self.scores, self.sizes, self.met = np.zeros((1 << 12, self.langs)), np.zeros(1 << 12), np.zeros(1 << 12, dtype=bool)
 
     def learn(self, chunks: list[str]) -> None:
-        found = [LETTERS.findall(c) for c in chunks]
+        found = [_letters(c) for c in chunks]
         words = list({MARK + w for f in found for w in f})
         at, score = {w: i for i, w in enumerate(words)}, np.zeros((len(words), self.langs))
         for rows in by_length(words):
