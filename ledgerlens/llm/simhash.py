@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import components, staged, table
+from ledgerlens.llm.common import components, forest, staged, table
 from ledgerlens.llm.substrings import repeated_cells, repeated_in, sketch_bits
 from ledgerlens.llm.textio import CACHE_WORDS
 
@@ -131,21 +131,6 @@ def shared_variants(fps: np.ndarray, bucket: int, bits: int) -> Iterator[tuple[n
             yield owner[rows], np.nonzero(np.concatenate(([True], variant[rows][1:] != variant[rows][:-1])))[0]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node but the smallest of its component, with that smallest one."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y, label = at[:len(a)], at[len(a):], np.arange(len(nodes))
-    while True:
-        low, new = np.minimum(label[x], label[y]), label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            rest = np.nonzero(label != np.arange(len(nodes)))[0]
-            return nodes[rest], nodes[label[rest]]
-        label = new
-
-
 def _link(bits: int, spanning: bool):
     """Edges of a bucket: a spanning forest of its stars, or the stars and the chains of their members."""
     def run(group: pa.Table) -> pa.Table:
@@ -404,6 +389,7 @@ def _without_near_duplicates(docs: DataFrame, key: str, text: str, tables: int,
     bitmap = spark.sparkContext.broadcast(repeated_cells(docs, text, bits, lambda: shingle_set, HELD_SHINGLES))
     sets = staged(rows.select("digest", "text").mapInArrow(_sets(bitmap, bits, least), "digest string, n int, shingles binary")
                   .dropDuplicates(["digest"]).join(distinct.select("digest", "node"), "digest").select("node", "n", "shingles"))
+    bitmap.destroy()  # nothing reads the texts for it again
     each = distinct.join(sets.select("node"), "node").select(F.posexplode("fps").alias("table", "fp"), "node")
     edges = close_pairs(each, sets.count(), 4, False)
     first = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least)

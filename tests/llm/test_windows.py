@@ -4,13 +4,15 @@ import random
 import re
 
 import numpy as np
+import pytest
 from fixtures import LONG, SENTENCE, docs, edited, empty, sentences
 
 from ledgerlens.llm import decontaminate, substrings
-from ledgerlens.llm.common import components
+from ledgerlens.llm.common import AT_ONCE, components, forest
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most,kind", [(AT_ONCE, "long"), (30, "long"), (0, "long"), (AT_ONCE, "string")])
+def test_components(spark, most, kind):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (2000, 1), (2000, 7)]
     parent = {x: x for e in edges for x in e}
@@ -24,10 +26,18 @@ def test_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges + [(None, 3), (4, None)], "a long, b long")
-    got = {r.node: r.component for r in components(df, "a", "b").collect()}
+    if kind == "string":  # of equal width, so that their order is that of the numbers
+        df = df.selectExpr("lpad(a, 5, '0') a", "lpad(b, 5, '0') b")
+    got = {int(r.node): int(r.component) for r in components(df, "a", "b", most).collect()}
     assert got == {x: find(x) for x in got} and set(got) == {x for a, b in edges if a != b for x in (a, b)}
 
 
+def test_forest_of_a_long_path_in_random_order():
+    names = np.random.default_rng(3).permutation(200_000)
+    node, low = forest(names[1:], names[:-1])
+    assert (low == 0).all() and sorted(node.tolist()) == list(range(1, 200_000))
+
+
 def plain_removal(rows):
     """Rows as (id or -1, text), judged on the input in order of id, then text hash (unique ids here), then start."""
     seen, out = set(), {}
