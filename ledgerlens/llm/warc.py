@@ -84,7 +84,7 @@ def record(payload: str = "payload") -> Column:
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, file_records: int = 4096) -> None:
     """Archives of ``pages`` (id, url, captured, payload) under ``path``."""
-    plain = pages.withColumn("payload", F.coalesce("payload", F.lit("")))
+    plain = pages.select("id", "url", "captured", F.coalesce("payload", F.lit("")).alias("payload"))
     (with_references(plain, min_bytes).select(record().alias("value"))
      .write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path))
 

@@ -23,7 +23,8 @@ def pages(spark, rows=PAGES):
 
 def test_archives_round_trip(spark, tmp_path):
     df = pages(spark).select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload"),
-                             F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_700_000_000).alias("captured"))
+                             F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_700_000_000).alias("captured"),
+                             *[F.lit("clash").alias(c) for c in ("last", "digest", "second", "bytes", "refers_to", "value")])
     warc.write(df, f"{tmp_path}/w", 0, 3)
     got = warc.capture_histories(spark, f"{tmp_path}/w").collect()
     last = {}
