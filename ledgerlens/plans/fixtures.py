@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The rows of a table dealt over all tasks by their key.
+
+    A file may be one row group, so one task; making and parsing records from it is then not left to that task.  Only the columns
+    that are asked for are shuffled.
+    """
+    return table(spark, sf_dir, name).repartition(key)
+
+
 def transactions(spark: SparkSession, sf_dir: str, time_divisor: int = 1) -> DataFrame:
     """Parsed-event rows with replays and conflicts, in a fixed arrival order."""
     events = table(spark, sf_dir, "events")
@@ -27,7 +36,7 @@ def transactions(spark: SparkSession, sf_dir: str, time_divisor: int = 1) -> Dat
         F.min(F.expr("unix_micros(cast(ts as timestamp))")).alias("t0"), F.count("*").alias("n")
     ).withColumn("one", F.lit(1))
     base = (
-        events.select("event_id", "user_id", "value", F.expr("unix_micros(cast(ts as timestamp))").alias("us"),
+        spread(spark, sf_dir, "events", "event_id").select("event_id", "user_id", "value", F.expr("unix_micros(cast(ts as timestamp))").alias("us"),
                       F.lit(1).alias("one"))
         .join(F.broadcast(scale), "one")
         .withColumn("ms", F.expr("us div 1000"))
@@ -133,7 +142,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("string"),
         F.when(kind == 7, ',"note":"x"').when(kind == 8, ',"merchantCategory":"5411"').otherwise(""),
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(spark, sf_dir, "events", "event_id").select(
         F.when(kind == 9, "other").when(kind == 10, F.lit(None).cast("string")).otherwise(
             F.concat(F.lit("txn-"), F.col("event_id").cast("string"))).alias("key"),
         F.when(kind == 11, "not json").when(kind == 12, F.lit(None).cast("string")).otherwise(body).alias("value"),
@@ -151,7 +160,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = F.when(key % 17 == 5, '{"type":"SUM_WINDOW"}').otherwise(F.format_string(
         '{"amountMinor":%s,"currency":"BRL","type":"AMOUNT_THRESHOLD"}',
         F.round(F.col("o_totalprice") * 100).cast("long").cast("string")))
-    return table(spark, sf_dir, "orders").select(
+    return spread(spark, sf_dir, "orders", "o_orderkey").select(
         F.concat(F.lit("head-"), head).alias("head_key"),
         F.concat(F.lit("rule-"), head, F.lit("-"), (key % 3).cast("string")).alias("rule_id"),
         F.concat(F.lit("ver-"), key.cast("string")).alias("rule_version_id"),
@@ -207,7 +216,7 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
     kind = F.when(F.col("event_type").isin("view", "signup"), "CLAIM").when(
         F.col("event_type") == "click", "SENT").otherwise("FAILED")
-    return table(spark, sf_dir, "events").select(
+    return spread(spark, sf_dir, "events", "event_id").select(
         F.concat(F.lit("req-"), F.expr("event_id div 8").cast("string")).alias("notificationRequestId"),
         eid.alias("at"), kind.alias("kind"),
         F.when(kind != "CLAIM", F.expr("cast((event_id % 8) div 3 + 1 as int)")).alias("attempt"),
