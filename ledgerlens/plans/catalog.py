@@ -928,7 +928,8 @@ def _checked(contract: str, sent: DataFrame) -> DataFrame:
 
 def delivered(spark, sf):
     """The delivery log with results; every claim is a sound request."""
-    return shared("delivered", lambda: notifications.with_results(delivery.delivery_log(fixtures.delivery_log(spark, sf))[0]), spark, sf)
+    return shared("delivered", lambda: notifications.with_results(
+        materialize(delivery.delivery_log(fixtures.delivery_log(spark, sf))[0])), spark, sf)
 
 
 @query("notification_results", _RESULT_RECORDS)
