@@ -8,6 +8,7 @@ REJECT), approver.  A head is one independent rule set.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -109,10 +110,7 @@ def decide(versions: DataFrame, decisions: DataFrame, *, max_rules: int = MAX_RU
         *_FOLD_COLUMNS, F.lit("REFUSED").alias("outcome"), F.when(unknown, UNKNOWN_VERSION).otherwise(UNKNOWN_DECISION).alias("reason"),
         F.lit(None).cast("long").alias("ruleset_version"), F.lit(None).cast("array<string>").alias("items"))
     log = met.filter(~unknown & word).withColumn("__own", F.col("author").eqNullSafe(F.col("approver")))
-    open_ = log.filter(~F.col("__own"))
-    tries = open_.groupBy("rule_version_id").agg((F.count("*") > 1).alias("__again"))
-    folded = materialize(_fold_blocks(
-        open_.join(tries, "rule_version_id"), max_rules, max_bytes, block))
+    folded = materialize(_fold_blocks(log.filter(~F.col("__own")), max_rules, max_bytes, block))
     settled = folded.filter(F.col("outcome") == "SUCCESS").groupBy("rule_version_id").agg(
         F.min("decision_seq").alias("__settled"))
     own = log.filter("__own").join(settled, "rule_version_id", "left").withColumn(
@@ -133,7 +131,8 @@ _FOLD_COLUMNS = ("head_key", "decision_seq", "rule_version_id", "rule_id", "chan
 # What a block starts from, and what it did to the active set, in order of the last effective action on each rule.
 _ITEM = "struct<rule:string,vid:string,size:int>"
 _START = f"head_key string, block long, items array<{_ITEM}>, version long, settled array<string>"
-_DONE = f"head_key string, block long, actions array<{_ITEM}>, approved long, settled array<string>"
+# Rounds after which the answers of blocks that were folded again are written in place of the earlier ones.
+_MERGE_ROUNDS = 8
 
 
 def _fold_blocks(log: DataFrame, max_rules: int, max_bytes: int, width: int) -> DataFrame:
@@ -141,46 +140,84 @@ def _fold_blocks(log: DataFrame, max_rules: int, max_bytes: int, width: int) ->
 
     A block's effect on the active set is small and composes: untouched rules keep their places, touched ones leave, and those last
     upserted follow at the end.  Only which approvals are denied depends on the set a block starts from.  So blocks are folded from
-    a guess, their effects are composed along the head, and blocks that turn out to start from something else are folded again,
-    until none does; the first wrong block is right after every round, and denials are rare, so a few rounds do.
+    a guess (every first approval of a version took effect), their effects are composed along the head, and blocks that turn out to
+    start from something else are folded again, until none does; the first wrong block is right after every round, and denials are
+    rare, so a few rounds do.  The answers come from the same walk, with versions counted from the block's start.
     The composition walks one narrow row per block, not decisions.
     """
-    log = materialize(log.select(*_FOLD_COLUMNS, "__bytes", "__again", F.floor(F.col("decision_seq") / F.lit(width)).cast("long").alias("block")))
-    spark, blocks = log.sparkSession, log.select("head_key", "block").distinct()
+    # an order without a number comes before all others
+    of_block = F.coalesce(F.floor(F.col("decision_seq") / F.lit(width)).cast("long"), F.lit(-(1 << 62)))
+    log = log.select(*_FOLD_COLUMNS, "__bytes", of_block.alias("block"))
+    tries = log.groupBy("rule_version_id").agg(
+        F.when(F.min("block") < F.max("block"), 2).when(F.count("*") > 1, 1).otherwise(0).alias("__again"),  # 2: in more than one block
+        F.min("decision_seq").alias("__first"))
+    log = materialize(log.join(tries, "rule_version_id"))
+    spark = log.sparkSession
     low, high = log.agg(F.min("block"), F.max("block")).first()
     if low == high:  # no head has a second block
-        return _outcomes(log, spark.createDataFrame([], _START), max_rules, max_bytes)
-    again = materialize(log.filter("__again").select("head_key", "block", "rule_version_id"))
-    starts = blocks.select("head_key", "block", F.array().cast(f"array<{_ITEM}>").alias("items"), F.lit(0).cast("long").alias("version"),
-                           F.array().cast("array<string>").alias("settled"))
-    effects, used, todo = None, None, log
+        alone = _folded(log, spark.createDataFrame([], _START), max_rules, max_bytes)
+        return alone.filter("outcome IS NOT NULL").select(*_ANSWER_COLUMNS)
+    counts = materialize(log.groupBy("head_key", "block").count())
+    again = materialize(log.filter("__again = 2").select("head_key", "block", "rule_version_id", F.floor(F.col("__first") / F.lit(width)).alias("__of")))
+    starts = materialize(_with_settled(_composed(_first_effects(log), max_rules), again))
+    used, effects, answers, todo, rounds = _marks(starts, counts), None, None, log, 0
     while True:
-        fresh = materialize(_effects(todo, starts, max_rules, max_bytes))
-        effects = fresh if effects is None else materialize(
-            effects.join(fresh.select("head_key", "block"), ["head_key", "block"], "left_anti").unionByName(fresh))
-        before = used if used is not None else _marks(starts, width)
+        fresh = materialize(_folded(todo, starts, max_rules, max_bytes))
+        did = fresh.filter("outcome IS NULL").select("head_key", "block", "actions", "approved", "settled")
+        if effects is None:
+            effects, answers = materialize(did), fresh
+        else:
+            redone = did.select("head_key", "block")
+            effects = materialize(effects.join(redone, ["head_key", "block"], "left_anti").unionByName(did))
+            answers = answers.join(redone, ["head_key", "block"], "left_anti").unionByName(fresh)
+        rounds += 1
+        if rounds % _MERGE_ROUNDS == 0:
+            answers = materialize(answers)
+        before = used
         earlier = effects.select("head_key", F.col("block").alias("__of"), F.explode("settled").alias("rule_version_id"))
-        settled = again.join(earlier, ["head_key", "rule_version_id"]).filter("__of < block").groupBy("head_key", "block").agg(
-            F.sort_array(F.collect_set("rule_version_id")).alias("settled"))  # some of the block's own versions
-        starts = materialize(_composed(effects).join(settled, ["head_key", "block"], "left").withColumn(
-            "settled", F.coalesce("settled", F.array().cast("array<string>"))))
-        used = _marks(starts, width)
+        met = again.drop("__of").join(earlier, ["head_key", "rule_version_id"])
+        starts = materialize(_with_settled(_composed(effects), met))
+        used = _marks(starts, counts)
         changed = materialize(used.join(before, ["head_key", "block", "mark"], "left_anti").select("head_key", "block"))
         if changed.isEmpty():
-            return _outcomes(log, starts, max_rules, max_bytes)
+            begun = starts.select("head_key", "block", F.col("version").alias("__from"))
+            return answers.filter("outcome IS NOT NULL").join(begun, ["head_key", "block"]).withColumn(
+                "ruleset_version", F.col("ruleset_version") + F.col("__from")).select(*_ANSWER_COLUMNS)
         todo = log.join(changed, ["head_key", "block"], "left_semi")
         starts = starts.join(changed, ["head_key", "block"], "left_semi")
 
 
-def _marks(starts: DataFrame, width: int) -> DataFrame:
-    """A start as one number.  The version only counts in digits, unless a block may gain one."""
-    now, then = F.length(F.col("version").cast("string")), F.length((F.col("version") + width).cast("string"))
-    return starts.select("head_key", "block", F.xxhash64("items", "settled", F.when(now == then, -now).otherwise(F.col("version"))).alias("mark"))
+def _first_effects(log: DataFrame) -> DataFrame:
+    """What blocks would do if the first decision on every version took effect."""
+    first = (F.col("decision") == "APPROVE") & (F.col("decision_seq") == F.col("__first"))
+    upsert = F.col("change_type") == "UPSERT"
+    action = F.struct(F.col("rule_id").alias("rule"), F.when(upsert, F.col("rule_version_id")).alias("vid"),
+                      F.when(upsert, F.col("__bytes")).otherwise(0).cast("int").alias("size"))
+    last = log.groupBy("head_key", "block", "rule_id").agg(
+        F.max(F.when(first, F.struct("decision_seq", action.alias("action")))).alias("last"), F.count_if(first).alias("n"))
+    return last.groupBy("head_key", "block").agg(
+        F.transform(F.sort_array(F.collect_list("last")), lambda x: x["action"]).alias("actions"), F.sum("n").alias("approved"))
+
+
+def _with_settled(starts: DataFrame, met: DataFrame) -> DataFrame:
+    """Adds which of the block's own versions were settled by blocks before it; ``met`` has head_key, block, rule_version_id, __of."""
+    settled = met.filter("__of < block").groupBy("head_key", "block").agg(F.sort_array(F.collect_set("rule_version_id")).alias("settled"))
+    return starts.join(settled, ["head_key", "block"], "left").withColumn("settled", F.coalesce("settled", F.array().cast("array<string>")))
+
+
+def _marks(starts: DataFrame, counts: DataFrame) -> DataFrame:
+    """A start as one number.  The version only counts in digits, unless the block may gain one."""
+    now, then = F.length(F.col("version").cast("string")), F.length((F.col("version") + F.col("count")).cast("string"))
+    return starts.join(counts, ["head_key", "block"]).select(
+        "head_key", "block", F.xxhash64("items", "settled", F.when(now == then, -now).otherwise(F.col("version"))).alias("mark"))
+
 
+def _composed(effects: DataFrame, most: int | None = None) -> DataFrame:
+    """What each block starts from, given the effects of those before it: one pass over block rows in order.
 
-def _composed(effects: DataFrame) -> DataFrame:
-    """What each block starts from, given the effects of those before it: one pass over block rows in order."""
-    ordered = effects.drop("settled").repartition("head_key").sortWithinPartitions("head_key", "block")
+    With ``most`` the effects are a guess, so a set is neither emptied nor grown beyond that.
+    """
+    ordered = effects.select("head_key", "block", "actions", "approved").repartition("head_key").sortWithinPartitions("head_key", "block")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, active, version = None, {}, 0
@@ -191,6 +228,9 @@ def _composed(effects: DataFrame) -> DataFrame:
                     head, active, version = key, {}, 0
                 rows.append((key, block, list(active.values()), version))
                 for action in actions:
+                    size = len(active) - (action["rule"] in active) + (action["vid"] is not None)
+                    if most is not None and not 0 < size <= most:
+                        continue
                     active.pop(action["rule"], None)
                     if action["vid"] is not None:
                         active[action["rule"]] = action
@@ -202,109 +242,111 @@ def _composed(effects: DataFrame) -> DataFrame:
     return ordered.mapInArrow(walk, _START.removesuffix(", settled array<string>"))
 
 
+@cache
+def _order_digits(n: int) -> int:
+    return sum(len(str(i)) for i in range(n))
+
+
 class _Set:
     """The active set while a block is folded."""
 
     def __init__(self, max_rules: int, max_bytes: int) -> None:
         self.max_rules, self.max_bytes = max_rules, max_bytes
         self.active: dict[str, tuple[str, int]] = {}
-        self.version = self.approved = 0
+        self.version = self.approved = self.size = 0
         self.settled: set[str] = set()
         self.touched: dict[str, tuple[str | None, int]] = {}
         self.again: list[str] = []
 
-    def answer(self, vid: str, rule: str, change: str, decision: str, size: int, again: bool) -> tuple:
+    def begin(self, items: list[dict], version: int, settled: list[str]) -> None:
+        self.active = {x["rule"]: (x["vid"], x["size"]) for x in items}
+        self.version, self.settled, self.size = version, set(settled), sum(s for _, s in self.active.values())
+
+    def answer(self, vid: str, rule: str, change: str, decision: str, size: int, again: int) -> tuple:
+        """Outcome, reason, approvals of the block so far and items."""
         if vid in self.settled:
             return "DENIED", ALREADY_DECIDED, None, None
         if decision == "APPROVE":
             # The changed rule leaves its place and, unless retired, joins at the end.
-            after = {r: v for r, v in self.active.items() if r != rule}
-            if change == "UPSERT":
-                after[rule] = (vid, size)
-            if not after:
+            old, upsert = self.active.get(rule), change == "UPSERT"
+            n = len(self.active) - (old is not None) + upsert
+            if not n:
                 return "DENIED", EMPTY_SET, None, None
-            if len(after) > self.max_rules:
+            if n > self.max_rules:
                 return "REFUSED", TOO_MANY_RULES, None, None
-            total = _ENVELOPE_BYTES + len(vid.encode()) + len(str(self.version + 1)) + len(after) - 1
-            total += sum(s + len(str(i)) for i, (_, s) in enumerate(after.values()))
+            sizes = self.size - (old[1] if old else 0) + (size if upsert else 0)
+            total = _ENVELOPE_BYTES + len(vid.encode()) + len(str(self.version + self.approved + 1)) + n - 1 + sizes + _order_digits(n)
             if total > self.max_bytes:
                 return "REFUSED", TOO_MANY_BYTES, None, None
-            self.active, self.version, self.approved = after, self.version + 1, self.approved + 1
+            self.active.pop(rule, None)
             self.touched.pop(rule, None)
-            self.touched[rule] = after.get(rule, (None, 0))
+            self.touched[rule] = (vid, size) if upsert else (None, 0)
+            if upsert:
+                self.active[rule] = (vid, size)
+            self.size, self.approved = sizes, self.approved + 1
         if again:
             self.settled.add(vid)
-            self.again.append(vid)
-        return ("SUCCESS", None, self.version, [v for v, _ in self.active.values()]) if decision == "APPROVE" else ("SUCCESS", None, None, None)
-
-
-_ROW = ("head_key", "block", "rule_version_id", "rule_id", "change_type", "decision", "__bytes", "__again")
+            if again == 2:
+                self.again.append(vid)
+        return ("SUCCESS", None, self.approved, [v for v, _ in self.active.values()]) if decision == "APPROVE" else ("SUCCESS", None, None, None)
+
+
+_ROW = ("rule_version_id", "rule_id", "change_type", "decision", "__bytes", "__again")
+_ANSWER_COLUMNS = (*_FOLD_COLUMNS, "outcome", "reason", "ruleset_version", "items")
+
+
+def _folded(log: DataFrame, starts: DataFrame, max_rules: int, max_bytes: int) -> DataFrame:
+    """The answer to every decision, each block from its start (versions counted from there), and one row per block, without an
+    outcome, with what the block did to its set."""
+    begun = starts.select("head_key", "block", F.col("items").alias("__items"), "version", F.col("settled").alias("__settled"), F.lit(True).alias("__start"))
+    rows = log.withColumn("__start", F.lit(False)).unionByName(begun, allowMissingColumns=True).drop("__first")
+    ordered = rows.repartition("head_key", "block").sortWithinPartitions("head_key", "block", F.desc("__start"), "decision_seq")
+    kept = [f for f in ordered.schema.fields if f.name in (*_FOLD_COLUMNS, "block")]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept] + [
+        T.StructField("outcome", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("ruleset_version", T.LongType()),
+        T.StructField("items", T.ArrayType(T.StringType())), *T.StructType.fromDDL(
+            f"actions array<{_ITEM}>, approved long, settled array<string>").fields])
+    names = [f.name for f in schema.fields]
+    texts = pa.list_(pa.string())
+    answer_types = [pa.string(), pa.string(), pa.int64(), texts]
+    effect_types = [pa.list_(pa.struct([("rule", pa.string()), ("vid", pa.string()), ("size", pa.int32())])), pa.int64(), texts]
 
-
-def _with_starts(log: DataFrame, starts: DataFrame) -> DataFrame:
-    """Rows of a block behind one row that says what it starts from."""
-    rows = log.withColumn("__start", F.lit(False)).unionByName(starts.withColumn("__start", F.lit(True)), allowMissingColumns=True)
-    return rows.repartition("head_key", "block").sortWithinPartitions("head_key", "block", F.desc("__start"), "decision_seq")
-
-
-def _folds(batch: pa.RecordBatch, state: dict, max_rules: int, max_bytes: int) -> Iterator[tuple[int, tuple | None, _Set | None]]:
-    """(row, its answer, the block that ended before it); ``state`` carries the open block over batches."""
-    columns = [batch.column(c).to_pylist() for c in (*_ROW, "__start")]
-    begun = {c: batch.column(c) for c in ("items", "version", "settled")}
-    for i, (head, block, *row, start) in enumerate(zip(*columns)):
-        ended = None
-        if state.get("key") != (head, block):
-            ended = state.get("set")
-            state["key"], state["set"], state["last"] = (head, block), _Set(max_rules, max_bytes), state.get("key")
-        at = state["set"]
-        if start:
-            at.active = {x["rule"]: (x["vid"], x["size"]) for x in begun["items"][i].as_py()}
-            at.version, at.settled = begun["version"][i].as_py(), set(begun["settled"][i].as_py())
-            yield i, None, ended
-        else:
-            yield i, at.answer(*row), ended
-
-
-def _effects(log: DataFrame, starts: DataFrame, max_rules: int, max_bytes: int) -> DataFrame:
-    """What each block does to the active set it is given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        item = pa.struct([("rule", pa.string()), ("vid", pa.string()), ("size", pa.int32())])
+        of, at = None, None
 
-        def told(key: tuple, done: _Set) -> pa.RecordBatch:
-            actions = [{"rule": r, "vid": v, "size": s} for r, (v, s) in done.touched.items()]
+        def told(ended: list[tuple[tuple, _Set]], like: pa.Schema) -> pa.RecordBatch:
+            n = len(ended)
+            own = {"head_key": pa.array([k[0] for k, _ in ended], pa.string()), "block": pa.array([k[1] for k, _ in ended], pa.int64())}
+            did = [[[{"rule": r, "vid": v, "size": s} for r, (v, s) in x.touched.items()] for _, x in ended],
+                   [x.approved for _, x in ended], [x.again for _, x in ended]]
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([actions], pa.list_(item)),
-                 pa.array([done.approved], pa.int64()), pa.array([done.again], pa.list_(pa.string()))],
-                names=["head_key", "block", "actions", "approved", "settled"])
+                [own[f.name] if f.name in own else pa.nulls(n, like.field(f.name).type) for f in kept] + [pa.nulls(n, t) for t in answer_types]
+                + [pa.array(d, t) for d, t in zip(did, effect_types)], names=names)
 
+        like = None
         for batch in batches:
-            for _, _, ended in _folds(batch, state, max_rules, max_bytes):
-                if ended is not None:
-                    yield told(state["last"], ended)
-        if state:
-            yield told(state["key"], state["set"])
-
-    return _with_starts(log, starts).mapInArrow(run, _DONE)
-
-
-def _outcomes(log: DataFrame, starts: DataFrame, max_rules: int, max_bytes: int) -> DataFrame:
-    """The answer to every decision, each block from its start."""
-    ordered = _with_starts(log, starts)
-    kept = [f for f in ordered.schema.fields if f.name in _FOLD_COLUMNS]
-    schema = T.StructType(kept + [
-        T.StructField("outcome", T.StringType()), T.StructField("reason", T.StringType()),
-        T.StructField("ruleset_version", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
-    ])
-    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        for batch in batches:
-            found = [(i, answer) for i, answer, _ in _folds(batch, state, max_rules, max_bytes) if answer is not None]
-            rows = batch.take(pa.array([i for i, _ in found], pa.int64()))
-            arrays = [rows.column(f.name) for f in kept] + [pa.array([a[k] for _, a in found], type=t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+            like, begins = batch.schema, [batch.column(c) for c in ("__items", "version", "__settled")]
+            found, answers, ended = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("head_key", "block", "__start", *_ROW)]
+            for i, (head, block, start, *row) in enumerate(zip(*columns)):
+                if at is None or block != of[1] or head != of[0]:
+                    if at is not None:
+                        ended.append((of, at))
+                    of, at = (head, block), _Set(max_rules, max_bytes)
+                if start:
+                    at.begin(*[c[i].as_py() for c in begins])
+                else:
+                    found.append(i)
+                    answers.append(at.answer(*row))
+            if found:
+                mine = batch.take(pa.array(found, pa.int64())) if len(found) < batch.num_rows else batch
+                yield pa.RecordBatch.from_arrays(
+                    [mine.column(f.name) for f in kept] + [pa.array([a[k] for a in answers], type=t) for k, t in enumerate(answer_types)]
+                    + [pa.nulls(len(found), t) for t in effect_types], names=names)
+            if ended:
+                yield told(ended, like)
+        if at is not None:
+            yield told([(of, at)], like)
 
     return ordered.mapInArrow(run, schema)
 

@@ -121,3 +121,15 @@ def test_blocks_equal_the_plain_fold(spark, seed, limits):
         assert outcomes(decide(spark, v, log, block=block, **limits)) == want
     versions_ = [r.ruleset_version for r in decide(spark, v, log, block=23, **limits).orderBy("decision_seq").collect()]
     assert [x for x in versions_ if x is not None] == list(range(1, 1 + sum(x is not None for x in versions_)))
+
+
+@pytest.mark.parametrize("limits", [{}, {"block": 40}])
+def test_a_log_without_surprises_is_folded_once(spark, monkeypatch, limits):
+    """Blocks start from what first approvals lead to, so they are only folded again where a denial says otherwise."""
+    n, folds, folded = 200, [], governance._folded
+    v = propose(spark, [(f"v{i}", f"r{i % 5}", "RETIRE" if i % 7 == 6 else "UPSERT", "ann") for i in range(n)])
+    monkeypatch.setattr(governance, "_folded", lambda log, *rest: folds.append(log.select("head_key", "block").distinct().count()) or folded(log, *rest))
+    got = outcomes(decide(spark, v, [(f"v{i}", "APPROVE", "bob") for i in range(n)], **limits))
+    assert all(o == "SUCCESS" for o, *_ in got)
+    # the blocks in which the version gains a digit may be walked twice
+    assert folds[0] == (5 if limits else 1) and len(folds) == 1
