@@ -62,7 +62,7 @@ def evaluated(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     ruleset = compile_ruleset(fixtures.ruleset_document())
 
     def build() -> DataFrame:
-        accepted = resolved(spark, sf_dir, k).filter("outcome = 'accepted'")
+        accepted = risk.accepted_events(resolved(spark, sf_dir, k))
         return assessment.evaluate(history.with_history(accepted, ruleset.windows()), {1: ruleset})
 
     return shared("evaluated", build, spark, sf_dir, k)

@@ -93,6 +93,13 @@ def resolve_identity(
     )
 
 
+def accepted_events(resolved: DataFrame) -> DataFrame:
+    """What the evaluation reads of accepted events; the rest of a row is not carried through counting."""
+    return resolved.filter(F.col("outcome") == "accepted").select(
+        "arrival_seq", "eventId", "transactionId", "customerId", "amountMinor", "currency",
+        "occurred_us", "occurred_ms", "stream_time_2", "ruleset_version", "received_us", "traceId")
+
+
 def run_batch(
     events: DataFrame,
     rulesets: Mapping[int, RuleSet],
@@ -115,10 +122,7 @@ def run_batch(
     events = with_bucket(events).withColumn("active", F.col("ruleset_version").isNotNull())
     resolved = keep("resolved", resolve_identity(events, width=width, fold_limit=fold_limit))
     windows = set().union(*(r.windows() for r in rulesets.values()))
-    accepted = resolved.filter(F.col("outcome") == "accepted").select(
-        "arrival_seq", "eventId", "transactionId", "customerId", "amountMinor", "currency",
-        "occurred_us", "occurred_ms", "stream_time_2", "ruleset_version", "received_us", "traceId",
-    )
+    accepted = accepted_events(resolved)
     evaluated = assessment.evaluate(history.with_history(accepted, windows, **history_options), rulesets)
     assessed = keep("assessment", assessment.assessments(evaluated))
     alerted = assessment.alerts(assessed)

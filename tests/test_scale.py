@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import notifications
-from ledgerlens.plans import fixtures
+from ledgerlens.plans import catalog, fixtures
 from ledgerlens.sources.contracts import violations
 
 
@@ -55,3 +55,8 @@ def test_requests_are_judged_by_their_contract_whatever_their_form(spark):
     found = notifications.check_requests(rows).select("i", "key", F.col("notificationRequestId").alias("rid"), F.col("reject_reason").alias("reason"))
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
     assert {r.i for r in found.where("reason IS NULL").collect()} >= {0, 1, 2}
+
+
+def test_only_what_is_evaluated_is_counted(spark, one_group):
+    """Counting passes whole rows through Python, so they are narrow there."""
+    assert not {"payload_hash", "value", "deviceIdHash", "key", "schema_valid"} & set(catalog.evaluated(spark, one_group, 60).columns)
