@@ -32,7 +32,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, forest, staged, table
@@ -46,6 +46,7 @@ TABLES, NEAR_SHINGLE, NEAR = 5, 5, 0.8
 CENTRES, SLACK = 8, 1e-6
 BATCH_TEXTS, SLICE_TEXTS = 1000, 256  # texts a worker is given, and works on, at once
 HELD_SHINGLES = 1 << 20
+MARK_BITS = 256  # a power of two
 
 
 # Bucket label of each bit: six bits that spread single and double flips evenly, then random ones.
@@ -131,28 +132,44 @@ def shared_variants(fps: np.ndarray, bucket: int, bits: int) -> Iterator[tuple[n
             yield owner[rows], np.nonzero(np.concatenate(([True], variant[rows][1:] != variant[rows][:-1])))[0]
 
 
+def told_in(a: np.ndarray, b: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Of the buckets in which a pair within ``RADIUS`` bits meets, one: that of ``a`` with the two lowest differing bits flipped."""
+    def lowest(x: np.ndarray) -> np.ndarray:
+        return x & (~x + np.uint64(1))
+
+    differ = a ^ b
+    one = lowest(differ)
+    return bucket_of(a ^ one ^ lowest(differ ^ one), shares)
+
+
 def _link(bits: int, spanning: bool):
-    """Edges of a bucket: a spanning forest of its stars, or the stars and the chains of their members."""
+    """Edges of a bucket: a spanning forest of its stars, or for each node the smallest one that the bucket tells of.
+
+    The smallest node within ``RADIUS`` bits is the centre of every star that it shares with a node, so it is told of in one bucket.
+    """
     def run(group: pa.Table) -> pa.Table:
         fps = np.frombuffer(b"".join(group.column("fps").to_pylist()), dtype=np.uint64)
         nodes = np.frombuffer(b"".join(group.column("nodes").to_pylist()), dtype=np.int64)
         nodes = nodes if len(nodes) else fps.view(np.int64)
         order = np.argsort(nodes, kind="stable")  # rows in order of their nodes, so the first of a group is its smallest
         fps, nodes = fps[order], nodes[order]
-        ends = [np.empty((0, 2), dtype=np.int64)]
-        for rows, begin in shared_variants(fps, group.column("bucket")[0].as_py(), bits):
-            size = np.diff(np.concatenate((begin, [len(rows)])))
-            rows = rows[np.lexsort((rows, np.repeat(np.arange(len(begin)), size)))]
-            pairs = [np.stack((np.repeat(rows[begin], size), rows), axis=1)]
+        bucket, shares = group.column("bucket")[0].as_py(), ball(bits)[2]
+        ends, smallest = [np.empty((0, 2), dtype=np.int64)], np.arange(len(nodes))
+        for rows, begin in shared_variants(fps, bucket, bits):
+            centre = np.repeat(np.minimum.reduceat(rows, begin), np.diff(np.concatenate((begin, [len(rows)]))))
             if not spanning:
-                inner = np.ones(len(rows), dtype=bool)
-                inner[begin] = False
-                pairs.append(np.stack((rows[np.nonzero(inner)[0] - 1], rows[inner]), axis=1))
-            found = np.unique(np.concatenate(pairs), axis=0) if len(rows) < 1 << 16 else _unique(np.concatenate(pairs))
+                told = (centre < smallest[rows]) & (told_in(fps[centre], fps[rows], shares) == bucket)
+                np.minimum.at(smallest, rows[told], centre[told])
+                continue
+            pairs = np.stack((centre, rows), axis=1)
+            found = np.unique(pairs, axis=0) if len(rows) < 1 << 16 else _unique(pairs)
             found = found[(found[:, 0] != found[:, 1]) & (np.bitwise_count(fps[found[:, 0]] ^ fps[found[:, 1]]) <= RADIUS)]
             ends.append(nodes[found])
+        if not spanning:
+            rows = np.nonzero(smallest < np.arange(len(nodes)))[0]
+            return pa.table({"a": pa.array(nodes[smallest[rows]]), "b": pa.array(nodes[rows])})
         both = np.concatenate(ends)
-        a, b = forest(both[:, 0], both[:, 1]) if spanning and len(both) else (both[:, 0], both[:, 1])
+        a, b = forest(both[:, 0], both[:, 1]) if len(both) else (both[:, 0], both[:, 1])
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
@@ -166,8 +183,8 @@ def _unique(pairs: np.ndarray) -> np.ndarray:
 def close_pairs(fingerprints: DataFrame, per_table: int, least_bits: int, spanning: bool) -> DataFrame:
     """Edges ``a``, ``b`` between fingerprints (or their nodes) within ``RADIUS`` bits in a table.
 
-    ``fingerprints``: table, fp and, unless the fingerprint is the node, node; distinct.  With ``spanning`` only as many
-    edges as their components need.
+    ``fingerprints``: table, fp and, unless the fingerprint is the node, node; distinct.  With ``spanning`` as many
+    edges as their components need, else for each node ``b`` at least that to the smallest node ``a`` it has one to.
     """
     bits = bits_for(per_table, least_bits)
     dealt = fingerprints.mapInArrow(_deal(bits), BLOBS)
@@ -252,14 +269,20 @@ def shingle_set(text: bytes | None, size: int = NEAR_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), dtype=np.uint64))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``MARK_BITS`` bits, each whether an odd number of the shingles fall on it; two sets differ in as many shingles at least as bits."""
+    odd = np.bincount(shingles >> np.uint64(64 - MARK_BITS.bit_length() + 1), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(bitmap, bits: int, least: float):
-    """Of digest and text, the texts that may have a similar one: number of shingles, and those that other rows may have too."""
+    """Of digest and text, the texts that may have a similar one: number of shingles, and those that other rows may have too, with their parities."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = repeated_in(bitmap.value, bits)
         for batch in batches:
             seen = set()
             for at in range(0, len(batch), SLICE_TEXTS):
-                out, rows = ([], [], []), batch.slice(at, SLICE_TEXTS)
+                out, rows = ([], [], [], []), batch.slice(at, SLICE_TEXTS)
                 for digest, text in zip(rows.column(0).to_pylist(), rows.column(1)):
                     if digest in seen:
                         continue
@@ -267,10 +290,10 @@ def _sets(bitmap, bits: int, least: float):
                     x = shingle_set(text.as_py())
                     shared = x[repeated(x)]
                     if len(shared) >= least * len(x) - SLACK:
-                        for column, value in zip(out, (digest, len(x), shared.tobytes())):
+                        for column, value in zip(out, (digest, len(x), shared.tobytes(), parities(shared))):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.string(), pa.int32(), pa.binary()))],
-                                                 names=["digest", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())))],
+                                                 names=["digest", "n", "shingles", "mark"])
 
     return run
 
@@ -311,17 +334,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """``token``, ``node``, ``n``, ``r``: the rarest shingles of each set, so many that two sets of similarity ``least`` share one.
+    """``token``, ``node``, ``n``, ``ahead``: the rarest shingles of each set, so many that two sets of similarity ``least`` share one.
 
     Of n shingles all but the last ceil(least * n) - 1 in one order for all sets, rarest first.  Shingles of one set only
-    meet nothing and are not sent; ``r`` is the number of the others, and a set with fewer than least * n of them has no similar one.
+    meet nothing and are not sent; a set with fewer than least * n others has no similar one.  ``ahead`` is the number of these others
+    from this one on: two sets that share no earlier one have no more in common than the lesser of theirs.
     """
     each = staged(sets.select("node", "shingles").mapInArrow(_tokens, "token long, node long"))
     df = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = each.join(df, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("x"))
     own = own.join(sets.select("node", "n"), "node").withColumn("r", F.size("x")).where(F.col("r") >= F.lit(least) * F.col("n") - SLACK)
     sent = (F.col("r") - F.ceil(F.lit(least) * F.col("n") - SLACK) + 1).cast("int")
-    return own.select("node", "n", "r", F.explode(F.slice(F.sort_array("x"), F.lit(1), F.greatest(sent, F.lit(0)))).alias("x")).select(F.col("x.token").alias("token"), "node", "n", "r")
+    return own.select("node", "n", "r", F.posexplode(F.slice(F.sort_array("x"), F.lit(1), F.greatest(sent, F.lit(0)))).alias("i", "x")).select(
+        F.col("x.token").alias("token"), "node", "n", (F.col("r") - F.col("i")).alias("ahead"))
+
+
+def may_be_similar(least: float) -> Column:
+    """Whether a row's set and that of ``c``, which meet at a shingle, can have a similarity of ``least`` if it is the first they share.
+
+    A pair is passed over where its first shared shingle came before, and where the parities tell that too many shingles differ.
+    """
+    common = F.lit(least / (1 + least)) * (F.col("n") + F.col("c.n")) - SLACK
+    bits = sum((F.bit_count(F.col("mark")[i].bitwiseXOR(F.col("c.mark")[i])) for i in range(MARK_BITS // 64)), F.lit(0))
+    return (F.least("ahead", "c.ahead") >= common) & (F.col("m") + F.col("c.m") - bits >= 2 * common)
 
 
 def all_links(sets: DataFrame, links: DataFrame, least: float) -> DataFrame:
@@ -329,30 +364,31 @@ def all_links(sets: DataFrame, links: DataFrame, least: float) -> DataFrame:
 
     Sets meet by the shingles of their prefixes.  In a round some sets of each shingle (in ``CENTRES`` classes, twice as many each
     round, that with the most links so far first) are compared with all sets there that are not yet in their component, and are done
-    there; shingles whose sets are all in one component are done.  No pair between two components is left out.
+    there; shingles whose sets are all in one component are done.  No pair between two components is left out but those that
+    ``may_be_similar`` excludes.
     """
     none = sets.where("n = 0").agg(F.min("node")).first()[0]
     if none is not None:
         links = links.unionByName(sets.where(F.col("n") == 0).where(F.col("node") > none).select(F.lit(none).alias("a"), F.col("node").alias("b")))
-    posts, classes, part = prefixes(sets, least), CENTRES, F.lit(least / (1 + least))
+    posts, classes = prefixes(sets, least), CENTRES
+    marks = sets.select("node", F.expr("octet_length(shingles) div 8").cast("int").alias("m"), "mark")
     while True:
         group = components(links, "a", "b")
         degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
         known = group.join(degree, "node", "left")
-        posts = staged(posts.join(known, "node", "left").select("token", "node", "n", "r", F.coalesce("component", "node").alias("of"),
+        posts = staged(posts.join(known, "node", "left").select("token", "node", "n", "ahead", F.coalesce("component", "node").alias("of"),
                                                                   F.coalesce("links", F.lit(0)).alias("links")))
         open_ = posts.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("token")
-        posts = staged(posts.join(open_, "token"))
+        posts = staged(posts.join(open_, "token").join(marks, "node"))
         if posts.isEmpty():
             return links
         centre = staged(posts.groupBy("token", F.pmod(F.xxhash64("node", F.lit(classes)), F.lit(classes)).alias("class"))
-                        .agg(F.min(F.struct((-F.col("links")).alias("links"), "node", "n", "r", "of")).alias("c")).select("token", "c"))
-        pairs = (posts.join(centre, "token").where(F.col("of") != F.col("c.of"))
-                 .where(F.least("r", "c.r") >= part * (F.col("n") + F.col("c.n")) - SLACK)
+                        .agg(F.min(F.struct((-F.col("links")).alias("links"), "node", "n", "ahead", "of", "m", "mark")).alias("c")).select("token", "c"))
+        pairs = (posts.join(centre, "token").where((F.col("of") != F.col("c.of")) & may_be_similar(least))
                  .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
         links = links.unionByName(_verified(pairs, sets, least))
         done = centre.select("token", F.col("c.node").alias("node"))
-        posts = posts.join(done, ["token", "node"], "left_anti").select("token", "node", "n", "r")
+        posts = posts.join(done, ["token", "node"], "left_anti").select("token", "node", "n", "ahead")
         classes *= 2
 
 
@@ -387,8 +423,8 @@ def _without_near_duplicates(docs: DataFrame, key: str, text: str, tables: int,
                       .withColumn("node", F.monotonically_increasing_id()))
     bits = sketch_bits(max(1, docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0] // 6))
     bitmap = spark.sparkContext.broadcast(repeated_cells(docs, text, bits, lambda: shingle_set, HELD_SHINGLES))
-    sets = staged(rows.select("digest", "text").mapInArrow(_sets(bitmap, bits, least), "digest string, n int, shingles binary")
-                  .dropDuplicates(["digest"]).join(distinct.select("digest", "node"), "digest").select("node", "n", "shingles"))
+    sets = staged(rows.select("digest", "text").mapInArrow(_sets(bitmap, bits, least), "digest string, n int, shingles binary, mark array<bigint>")
+                  .dropDuplicates(["digest"]).join(distinct.select("digest", "node"), "digest").select("node", "n", "shingles", "mark"))
     bitmap.destroy()  # nothing reads the texts for it again
     each = distinct.join(sets.select("node"), "node").select(F.posexplode("fps").alias("table", "fp"), "node")
     edges = close_pairs(each, sets.count(), 4, False)

@@ -127,3 +127,56 @@ def test_edited_blocks(spark):
     df = docs(spark, rows)
     want = kept_by_all_pairs(df)
     assert 12 <= len(want) < 20 and sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == want
+
+
+@pytest.mark.parametrize("bits", [0, 4, 9])
+def test_a_node_is_told_its_smallest_neighbour_by_few_buckets(bits, monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", 50_000)
+    rng = np.random.default_rng(bits)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fps = np.concatenate([[x ^ np.uint64(sum(1 << int(b) for b in rng.choice(8, rng.integers(0, 5), replace=False))) for _ in range(60)] for x in base])
+    nodes = rng.permutation(len(fps)).astype(np.int64) + 100  # many have a fingerprint in common
+    batch = simhash.pa.RecordBatch.from_arrays([simhash.pa.array(np.zeros(len(fps), dtype=np.int32)), simhash.pa.array(fps.view(np.int64)), simhash.pa.array(nodes)],
+                                               names=["table", "fp", "node"])
+    dealt = simhash.pa.Table.from_batches(simhash._deal(bits)([batch]))
+    told = [simhash._link(bits, False)(dealt.slice(i, 1)) for i in range(len(dealt))]
+    low = {}
+    for t in told:
+        for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist()):
+            low[b] = min(a, low.get(b, a))
+    want = {}
+    for i, x in enumerate(fps):
+        near = [int(nodes[j]) for j, y in enumerate(fps) if nodes[j] < nodes[i] and int(x ^ y).bit_count() <= 4]
+        if near:
+            want[int(nodes[i])] = min(near)
+    assert low == want and sum(map(len, told)) < 8 * len(fps)
+
+
+def test_parities_tell_no_more_differences_than_there_are():
+    rng = np.random.default_rng(3)
+    for shared in (0, 1, 40, 300):
+        x, y, z = (rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) for n in (30, 70, shared))
+        a, b = (np.unique(np.concatenate((s, z))) for s in (x, y))
+        bits = np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view(np.uint64)).sum()
+        assert 20 < bits <= len(np.setxor1d(a, b))
+    assert not simhash.parities(a[:0]).any()
+
+
+def test_few_of_the_sets_that_share_a_rare_shingle_are_compared(spark, monkeypatch):
+    lines = sentences(7, 41, 40, 4000)
+    rows = [(i, f"{lines[40]} {x}", "en") for i, x in enumerate(lines[:40])]  # unlike but for a line; each has a twin
+    rows += [(100 + i, edited(t, 1, i), "en") for i, (_, t, _) in enumerate(rows)]
+    compared = []
+    verified = simhash._verified
+
+    def counted(pairs, sets, least):
+        compared.append(pairs.count())
+        return verified(pairs, sets, least)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    df = docs(spark, rows)
+    out = sorted(r.doc_id for r in simhash.drop_near_duplicates(df, least=0.5).collect())
+    kept = [(r.doc_id, set(simhash.shingle_set(r.text.encode()).tolist())) for r in df.collect()]
+    sim = [(i, j) for i in range(len(kept)) for j in range(i) if len(kept[i][1] & kept[j][1]) >= 0.5 * len(kept[i][1] | kept[j][1])]
+    assert out == sorted({r: kept[r][0] for r in roots(len(kept), sim)}.values())
+    assert sum(compared[1:]) <= 80
