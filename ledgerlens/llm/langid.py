@@ -188,13 +188,22 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+# Bytes of UTF-8 that are no ASCII letter are blanks here; those of other characters stay.
+ASCII_LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def chunks_of(text: str) -> list[str]:
+    """What stands between blanks and other ASCII characters that are no letters: most often a word, which these always end."""
+    return text.lower().encode().translate(ASCII_LETTERS).decode().split()
+
+
 def _letters(chunk: str) -> list[str]:
-    """The words of what stands between blanks; most often all of it."""
+    """The words of a chunk; most often all of it."""
     return [chunk] if chunk.isalpha() else LETTERS.findall(chunk)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}  # of what stands between blanks; its words are found once for all its occurrences
+    counts: dict[str, Counter] = {}  # of chunks; their words are found once for all occurrences
 
     def rows() -> pa.RecordBatch:
         lang, word, n = [], [], []
@@ -211,7 +220,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(text.lower().split())
+            counts.setdefault(lang, Counter()).update(chunks_of(text))
             if sum(map(len, counts.values())) > FLUSH_WORDS:
                 yield rows()
                 counts = {}
@@ -274,7 +283,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
 
 
 class _Known:
-    """Scores of what stands between blanks, kept by a Python worker as long as it works with one model.
+    """Scores of chunks, kept by a Python worker as long as it works with one model.
 
     When it is full, what was met since it was last full stays (half of the places at most).
     """
@@ -287,18 +296,21 @@ class _Known:
 
     def learn(self, chunks: list[str]) -> None:
         found = [_letters(c) for c in chunks]
-        words = list({MARK + w for f in found for w in f})
-        at, score = {w: i for i, w in enumerate(words)}, np.zeros((len(words), self.langs))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        at: dict[str, int] = {}
+        of = np.fromiter((at.setdefault(w, len(at)) for f in found for w in f), dtype=np.int64, count=int(sizes.sum()))
+        words, score = [MARK + w for w in at], np.zeros((len(at), self.langs))
         for rows in by_length(words):
             score[rows] = self.lattice.forward([words[i] for i in rows], self.p)
-        number = self.number
-        while len(number) + len(chunks) > len(self.scores):
+        first = len(self.number)
+        while first + len(chunks) > len(self.scores):
             size = 2 * len(self.scores)
             self.scores, self.sizes, self.met = np.resize(self.scores, (size, self.langs)), np.resize(self.sizes, size), np.resize(self.met, size)
-        for chunk, f in zip(chunks, found):
-            i = number[chunk] = len(number)
-            self.sizes[i] = len(f)
-            self.scores[i] = score[at[MARK + f[0]]] if len(f) == 1 else sum((score[at[MARK + w]] for w in f), np.zeros(self.langs))
+        self.number.update(zip(chunks, range(first, first + len(chunks))))
+        last, some = first + len(chunks), sizes > 0
+        self.sizes[first:last], self.scores[first:last] = sizes, 0.0
+        if some.any():
+            self.scores[first:last][some] = np.add.reduceat(score[of], (np.cumsum(sizes) - sizes)[some], axis=0)
 
     def make_room(self) -> None:
         if len(self.number) > self.most:
@@ -328,8 +340,8 @@ def _predict(model, langs: list[str], path: str):
             names, best = [], []
             for at in range(0, len(batch), 256):
                 known.make_room()
-                counted = [Counter(t.lower().split()) if t and langs else {} for t in batch.column(0)[at:at + 256].to_pylist()]
-                known.learn(list({c for of in counted for c in of if c not in known.number}))
+                counted = [Counter(chunks_of(t)) if t and langs else {} for t in batch.column(0)[at:at + 256].to_pylist()]
+                known.learn(list(set().union(*counted).difference(known.number)))
                 for of in counted:
                     rows = np.fromiter(map(known.number.__getitem__, of), dtype=np.int64, count=len(of))
                     n = np.fromiter(of.values(), dtype=np.float64, count=len(of))

@@ -127,3 +127,16 @@ def test_remembered_words_make_room():
     assert set(known.number) == {"au", "hz"} and all((known.scores[i] == want[c]).all() for c, i in known.number.items())
     known.learn(["bu", "bv"])
     assert all(np.allclose(known.scores[known.number[c]], want[c]) for c in ("bu", "bv", "au"))
+
+
+def test_a_word_is_known_once_whatever_stands_beside_it():
+    text = "Haus, (haus) haus. 3haus-haus \u201chaus\u201d\u00a0cafe\u0301's na\u00efve"
+    chunks = langid.chunks_of(text)
+    assert [w for c in chunks for w in langid._letters(c)] == langid.words_of(text)
+    assert chunks.count("haus") == 5
+    lattice = langid.lattice_of(public_tokenizers.path(langid.VOCABULARY))
+    p = np.full((len(lattice.keys) + 1, 2), 1e-4)
+    known = langid._Known(p, 2, public_tokenizers.path(langid.VOCABULARY))
+    known.learn(["haus", "3", "na\u00efve\u2014haus"])
+    one, two = (known.lattice.forward([langid.MARK + w], p)[0] for w in ("haus", "na\u00efve"))
+    assert np.allclose(known.scores[:3], [one, [0, 0], one + two]) and known.sizes[:3].tolist() == [1, 0, 2]
