@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import staged, table
+from ledgerlens.llm.common import lean, staged, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # the vocabulary's sign for a word's beginning
@@ -262,7 +262,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
     spark, path = docs.sparkSession, path or public_tokenizers.path(VOCABULARY)
     vocabulary = pieces(path)
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = staged(known.mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    counted = staged(known.mapInArrow(lean(_count_words), "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in counted.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -272,7 +272,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int =
     table_ = staged(table_.groupBy("word").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns")))  # at most one of each language
     for _ in range(rounds if langs else 0):
         shared = spark.sparkContext.broadcast(model)
-        found = table_.mapInArrow(_expect(shared, langs, path), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+        found = table_.mapInArrow(lean(_expect(shared, langs, path)), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
         counts = np.full_like(model, SMOOTHING)
         for row in found.toLocalIterator():  # vocabulary x languages rows at most
             counts[row["piece"], row["lang"]] += row["n"]
@@ -368,7 +368,7 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray], keep: tuple
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    found = rows.mapInArrow(_predict(shared, langs, path or public_tokenizers.path(VOCABULARY)), f"{kinds}, lang_pred string, score double")
+    found = rows.mapInArrow(lean(_predict(shared, langs, path or public_tokenizers.path(VOCABULARY))), f"{kinds}, lang_pred string, score double")
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 

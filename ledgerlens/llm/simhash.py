@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import components, forest, staged, table
+from ledgerlens.llm.common import components, forest, lean, staged, table
 from ledgerlens.llm.substrings import repeated_cells, repeated_in, sketch_bits
 from ledgerlens.llm.textio import CACHE_WORDS
 
@@ -330,7 +330,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             .where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - SLACK))
     laid = (near.select("a", "b", (F.col("na") + F.col("nb")).alias("n")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
-    return staged(laid.select("a", "b", "sa", "sb", "n").mapInArrow(_similar(least), EDGES))
+    return staged(laid.select("a", "b", "sa", "sb", "n").mapInArrow(lean(_similar(least)), EDGES))
 
 
 def prefixes(sets: DataFrame, least: float) -> DataFrame:
@@ -340,7 +340,7 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     meet nothing and are not sent; a set with fewer than least * n others has no similar one.  ``ahead`` is the number of these others
     from this one on: two sets that share no earlier one have no more in common than the lesser of theirs.
     """
-    each = staged(sets.select("node", "shingles").mapInArrow(_tokens, "token long, node long"))
+    each = staged(sets.select("node", "shingles").mapInArrow(lean(_tokens), "token long, node long"))
     df = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = each.join(df, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("x"))
     own = own.join(sets.select("node", "n"), "node").withColumn("r", F.size("x")).where(F.col("r") >= F.lit(least) * F.col("n") - SLACK)
@@ -418,12 +418,12 @@ def _without_near_duplicates(docs: DataFrame, key: str, text: str, tables: int,
     kind, spark = docs.schema[key].dataType.simpleString(), docs.sparkSession
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"),
                        F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
-    prints = staged(rows.select("digest", "id", "text").mapInArrow(_word_fingerprints(tables), PRINTS.format(kind)))
+    prints = staged(rows.select("digest", "id", "text").mapInArrow(lean(_word_fingerprints(tables)), PRINTS.format(kind)))
     distinct = staged(prints.groupBy("digest").agg(F.min("id").alias("low"), F.first("fps").alias("fps"))
                       .withColumn("node", F.monotonically_increasing_id()))
     bits = sketch_bits(max(1, docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0] // 6))
     bitmap = spark.sparkContext.broadcast(repeated_cells(docs, text, bits, lambda: shingle_set, HELD_SHINGLES))
-    sets = staged(rows.select("digest", "text").mapInArrow(_sets(bitmap, bits, least), "digest string, n int, shingles binary, mark array<bigint>")
+    sets = staged(rows.select("digest", "text").mapInArrow(lean(_sets(bitmap, bits, least)), "digest string, n int, shingles binary, mark array<bigint>")
                   .dropDuplicates(["digest"]).join(distinct.select("digest", "node"), "digest").select("node", "n", "shingles", "mark"))
     bitmap.destroy()  # nothing reads the texts for it again
     each = distinct.join(sets.select("node"), "node").select(F.posexplode("fps").alias("table", "fp"), "node")

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import lean, table
 from ledgerlens.llm.textio import BASES, WordHashes, mixed, rolling
 
 WINDOW = 20
@@ -129,8 +129,8 @@ def sketch_bits(windows: int) -> int:
 
 def repeated_cells(docs: DataFrame, text: str, bits: int, hashed=_windows, flush: int = FLUSH) -> bytes:
     """Both rows' bitmaps of the cells counted twice or more; ``hashed()`` gives the function from a text to its hashes."""
-    chunks = (docs.select(F.col(text).cast("binary")).mapInArrow(_sketch(bits, hashed, flush), SKETCH)
-              .repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(_merge, "row int, chunk int, bits binary"))
+    chunks = (docs.select(F.col(text).cast("binary")).mapInArrow(lean(_sketch(bits, hashed, flush)), SKETCH)
+              .repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(lean(_merge), "row int, chunk int, bits binary"))
     each, size = (1 << bits) // 8, (1 << CHUNK_BITS) // 8
     out = bytearray(2 * each)
     for r in chunks.toLocalIterator():  # 2 << bits - CHUNK_BITS rows at most, whatever the corpus
