@@ -88,7 +88,7 @@ def materialize_all(*dfs: DataFrame) -> list[DataFrame]:
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
     path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # digests and ids, which Spark's default leaves at their length
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
