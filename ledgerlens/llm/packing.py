@@ -31,6 +31,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,7 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_TOKEN = 2048, 0
 RANGE_ROWS = 250_000  # documents and gaps swept by one task
 CACHE_WORDS = 500_000  # words a task remembers
+TEXT_AT_ONCE = 1 << 22  # bytes of texts whose words a task sorts out at once; a longer text is alone
 
 
 def byte_characters() -> list[str]:
@@ -73,12 +75,12 @@ class WordTokens:
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in order; only the
     four blanks that every rule of it agrees on separate words here, anything else stays inside a word.  Words of Latin
     letters, perhaps with a few closing marks, go straight to the tokenizer's model: its other steps only lower them,
-    split off the marks and write bytes as characters.
+    split off the marks and write bytes as characters.  Texts are taken together: each distinct word is looked up once.
     """
 
-    _WORDS = re.compile(r"[^ \t\n\r]+")
-    # Latin letters that are composed already and lower one by one (U+0130 does not)
-    _PLAIN = re.compile("([A-Za-zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+    _BLANK = np.isin(np.arange(256), list(b" \t\n\r"))
+    # Letters and marks of a plain word, or any other word.  Latin letters that are composed already and lower one by one (U+0130 does not).
+    _WORDS = re.compile("([A-Za-zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]++)([!-&(-/:-@\\[-`{-~]*+)(?![^ \t\n\r])|([^ \t\n\r]++)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -86,7 +88,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.characters = self.tokenizer.model, byte_characters()
-        self.known, self.letters, self.marks = Memory(self._ids), Memory(self._letters), Memory(self._whole)
+        self.letters, self.others = Memory(self._letters), Memory(self._whole)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -96,18 +98,43 @@ class WordTokens:
         ids = [t.id for t in self.model.tokenize(written)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _ids(self, word: str) -> bytes:
-        plain = self._PLAIN.fullmatch(word)
-        if not plain:
-            return self._whole(word)
-        letters, marks = plain.groups()
-        return self.letters[letters.lower()] + self.marks[marks] if marks else self.letters[letters.lower()]
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """Ids of words, each with the blanks behind it."""
+        for memory in (self.letters, self.others):
+            memory.trim()
+        apart = pc.binary_join_element_wise(words, *(pa.scalar(x, words.type) for x in ("", " ")))
+        found = self._WORDS.findall(str(apart.buffers()[2], "utf-8"))
+        letters, others = self.letters, self.others
+        return pa.array([(letters[a.lower()] + others[marks] if marks else letters[a.lower()]) if a else others[other]
+                         for a, marks, other in found], type=pa.large_binary())
+
+    def _together(self, texts: pa.Array) -> list[memoryview]:
+        texts = texts.fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = texts.buffers()[2] or b""
+        blank = self._BLANK[np.frombuffer(data, dtype=np.uint8)[ends[0]:ends[-1]]]
+        after = np.append(True, blank)[:-1]  # a blank, or where a text begins
+        after[ends[:-1][ends[:-1] < ends[-1]] - ends[0]] = True
+        starts = np.nonzero(after & ~blank)[0] + ends[0]
+        if not len(starts):
+            return [memoryview(b"")] * len(texts)
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, ends[-1])), data]).dictionary_encode()
+        ids = self._distinct(words.dictionary).take(words.indices)
+        at = np.frombuffer(ids.buffers()[1], dtype=np.int64)[np.searchsorted(starts, ends)].tolist()
+        flat = memoryview(ids.buffers()[2])
+        return [flat[a:b] for a, b in zip(at, at[1:])]
+
+    def each(self, texts: pa.Array) -> Iterator[memoryview]:
+        """Ids of every text (null: none) as unsigned little-endian 32-bit numbers."""
+        texts, at = texts.cast(pa.large_string()), 0
+        ends = np.append(0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)))
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_AT_ONCE, side="right")) - 1)
+            yield from self._together(texts.slice(at, stop - at))
+            at = stop
 
     def __call__(self, text: str) -> bytes:
-        """Ids as unsigned little-endian 32-bit numbers."""
-        for memory in (self.known, self.letters, self.marks):
-            memory.trim()
-        return b"".join(map(self.known.__getitem__, self._WORDS.findall(text)))
+        return bytes(next(self.each(pa.array([text]))))
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -118,15 +145,15 @@ def _pieces(path: str, capacity: int):
         tokens, end = WordTokens(path), np.array([END_TOKEN], dtype="<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = tokens(text or "") + end
+            for i, ids in enumerate(tokens.each(batch.column(1))):
+                data = bytes(ids) + end
                 for p, at in enumerate(range(0, len(data), 4 * capacity)):
-                    ids = data[at:at + 4 * capacity]
+                    cut = data[at:at + 4 * capacity]
                     row.append(i)
                     piece.append(p)
                     start.append(at // 4)
-                    length.append(len(ids) // 4)
-                    crc.append(zlib.crc32(ids))
+                    length.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row, type=pa.int64())), pa.array(piece, type=pa.int32()),
                  *[pa.array(x, type=pa.int64()) for x in (start, length, crc)]], names=["key", "piece", "start", "length", "ids_crc32"])

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from fixtures import docs, empty
@@ -28,6 +29,19 @@ def test_tokens_of_words_are_those_of_the_text(text):
     assert np.frombuffer(data, dtype="<u4").tolist() == ids_of(text)[:-1]
 
 
+@pytest.mark.parametrize("at_once", [1 << 22, 12])
+def test_texts_together_ask_for_each_word_once(monkeypatch, at_once):
+    monkeypatch.setattr(packing, "TEXT_AT_ONCE", at_once)
+    tokens = packing.WordTokens(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["skipped", "One two\ttwo ", None, "", " \n", " two, İ two", "12 12 12\r\n12", "two" * 9, None]
+    asked = []
+    monkeypatch.setattr(packing.WordTokens, "_distinct", lambda self, words, of=packing.WordTokens._distinct: asked.append(words.to_pylist()) or of(self, words))
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in tokens.each(pa.array(texts).slice(1))] == [ids_of(t)[:-1] for t in texts[1:]]
+    assert sum(map(len, asked)) == sum(len(set(words)) for words in asked)
+    assert len(asked) == (1 if at_once > 12 else 4)
+    assert list(tokens.each(pa.array([], type=pa.string()))) == []
+
+
 def best_fit(lengths, capacity):
     gaps, n = [], 0
     for s in sorted(lengths, reverse=True):
