@@ -16,35 +16,46 @@ from ledgerlens.llm import decontaminate, langid, packing, pii, simhash
 from ledgerlens.session import configure, ensure_checkpoint_dir
 
 LEAST_SCORE = 0.5
+BATCH_BYTES = 1 << 22  # of rows sent to a Python worker at once
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with batches of few bytes, whatever the length of texts.
+
+    An executor and its workers have a batch beside the heap, several times over, and not all of it goes back to the
+    system; so what long batches leave adds up from stage to stage.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return configure(spark)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language the learned model tells; texts without a letter or with a doubtful language go."""
-    configure(spark)
+    prepared(spark)
     return langid.keep_identified(docs, langid.train(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id."""
-    configure(spark)
+    prepared(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not contaminated by the benchmark."""
-    return decontaminate.decontaminate(docs, configure(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.decontaminate(docs, prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    configure(spark)
+    prepared(spark)
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences."""
-    configure(spark)
+    prepared(spark)
     return packing.pack_documents(docs)
 
 
@@ -61,7 +72,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}-{name}")

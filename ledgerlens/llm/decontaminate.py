@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import staged, table
+from ledgerlens.llm.common import lean, staged, table
 from ledgerlens.llm.textio import BASES, WordHashes, rolling
 
 WINDOW, GRAM = 13, 7
@@ -143,7 +143,7 @@ def fingerprint_bitmap(fingerprints: DataFrame) -> bytes:
     cell = F.shiftrightunsigned("fingerprint", 64 - CELL_BITS)
     chunks = (fingerprints.select(F.shiftright(cell, CHUNK_BITS).cast("int").alias("chunk"),
                                   cell.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("int").alias("cell"))
-              .groupBy("chunk").agg(F.collect_set("cell").alias("cells")).mapInArrow(_chunk_bytes, "chunk int, bits binary"))
+              .groupBy("chunk").agg(F.collect_set("cell").alias("cells")).mapInArrow(lean(_chunk_bytes), "chunk int, bits binary"))
     size = (1 << CHUNK_BITS) // 8
     out = bytearray((1 << CELL_BITS) // 8)
     for row in chunks.toLocalIterator():
@@ -157,12 +157,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     spark = docs.sparkSession
     bench = staged(items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("binary").alias("t"))
                    .withColumn("id", F.monotonically_increasing_id()))
-    wins = staged(bench.select("id", "t").mapInArrow(_item_windows, WINDOWS))
+    wins = staged(bench.select("id", "t").mapInArrow(lean(_item_windows), WINDOWS))
     bitmap = fingerprint_bitmap(wins.select("fingerprint"))
     short = sorted(r[0] for r in wins.where(f"size < {WINDOW}").select("size").distinct().collect())  # at most 12 values
     # one reading of the texts writes the keys, the word counts and the windows that passed
     source = docs.select(F.monotonically_increasing_id().alias("id"), F.col(text).cast("binary"), F.col(key).alias("key"))
-    found = staged(source.mapInArrow(_document_windows(spark.sparkContext.broadcast(bitmap), short), FOUND.format(docs.schema[key].dataType.simpleString())))
+    found = staged(source.mapInArrow(
+        lean(_document_windows(spark.sparkContext.broadcast(bitmap), short)), FOUND.format(docs.schema[key].dataType.simpleString())))
     hits = found.where("size > 0").join(wins.select("size", "fingerprint").distinct(), ["size", "fingerprint"], "left_semi")
     hits = hits.select("id", "size", "start", "w1", "w2").join(wins.select("size", "w1", "w2").distinct(), ["size", "w1", "w2"], "left_semi")
     covered = hits.selectExpr("id", "start", "start + size as stop").selectExpr(

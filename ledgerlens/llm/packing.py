@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import staged, table
+from ledgerlens.llm.common import lean, staged, table
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_TOKEN = 2048, 0
@@ -165,7 +165,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
     """``key``, piece, start, length and ids_crc32 of every piece; a document's ids end with the end token."""
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(
-        _pieces(path or public_tokenizers.path(VOCABULARY), capacity), f"key {kind}, {PIECES}").withColumnRenamed("key", key)
+        lean(_pieces(path or public_tokenizers.path(VOCABULARY), capacity)), f"key {kind}, {PIECES}").withColumnRenamed("key", key)
 
 
 SWEPT = "what int, part int, rank long, id long, size long, sequence long, place long"
@@ -255,7 +255,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROW
             opened += fresh
         ranges = ceil((docs_left + gaps_left + fresh) / range_rows)
         laid = state.repartition(1) if ranges == 1 else state.repartitionByRange(ranges, F.desc("size"), "kind", "id")
-        swept = staged(laid.sortWithinPartitions(F.desc("size"), "kind", "id").mapInArrow(_sweep(capacity), SWEPT))
+        swept = staged(laid.sortWithinPartitions(F.desc("size"), "kind", "id").mapInArrow(lean(_sweep(capacity)), SWEPT))
         count = {w: F.count(F.when(F.col("what") == w, 1)) for w in (PLACED, DOC, GAP)}
         parts = swept.groupBy("part").agg(count[PLACED], count[DOC], F.max(F.when(F.col("what") == DOC, F.col("size"))), count[GAP],
                                           F.min(F.when(F.col("what") == GAP, F.col("size")))).collect()  # a row per range

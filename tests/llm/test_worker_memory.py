@@ -1,6 +1,8 @@
 """What a Python worker still holds when a task has gone through its batches."""
 
+import corpus_pipeline
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import common
 
@@ -36,3 +38,19 @@ def test_give_back_returns_freed_memory():
     del blocks
     common.give_back()
     assert held() - before < 50 and len(kept) == 32
+
+
+def test_stages_send_batches_of_few_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('x', 4000)").alias("text"))
+        clean = corpus_pipeline.personal_data(spark, docs, "")
+        found = [r.n for r in clean.mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(found) >= 3000 * 4000 and max(found) < corpus_pipeline.BATCH_BYTES + 10_000
